@@ -75,8 +75,8 @@ def popularity_lists(global_sc: DataFrame, state_sc: DataFrame,
     g_arr = g_top.agg(_ranked_array().alias("g")).scalar()
     s_lists = (state_ranking(state_sc, max_n).groupBy("state")
                .agg(_ranked_array().alias("items")))  # <= max_n per state
-    s_lists = s_lists.withColumn(
-        "fill", F.filter(g_arr, lambda g: ~F.array_contains(
+    s_lists = s_lists.withColumn("g", g_arr).withColumn(
+        "fill", F.filter("g", lambda g: ~F.array_contains(
             F.col("items.product_id"), g["product_id"])))  # J15
     own = (s_lists.select("state", F.explode("items").alias("it"))
            .select("state", F.col("it.product_id").alias("product_id"),

@@ -5,10 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basketry.operators import clean, features as feat, popularity as pop, profiles
+from basketry.functions import columns as C
+from basketry.functions.text import ENGLISH_STOP_WORDS, sql_stop_list
+from basketry.operators import als, clean, content, encode
+from basketry.operators import features as feat
+from basketry.operators import popularity as pop
+from basketry.operators import profiles, router
 from basketry.plans.catalog import query
-from basketry.plans.sqlbase import MASTER, POPULARITY, PROFILES, SCORED, with_
-from basketry.sources.fixtures import DELIVERED_STATUS, driver_tables
+from basketry.plans.sqlbase import (GLOBAL_KEY, MASTER, POP_LISTS, POPULARITY, PROFILES,
+                                    REQUESTS, SCORED, content_blocks, enriched, with_)
+from basketry.sources.fixtures import (DELIVERED_STATUS, PRICE_BUCKET_THRESHOLDS,
+                                       customer_requests, driver_tables, product_requests)
 
 
 def master_of(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -158,3 +165,177 @@ def a18_time_features(spark, sf_dir):
   FROM master GROUP BY user_id""")
 def a20_interaction_counts(spark, sf_dir):
     return profiles.interaction_counts(master_of(spark, sf_dir))
+
+
+# ---------------------------------------------------------------- routing (cold path)
+def popularity_model(spark, sf_dir):
+    return pop.fit(master_of(spark, sf_dir))
+
+
+def history_of(master):
+    return feat.purchase_history(master)
+
+
+@query("r4_segments", ids="R4 J14",
+       sql=with_(MASTER, REQUESTS) + "SELECT user_id, state, n, segment FROM seg")
+def r4_segments(spark, sf_dir):
+    req = customer_requests(spark, sf_dir)
+    return router.segments(req, history_of(master_of(spark, sf_dir)))
+
+
+@query("t3_popularity_lists", ids="T3 J15 M9",
+       sql=with_(MASTER, SCORED, POPULARITY, REQUESTS, POP_LISTS)
+       + "SELECT list_key, product_id, CAST(pos AS INTEGER) AS pos FROM lists "
+       + "WHERE pos <= 50")
+def t3_popularity_lists(spark, sf_dir):
+    lists = popularity_model(spark, sf_dir).lists
+    return lists.withColumn("list_key", F.when(F.col("list_key") == pop.GLOBAL_KEY,
+                                               F.lit(GLOBAL_KEY)).otherwise(F.col("list_key")))
+
+
+@query("r1_cold_recommendations", ids="R1 T3 J11 J14 R4",
+       round_cols=["price", "review_score"],
+       sql=with_(MASTER, SCORED, POPULARITY, PROFILES, REQUESTS, POP_LISTS)
+       + enriched("(SELECT * FROM pop_recs WHERE segment = 'cold')",
+                  ", 'cold' AS segment, 'popularity' AS source"))
+def r1_cold_recommendations(spark, sf_dir):
+    master = master_of(spark, sf_dir)
+    return router.recommend_for_users(
+        customer_requests(spark, sf_dir), pop.fit(master), None,
+        history_of(master), profiles.product_profiles(master))
+
+
+@query("r3_cold_envelopes", ids="R3",
+       sql=with_(MASTER, SCORED, POPULARITY, PROFILES, REQUESTS, POP_LISTS) + """,
+enr AS (""" + enriched("(SELECT * FROM pop_recs WHERE segment = 'cold')") + """)
+SELECT user_id, COUNT(*) AS results_count,
+  list_sort(list({'rank': rank, 'product_id': product_id, 'category': category,
+                  'price': floor(price * 10000.0 + 0.5) / 10000.0,
+                  'review_score': floor(review_score * 10000.0 + 0.5) / 10000.0,
+                  'popularity_sales': popularity_sales})) AS recommendations,
+  'success' AS status
+FROM enr GROUP BY user_id""")
+def r3_cold_envelopes(spark, sf_dir):
+    from basketry.plans.catalog import half_up
+    recs = r1_cold_recommendations(spark, sf_dir)
+    recs = recs.withColumns({"price": half_up(F.col("price")),
+                             "review_score": half_up(F.col("review_score"))})
+    return router.envelope(recs)
+
+
+# ---------------------------------------------------------------- content model
+def content_texts(spark, sf_dir, prototype=False):
+    master = master_of(spark, sf_dir)
+    if prototype:
+        prof = profiles.product_profiles(master, price_col="payment_value")
+        return content.product_texts(prof, PRICE_BUCKET_THRESHOLDS, C.NOTEBOOK_BUCKET_LABELS,
+                                     low_inclusive=True, with_score=False)
+    return content.product_texts(profiles.product_profiles(master), PRICE_BUCKET_THRESHOLDS)
+
+
+SRC_CONTENT = content_blocks(PRICE_BUCKET_THRESHOLDS, C.SRC_BUCKET_LABELS, False, True,
+                             sql_stop_list(ENGLISH_STOP_WORDS))
+PROTO_PROFILE = """
+proto_prof AS (
+  SELECT product_id, COUNT(*) AS total_purchases, AVG(payment_value) AS avg_price,
+         MIN(category) AS category
+  FROM master GROUP BY product_id)
+"""
+PROTO_CONTENT = content_blocks(PRICE_BUCKET_THRESHOLDS, C.NOTEBOOK_BUCKET_LABELS, True, False,
+                               "[]", profile="proto_prof")
+
+
+@query("p12_p13_content_text", ids="P12 P13",
+       sql=with_(MASTER, PROFILES, SRC_CONTENT) + "SELECT product_id, price_bucket, text FROM texts")
+def p12_p13_content_text(spark, sf_dir):
+    return content_texts(spark, sf_dir)
+
+
+@query("m5_tfidf", ids="M5", round_cols=["weight"],
+       sql=with_(MASTER, PROFILES, SRC_CONTENT) + "SELECT product_id, token, tf, weight FROM tfidf")
+def m5_tfidf(spark, sf_dir):
+    return content.tfidf(content_texts(spark, sf_dir))
+
+
+@query("m6_content_neighbours", ids="M6 T7", round_cols=["similarity"],
+       sql=with_(MASTER, PROFILES, SRC_CONTENT)
+       + "SELECT product_id, rank, similar_id, similarity FROM sim_rank WHERE rank <= 10")
+def m6_content_neighbours(spark, sf_dir):
+    texts = content_texts(spark, sf_dir)
+    model = content.fit(texts)
+    return content.neighbours(model, texts, 10)
+
+
+@query("r2_similar_products", ids="R2 M6 J11 J17", round_cols=["price", "review_score"],
+       sql=with_(MASTER, PROFILES, SRC_CONTENT) + """,
+req AS (SELECT p_partkey AS product_id, 10 AS n FROM part),
+hits AS (SELECT s.product_id AS user_id, s.rank, s.similar_id AS product_id
+         FROM sim_rank s JOIN req r ON s.product_id = r.product_id WHERE s.rank <= r.n)
+""" + enriched("hits").replace("c.user_id,", "c.user_id AS query_product_id,"))
+def r2_similar_products(spark, sf_dir):
+    texts = content_texts(spark, sf_dir)
+    model = content.fit(texts)
+    master = master_of(spark, sf_dir)
+    sim = content.similar(model, product_requests(spark, sf_dir))
+    recs = sim.select(F.col("product_id").alias("query_product_id"), "rank",
+                      F.col("similar_id").alias("product_id"))
+    return router.enrich(recs, profiles.product_profiles(master)).select(
+        "query_product_id", "rank", "product_id", "category", "price", "review_score",
+        "popularity_sales")
+
+
+@query("m8_prototype_content_neighbours", ids="M8 A17 P12", round_cols=["similarity"],
+       sql=with_(MASTER, PROTO_PROFILE, PROTO_CONTENT)
+       + "SELECT product_id, rank, similar_id, similarity FROM sim_rank WHERE rank <= 10")
+def m8_prototype_content_neighbours(spark, sf_dir):
+    texts = content_texts(spark, sf_dir, prototype=True)
+    model = content.fit(texts, stop_words=[])
+    return content.neighbours(model, texts, 10)
+
+
+# ---------------------------------------------------------------- encoders, ALS
+@query("m1_encode_users", ids="M1",
+       sql=with_(MASTER, SCORED) + """SELECT user_id,
+  CAST(DENSE_RANK() OVER (ORDER BY CAST(user_id AS VARCHAR)) - 1 AS INTEGER) AS user_code
+  FROM (SELECT DISTINCT user_id FROM interactions)""")
+def m1_encode_users(spark, sf_dir):
+    return encode.fit_encoder(feat.interactions(master_of(spark, sf_dir)), "user_id", "user_code")
+
+
+@query("m2_decode_products", ids="M1 M2",
+       sql=with_(MASTER, SCORED) + """SELECT product_code, product_id FROM (
+  SELECT product_id,
+  CAST(DENSE_RANK() OVER (ORDER BY CAST(product_id AS VARCHAR)) - 1 AS INTEGER) AS product_code
+  FROM (SELECT DISTINCT product_id FROM interactions))""")
+def m2_decode_products(spark, sf_dir):
+    inter = feat.interactions(master_of(spark, sf_dir))
+    codes = encode.fit_encoder(inter, "product_id", "product_code")
+    return encode.decode(codes.select("product_code"), codes, "product_id", "product_code") \
+        .join(codes, "product_id").select("product_code", "product_id")
+
+
+def als_of(master, **kw):
+    return als.fit(feat.interactions(master), **kw)
+
+
+@query("m3_als_fit", ids="M3 M1")
+def m3_als_fit(spark, sf_dir):
+    rec = als_of(master_of(spark, sf_dir))
+    return rec.model.userFactors.select(F.col("id").alias("user_code"),
+                                        F.size("features").alias("factors"))
+
+
+@query("m4_als_top20", ids="M4 J12")
+def m4_als_top20(spark, sf_dir):
+    master = master_of(spark, sf_dir)
+    rec = als_of(master)
+    req = customer_requests(spark, sf_dir)
+    return als.recommend(rec, req, history_of(master))
+
+
+@query("r1_recommend_for_users", ids="R1 T4 M4 J11 J12 J14 R4")
+def r1_recommend_for_users(spark, sf_dir):
+    master = master_of(spark, sf_dir)
+    return router.recommend_for_users(
+        customer_requests(spark, sf_dir), pop.fit(master), als_of(master),
+        history_of(master), profiles.product_profiles(master))

@@ -89,3 +89,79 @@ def with_(*blocks: str) -> str:
     """WITH-list of the mapping views plus the given blocks."""
     parts = [SQL_VIEWS.strip()] + [b.strip() for b in blocks]
     return "WITH " + ",\n".join(parts) + "\n"
+
+GLOBAL_KEY = "~global~"
+
+REQUESTS = """
+known AS (SELECT DISTINCT user_id FROM master),
+req AS (SELECT customer_unique_id AS user_id, customer_state AS state, 10 AS n FROM customers_m),
+seg AS (SELECT r.user_id, r.state, r.n,
+               CASE WHEN k.user_id IS NOT NULL THEN 'warm' ELSE 'cold' END AS segment
+        FROM req r LEFT JOIN known k ON r.user_id = k.user_id)
+"""
+
+POP_LISTS = f"""
+s_top AS (SELECT state, product_id, rank FROM s_rank WHERE rank <= 50),
+s_len AS (SELECT state, COUNT(*) AS s_len FROM s_top GROUP BY state),
+g_top AS (SELECT product_id, rank FROM g_rank WHERE rank <= 100),
+fill AS (
+  SELECT l.state, g.product_id,
+         l.s_len + ROW_NUMBER() OVER (PARTITION BY l.state ORDER BY g.rank) AS pos
+  FROM s_len l CROSS JOIN g_top g
+  WHERE NOT EXISTS (SELECT 1 FROM s_top s WHERE s.state = l.state AND s.product_id = g.product_id)),
+lists AS (
+  SELECT state AS list_key, product_id, rank AS pos FROM s_top
+  UNION ALL SELECT state, product_id, pos FROM fill
+  UNION ALL SELECT '{GLOBAL_KEY}', product_id, rank FROM g_top),
+pop_recs AS (
+  SELECT r.user_id, CAST(x.pos AS INTEGER) AS rank, x.product_id, r.segment
+  FROM seg r JOIN lists x ON x.list_key = CASE
+      WHEN r.state IS NOT NULL AND r.state <> '' AND r.state IN (SELECT state FROM s_len)
+      THEN r.state ELSE '{GLOBAL_KEY}' END
+  WHERE x.pos <= r.n AND x.pos <= 50)
+"""
+
+
+def enriched(src: str, extra: str = "") -> str:
+    """J11 over a (user_id, rank, product_id, ...) relation."""
+    return f"""SELECT c.user_id, c.rank, c.product_id,
+  COALESCE(p.category, 'unknown') AS category,
+  COALESCE(p.avg_price, CAST(0 AS DOUBLE)) AS price,
+  COALESCE(p.avg_review_score, CAST(0 AS DOUBLE)) AS review_score,
+  COALESCE(p.total_purchases, 0) AS popularity_sales{extra}
+FROM {src} c LEFT JOIN prod_prof p ON c.product_id = p.product_id"""
+
+
+def content_blocks(thresholds=(3000.0, 5000.0), labels=("Low", "Mid", "High"),
+                   low_inclusive=False, with_score=True, stop_list="[]",
+                   price_col="avg_price", profile="prod_prof") -> str:
+    low, high = thresholds
+    op = "<=" if low_inclusive else "<"
+    score = (", printf('%.1f', round_even(avg_review_score, 1))" if with_score else "")
+    return f"""
+texts AS (
+  SELECT product_id, price_bucket,
+         concat_ws(' ', COALESCE(category, ''), price_bucket{score}) AS text
+  FROM (SELECT *, CASE WHEN {price_col} {op} {low} THEN '{labels[0]}'
+                       WHEN {price_col} <= {high} THEN '{labels[1]}'
+                       ELSE '{labels[2]}' END AS price_bucket FROM {profile})),
+toks AS (SELECT product_id, unnest(regexp_extract_all(lower(text), '\\b\\w\\w+\\b')) AS token
+         FROM texts),
+tf AS (SELECT product_id, token, COUNT(*) AS tf FROM toks
+       WHERE NOT list_contains({stop_list}, token) GROUP BY product_id, token),
+ndocs AS (SELECT COUNT(*) AS n FROM texts),
+dfreq AS (SELECT token, COUNT(*) AS df FROM tf GROUP BY token),
+w0 AS (SELECT tf.product_id, tf.token, tf.tf,
+              tf.tf * (ln((1 + ndocs.n) / (1 + dfreq.df)) + 1) AS w
+       FROM tf JOIN dfreq ON tf.token = dfreq.token CROSS JOIN ndocs),
+tfidf AS (SELECT product_id, token, tf,
+                 w / sqrt(SUM(w * w) OVER (PARTITION BY product_id)) AS weight FROM w0),
+sims AS (SELECT a.product_id, b.product_id AS similar_id,
+                round(SUM(a.weight * b.weight), 9) AS similarity
+         FROM tfidf a JOIN tfidf b ON a.token = b.token
+         WHERE a.product_id <> b.product_id GROUP BY a.product_id, b.product_id),
+sim_rank AS (SELECT product_id, similar_id, similarity,
+                    CAST(ROW_NUMBER() OVER (PARTITION BY product_id
+                         ORDER BY similarity DESC, similar_id) AS INTEGER) AS rank
+             FROM sims WHERE similarity > 0)
+"""
