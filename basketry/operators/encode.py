@@ -13,23 +13,29 @@ from pyspark.sql import functions as F
 from basketry.session import cut_lineage
 
 
-def fit_encoder(ids: DataFrame, col: str, code: str, partitions: int | None = None) -> DataFrame:
-    """M1: (col, code) with code = rank of cast(col as string) - 1."""
-    spark = ids.sparkSession
+def global_index(df: DataFrame, order, out: str, partitions: int | None = None) -> DataFrame:
+    """Number all rows 1..N in the given order (columns or sort expressions)."""
+    spark = df.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    distinct = ids.select(col).where(F.col(col).isNotNull()).distinct()
-    ranged = (distinct.withColumn("_key", F.col(col).cast("string"))
-              .repartitionByRange(n, "_key")
-              .withColumn("_part", F.spark_partition_id()))
-    ranged = cut_lineage(ranged)
+    ranged = cut_lineage(df.repartitionByRange(n, *order)
+                         .withColumn("_part", F.spark_partition_id()))
     sizes = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_size"))
     # one row per partition: a single-partition window over them is bounded
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("_part", F.coalesce(F.sum("_size").over(before), F.lit(0))
                            .alias("_offset"))
-    local = F.row_number().over(Window.partitionBy("_part").orderBy("_key"))
+    local = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
     return (ranged.join(F.broadcast(offsets), "_part")
-            .select(col, (F.col("_offset") + local - 1).cast("int").alias(code)))
+            .withColumn(out, F.col("_offset") + local)
+            .drop("_part", "_offset"))
+
+
+def fit_encoder(ids: DataFrame, col: str, code: str, partitions: int | None = None) -> DataFrame:
+    """M1: (col, code) with code = rank of cast(col as string) - 1."""
+    distinct = (ids.select(col).where(F.col(col).isNotNull()).distinct()
+                .withColumn("_key", F.col(col).cast("string")))
+    idx = global_index(distinct, [F.col("_key")], "_idx", partitions)
+    return idx.select(col, (F.col("_idx") - 1).cast("int").alias(code))
 
 
 def encode(df: DataFrame, encoder: DataFrame, col: str) -> DataFrame:

@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 
 from basketry.functions import columns as C
 from basketry.functions.text import ENGLISH_STOP_WORDS, sql_stop_list
-from basketry.operators import als, clean, content, encode
+from basketry.operators import als, clean, content, encode, evaluate
 from basketry.operators import features as feat
 from basketry.operators import popularity as pop
 from basketry.operators import profiles, router
 from basketry.plans.catalog import query
 from basketry.plans.sqlbase import (GLOBAL_KEY, MASTER, POP_LISTS, POPULARITY, PROFILES,
-                                    REQUESTS, SCORED, content_blocks, enriched, with_)
+                                    EVAL, REQUESTS, SCORED, content_blocks, enriched, with_)
 from basketry.sources.fixtures import (DELIVERED_STATUS, PRICE_BUCKET_THRESHOLDS,
                                        customer_requests, driver_tables, product_requests)
 
@@ -339,3 +339,73 @@ def r1_recommend_for_users(spark, sf_dir):
     return router.recommend_for_users(
         customer_requests(spark, sf_dir), pop.fit(master), als_of(master),
         history_of(master), profiles.product_profiles(master))
+
+
+# ---------------------------------------------------------------- evaluation
+EVAL_KEY = ["order_id", "order_item_id", "product_id"]
+
+
+def eval_parts(spark, sf_dir):
+    rows = feat.scored_rows(master_of(spark, sf_dir))
+    ev = evaluate.split(rows, EVAL_KEY)
+    train, test = ev.where(F.col("part") == "train"), ev.where(F.col("part") == "test")
+    users = evaluate.eval_users(train, test)
+    return ev, train, test, users, evaluate.truth(test, users)
+
+
+@query("e1_split", ids="E1",
+       sql=with_(MASTER, SCORED, EVAL) + "SELECT * FROM ev")
+def e1_split(spark, sf_dir):
+    return eval_parts(spark, sf_dir)[0].select(
+        "order_id", "order_item_id", "user_id", "product_id", "interaction_score", "part")
+
+
+@query("e4_truth", ids="E4", sql=with_(MASTER, SCORED, EVAL) + "SELECT * FROM truth")
+def e4_truth(spark, sf_dir):
+    return eval_parts(spark, sf_dir)[4]
+
+
+@query("e2_popularity_baseline", ids="E2 J12",
+       sql=with_(MASTER, SCORED, EVAL) + "SELECT * FROM pop_eval")
+def e2_popularity_baseline(spark, sf_dir):
+    _, train, _, users, _ = eval_parts(spark, sf_dir)
+    return evaluate.popularity_baseline(train, users)
+
+
+@query("e5_e8_popularity_user_metrics", ids="E5 E6 E8",
+       round_cols=["precision", "recall", "average_precision", "ndcg"],
+       sql=with_(MASTER, SCORED, EVAL) + "SELECT * FROM pop_metrics")
+def e5_e8_popularity_user_metrics(spark, sf_dir):
+    _, train, _, users, tr = eval_parts(spark, sf_dir)
+    return evaluate.user_metrics(evaluate.popularity_baseline(train, users), tr, users)
+
+
+@query("e7_popularity_summary", ids="E7", round_cols=["popularity"],
+       sql=with_(MASTER, SCORED, EVAL) + """SELECT * FROM (
+  SELECT 'Precision@10' AS metric, AVG(precision) AS popularity FROM pop_metrics
+  UNION ALL SELECT 'Recall@10', AVG(recall) FROM pop_metrics
+  UNION ALL SELECT 'MAP@10', AVG(average_precision) FROM pop_metrics
+  UNION ALL SELECT 'NDCG@10', AVG(ndcg) FROM pop_metrics)""")
+def e7_popularity_summary(spark, sf_dir):
+    return evaluate.summary(e5_e8_popularity_user_metrics(spark, sf_dir), "popularity")
+
+
+def als_eval_recs(train, users):
+    rec = als.fit(feat.summed_interactions(train))                           # A21 + M3
+    req = users.withColumn("n", F.lit(evaluate.K))
+    return als.recommend(rec, req, train.select("user_id", "product_id").distinct(),
+                         over_fetch=1)                                        # M4
+
+
+@query("e3_als_eval_recs", ids="E3 A21 M3 M4")
+def e3_als_eval_recs(spark, sf_dir):
+    _, train, _, users, _ = eval_parts(spark, sf_dir)
+    return als_eval_recs(train, users)
+
+
+@query("e7_comparison", ids="E7 E3 E5 E6 E8")
+def e7_comparison(spark, sf_dir):
+    _, train, _, users, tr = eval_parts(spark, sf_dir)
+    popm = evaluate.user_metrics(evaluate.popularity_baseline(train, users), tr, users)
+    alsm = evaluate.user_metrics(als_eval_recs(train, users), tr, users)
+    return evaluate.comparison({"popularity": popm, "als": alsm})

@@ -165,3 +165,42 @@ sim_rank AS (SELECT product_id, similar_id, similarity,
                          ORDER BY similarity DESC, similar_id) AS INTEGER) AS rank
              FROM sims WHERE similarity > 0)
 """
+
+EVAL = """
+ev AS (
+  SELECT order_id, order_item_id, user_id, product_id, interaction_score,
+         CASE WHEN CAST(('0x' || substr(md5(concat_ws('|', '42', order_id, order_item_id,
+                   product_id)), 1, 8)) AS BIGINT) % 100 < 80 THEN 'train' ELSE 'test' END AS part
+  FROM scored),
+train AS (SELECT * FROM ev WHERE part = 'train'),
+test AS (SELECT * FROM ev WHERE part = 'test'),
+eval_users AS (SELECT DISTINCT user_id FROM test WHERE user_id IN (SELECT user_id FROM train)),
+truth AS (SELECT DISTINCT user_id, product_id FROM test
+          WHERE user_id IN (SELECT user_id FROM eval_users)),
+pscore AS (SELECT product_id, SUM(interaction_score) AS score FROM train GROUP BY product_id),
+pglobal AS (SELECT product_id, ROW_NUMBER() OVER (ORDER BY score DESC, product_id) AS g_rank
+            FROM pscore),
+pcand AS (SELECT u.user_id, g.product_id, g.g_rank FROM eval_users u CROSS JOIN pglobal g
+          WHERE NOT EXISTS (SELECT 1 FROM train t
+                            WHERE t.user_id = u.user_id AND t.product_id = g.product_id)),
+pop_eval AS (
+  SELECT user_id, CAST(rank AS INTEGER) AS rank, product_id FROM (
+    SELECT user_id, product_id, ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY g_rank) AS rank
+    FROM pcand) WHERE rank <= 10),
+hits AS (SELECT r.user_id, r.rank,
+                ROW_NUMBER() OVER (PARTITION BY r.user_id ORDER BY r.rank) AS nth
+         FROM pop_eval r JOIN truth t ON r.user_id = t.user_id AND r.product_id = t.product_id),
+per AS (SELECT user_id, COUNT(*) AS h, SUM(nth / rank) AS ap,
+               SUM(CAST(1 AS DOUBLE) / log2(rank + 1)) AS dcg
+        FROM hits GROUP BY user_id),
+tsize AS (SELECT user_id, COUNT(*) AS n FROM truth GROUP BY user_id),
+pop_metrics AS (
+  SELECT u.user_id,
+         COALESCE(per.h, 0) / CAST(10 AS DOUBLE) AS precision,
+         COALESCE(per.h, 0) / CAST(tsize.n AS DOUBLE) AS recall,
+         COALESCE(per.ap, 0) / CAST(LEAST(tsize.n, 10) AS DOUBLE) AS average_precision,
+         COALESCE(per.dcg, 0) / list_sum(list_transform(range(1, LEAST(tsize.n, 10) + 1),
+                                                     lambda i: 1 / log2(i + 1))) AS ndcg
+  FROM eval_users u JOIN tsize ON u.user_id = tsize.user_id
+  LEFT JOIN per ON u.user_id = per.user_id)
+"""
