@@ -10,9 +10,9 @@ from basketry.functions.text import ENGLISH_STOP_WORDS, sql_stop_list
 from basketry.operators import als, clean, content, encode, evaluate
 from basketry.operators import features as feat
 from basketry.operators import popularity as pop
-from basketry.operators import profiles, router
+from basketry.operators import itemcf, profiles, router
 from basketry.plans.catalog import query
-from basketry.plans.sqlbase import (GLOBAL_KEY, MASTER, POP_LISTS, POPULARITY, PROFILES,
+from basketry.plans.sqlbase import (GLOBAL_KEY, ITEMCF, MASTER, POP_LISTS, POPULARITY, PROFILES,
                                     EVAL, REQUESTS, SCORED, content_blocks, enriched, with_)
 from basketry.sources.fixtures import (DELIVERED_STATUS, PRICE_BUCKET_THRESHOLDS,
                                        customer_requests, driver_tables, product_requests)
@@ -409,3 +409,25 @@ def e7_comparison(spark, sf_dir):
     popm = evaluate.user_metrics(evaluate.popularity_baseline(train, users), tr, users)
     alsm = evaluate.user_metrics(als_eval_recs(train, users), tr, users)
     return evaluate.comparison({"popularity": popm, "als": alsm})
+
+
+# ---------------------------------------------------------------- item-to-item CF
+def cf_ratings(master):
+    return feat.summed_interactions(feat.scored_rows(master)).withColumnRenamed(
+        "interaction_score", "r")
+
+
+@query("m7_item_neighbours", ids="M7 J16 A21 T7", round_cols=["similarity"],
+       sql=with_(MASTER, SCORED, ITEMCF) + """SELECT product_id, rank, similar_id, similarity
+  FROM cf_rank WHERE rank <= 10""")
+def m7_item_neighbours(spark, sf_dir):
+    return itemcf.item_neighbours(cf_ratings(master_of(spark, sf_dir)), k=10)
+
+
+@query("m7_item_neighbours_heavy_path", ids="M7 J16", round_cols=["similarity"],
+       sql=with_(MASTER, SCORED, ITEMCF) + """SELECT product_id, rank, similar_id, similarity
+  FROM cf_rank WHERE rank <= 10""")
+def m7_item_neighbours_heavy_path(spark, sf_dir):
+    """Same result through the threshold path: every user above 8 products is heavy."""
+    return itemcf.item_neighbours(cf_ratings(master_of(spark, sf_dir)), k=10,
+                                  heavy_threshold=8, first_depth=4)

@@ -204,3 +204,19 @@ pop_metrics AS (
   FROM eval_users u JOIN tsize ON u.user_id = tsize.user_id
   LEFT JOIN per ON u.user_id = per.user_id)
 """
+
+ITEMCF = """
+cf_r AS (SELECT user_id, product_id, CAST(SUM(interaction_score) AS DOUBLE) AS r
+         FROM scored GROUP BY user_id, product_id),
+cf_n AS (SELECT product_id, sqrt(SUM(r * r)) AS n FROM cf_r GROUP BY product_id),
+cf_dot AS (SELECT a.product_id, b.product_id AS similar_id, SUM(a.r * b.r) AS d
+           FROM cf_r a JOIN cf_r b ON a.user_id = b.user_id AND a.product_id <> b.product_id
+           GROUP BY a.product_id, b.product_id),
+cf_sim AS (SELECT d.product_id, d.similar_id, round(d.d / (x.n * y.n), 9) AS similarity
+           FROM cf_dot d JOIN cf_n x ON d.product_id = x.product_id
+           JOIN cf_n y ON d.similar_id = y.product_id),
+cf_rank AS (SELECT product_id, similar_id, similarity,
+                   CAST(ROW_NUMBER() OVER (PARTITION BY product_id
+                        ORDER BY similarity DESC, similar_id) AS INTEGER) AS rank
+            FROM cf_sim WHERE similarity > 0)
+"""
