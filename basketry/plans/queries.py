@@ -10,9 +10,9 @@ from basketry.functions.text import ENGLISH_STOP_WORDS, sql_stop_list
 from basketry.operators import als, clean, content, encode, evaluate
 from basketry.operators import features as feat
 from basketry.operators import popularity as pop
-from basketry.operators import itemcf, profiles, router
+from basketry.operators import hybrid, itemcf, profiles, router
 from basketry.plans.catalog import query
-from basketry.plans.sqlbase import (GLOBAL_KEY, ITEMCF, MASTER, POP_LISTS, POPULARITY, PROFILES,
+from basketry.plans.sqlbase import (GLOBAL_KEY, HYBRID, ITEMCF, MASTER, POP_LISTS, POPULARITY, PROFILES,
                                     EVAL, REQUESTS, SCORED, content_blocks, enriched, with_)
 from basketry.sources.fixtures import (DELIVERED_STATUS, PRICE_BUCKET_THRESHOLDS,
                                        customer_requests, driver_tables, product_requests)
@@ -431,3 +431,53 @@ def m7_item_neighbours_heavy_path(spark, sf_dir):
     """Same result through the threshold path: every user above 8 products is heavy."""
     return itemcf.item_neighbours(cf_ratings(master_of(spark, sf_dir)), k=10,
                                   heavy_threshold=8, first_depth=4)
+
+
+# ---------------------------------------------------------------- hybrid ranking
+HYB_SQL = with_(MASTER, SCORED, POPULARITY, PROFILES, REQUESTS, POP_LISTS, SRC_CONTENT,
+                ITEMCF, HYBRID)
+
+
+@query("h1_user_context", ids="H1 A18 A20",
+       sql=HYB_SQL + "SELECT user_id, state, n, is_new, interaction_count, "
+       "last_purchase_days, user_state FROM hctx")
+def h1_user_context(spark, sf_dir):
+    return hybrid.user_context(customer_requests(spark, sf_dir), master_of(spark, sf_dir))
+
+
+@query("h2_model_selection", ids="H2",
+       sql=HYB_SQL + "SELECT user_id, is_new, interaction_count, route FROM hroute")
+def h2_model_selection(spark, sf_dir):
+    return hybrid.select_models(h1_user_context(spark, sf_dir)).select(
+        "user_id", "is_new", "interaction_count", "route")
+
+
+def hybrid_inputs(spark, sf_dir):
+    master = master_of(spark, sf_dir)
+    inter = feat.interactions(master)
+    item_lists = itemcf.item_neighbours(cf_ratings(master), k=hybrid.CANDIDATES)
+    texts = content_texts(spark, sf_dir)
+    content_lists = content.neighbours(content.fit(texts), texts, hybrid.CANDIDATES)
+    return master, inter, item_lists, content_lists
+
+
+@query("h3_h6_hybrid_item_content", ids="H3 H4 H5 H6 T5 T6 J12",
+       round_cols=["final_score"], sql=HYB_SQL + "SELECT * FROM hybrid_out")
+def h3_h6_hybrid_item_content(spark, sf_dir):
+    """The hybrid ranking with the item-CF and content candidates (no ALS)."""
+    master, inter, item_lists, content_lists = hybrid_inputs(spark, sf_dir)
+    return hybrid.recommend(customer_requests(spark, sf_dir), master, inter, item_lists,
+                            content_lists, pop.fit(master), profiles.product_profiles(master))
+
+
+@query("h1_h6_hybrid", ids="H1 H2 H3 H4 H5 H6 T5 T6 M4")
+def h1_h6_hybrid(spark, sf_dir):
+    """The full hybrid ranking with ALS candidates (rows only)."""
+    master, inter, item_lists, content_lists = hybrid_inputs(spark, sf_dir)
+    req = customer_requests(spark, sf_dir)
+    routed = hybrid.select_models(hybrid.user_context(req, master))
+    als_req = routed.where(F.col("route") == "hybrid").select(
+        "user_id", F.lit(hybrid.CANDIDATES).alias("n"))
+    als_recs = als.recommend(als_of(master), als_req, history_of(master), over_fetch=1)
+    return hybrid.recommend(req, master, inter, item_lists, content_lists, pop.fit(master),
+                            profiles.product_profiles(master), als_recs)

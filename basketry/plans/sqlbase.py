@@ -220,3 +220,68 @@ cf_rank AS (SELECT product_id, similar_id, similarity,
                         ORDER BY similarity DESC, similar_id) AS INTEGER) AS rank
             FROM cf_sim WHERE similarity > 0)
 """
+
+HYBRID = """
+hlatest AS (SELECT user_id, customer_state AS user_state FROM (
+  SELECT user_id, customer_state, ROW_NUMBER() OVER (
+           PARTITION BY user_id ORDER BY order_time DESC, order_id DESC) AS rn
+  FROM master) WHERE rn = 1),
+hstats AS (SELECT user_id, COUNT(*) AS cnt, MAX(order_time) AS last_t FROM master GROUP BY user_id),
+hctx AS (
+  SELECT r.user_id, r.state, r.n, s.user_id IS NULL AS is_new,
+         COALESCE(s.cnt, 0) AS interaction_count,
+         date_sub('day', s.last_t, (SELECT MAX(order_time) FROM master)) AS last_purchase_days,
+         l.user_state
+  FROM req r LEFT JOIN hstats s ON r.user_id = s.user_id
+  LEFT JOIN hlatest l ON r.user_id = l.user_id),
+hroute AS (SELECT *, CASE WHEN is_new THEN 'geo_popular' WHEN interaction_count < 5 THEN 'content'
+                          ELSE 'hybrid' END AS route FROM hctx),
+hhist AS (SELECT user_id, product_id, CAST(interaction_score AS DOUBLE) AS r FROM interactions),
+hitem0 AS (SELECT h.user_id, c.similar_id AS product_id, SUM(c.similarity * h.r) AS s
+           FROM hhist h JOIN cf_rank c ON c.product_id = h.product_id
+           WHERE c.rank <= 50 AND h.user_id IN (SELECT user_id FROM hroute WHERE route = 'hybrid')
+           GROUP BY h.user_id, c.similar_id),
+hitem1 AS (SELECT user_id, product_id,
+                  round(s / MAX(s) OVER (PARTITION BY user_id), 9) AS item_score FROM hitem0),
+hitem AS (SELECT user_id, product_id, item_score FROM (
+  SELECT *, ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY item_score DESC, product_id) AS rn
+  FROM hitem1) WHERE rn <= 50),
+hcont0 AS (SELECT h.user_id, c.similar_id AS product_id, MAX(c.similarity) AS content_score
+           FROM hhist h JOIN sim_rank c ON c.product_id = h.product_id
+           WHERE c.rank <= 50
+             AND h.user_id IN (SELECT user_id FROM hroute WHERE route IN ('hybrid', 'content'))
+           GROUP BY h.user_id, c.similar_id),
+hcont AS (SELECT user_id, product_id, content_score FROM (
+  SELECT *, ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY content_score DESC, product_id) AS rn
+  FROM hcont0) WHERE rn <= 50),
+hmerged AS (
+  SELECT user_id, product_id, CAST(0 AS DOUBLE) AS als_score,
+         COALESCE(MAX(item_score), 0) AS item_score,
+         COALESCE(MAX(content_score), 0) AS content_score
+  FROM (SELECT user_id, product_id, item_score, CAST(NULL AS DOUBLE) AS content_score FROM hitem
+        UNION ALL
+        SELECT user_id, product_id, CAST(NULL AS DOUBLE), content_score FROM hcont)
+  GROUP BY user_id, product_id),
+hscored AS (SELECT *, round(CAST(0.5 AS DOUBLE) * als_score + CAST(0.3 AS DOUBLE) * item_score
+                            + CAST(0.2 AS DOUBLE) * content_score, 9) AS final_score
+            FROM hmerged),
+hrules AS (SELECT s.*, p.category FROM hscored s JOIN prod_prof p ON s.product_id = p.product_id
+           WHERE p.avg_review_score >= 3.5
+             AND NOT EXISTS (SELECT 1 FROM interactions i
+                             WHERE i.user_id = s.user_id AND i.product_id = s.product_id)),
+hdiv AS (SELECT * FROM (
+  SELECT *, ROW_NUMBER() OVER (PARTITION BY user_id, category
+                               ORDER BY final_score DESC, product_id) AS c
+  FROM hrules) WHERE c <= 2),
+hfinal AS (SELECT * FROM (
+  SELECT user_id, CAST(ROW_NUMBER() OVER (PARTITION BY user_id
+                       ORDER BY final_score DESC, product_id) AS INTEGER) AS rank,
+         product_id, final_score FROM hdiv) WHERE rank <= 10),
+hybrid_out AS (
+  SELECT f.user_id, f.rank, f.product_id, f.final_score, r.route
+  FROM hfinal f JOIN hroute r ON f.user_id = r.user_id
+  UNION ALL
+  SELECT p.user_id, p.rank, p.product_id, CAST(NULL AS DOUBLE), 'geo_popular'
+  FROM pop_recs p JOIN hroute r ON p.user_id = r.user_id
+  WHERE r.route = 'geo_popular' AND p.rank <= 10)
+"""
