@@ -96,22 +96,34 @@ def build_master(raw: RawTables, delivered: str = DEFAULT_DELIVERED,
         F.coalesce(F.col("review_score"), F.lit(REVIEW_FILL)).alias("review_score"))
 
 
-def prototype_master(raw: RawTables, delivered: str = DEFAULT_DELIVERED,
-                     missing_category: str = PROTOTYPE_MISSING_CATEGORY) -> DataFrame:
-    """J10 + P10 + P11: the notebook's join chain (raw reviews left, payments inner),
-    its renames and fills, the listed columns dropped, then full-row de-duplication."""
+def prototype_joined(raw: RawTables, delivered: str = DEFAULT_DELIVERED,
+                     reviews: DataFrame | None = None) -> DataFrame:
+    """The notebook's join chain (raw reviews left, payment totals inner) with
+    its renames, before any fill. Each item row is repeated once per review row
+    of its order, as in the notebook."""
     orders = delivered_orders(raw.orders, delivered)
+    reviews = raw.reviews if reviews is None else reviews
     products = raw.products.join(
         bounded_broadcast(raw.translation, TRANSLATION_MAX_ROWS),
         "product_category_name", "left")
     joined = (orders.join(raw.order_items, "order_id")
               .join(products, "product_id")
               .join(raw.customers, "customer_id")
-              .join(raw.reviews, "order_id", "left")
+              .join(reviews, "order_id", "left")
               .join(payment_per_order(raw.payments), "order_id"))
-    renamed = (joined.withColumnRenamed("customer_unique_id", "user_id")
-               .withColumnRenamed("product_category_name_english", "category"))
-    filled = renamed.withColumns({
+    return (joined.withColumnRenamed("customer_unique_id", "user_id")
+            .withColumnRenamed("product_category_name_english", "category"))
+
+
+def prototype_master(raw: RawTables, delivered: str = DEFAULT_DELIVERED,
+                     missing_category: str = PROTOTYPE_MISSING_CATEGORY) -> DataFrame:
+    """J10 + P10 + P11: fills, the listed columns dropped, full-row de-duplication.
+
+    Only ``review_score`` of a review survives the drop, so joining the distinct
+    (order, score) pairs gives the same de-duplicated rows without the
+    items x reviews fan-out of a large order."""
+    scores = raw.reviews.select("order_id", "review_score").distinct()
+    filled = prototype_joined(raw, delivered, scores).withColumns({
         "review_score": F.coalesce(F.col("review_score"), F.lit(REVIEW_FILL)),
         "category": F.coalesce(F.col("category"), F.lit(missing_category))})
     return filled.drop(*PROTOTYPE_DROP).dropDuplicates()

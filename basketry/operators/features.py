@@ -20,7 +20,7 @@ from basketry.functions import columns as C
 
 def mean_payment(master: DataFrame) -> DataFrame:
     """A3: global mean of ``payment_value`` over item rows (one row)."""
-    return master.agg(F.avg("payment_value").alias("mean_payment"))
+    return master.agg(C.exact_avg(F.col("payment_value")).alias("mean_payment"))
 
 
 def weighted_rows(master: DataFrame, purchase_weight: int = C.PURCHASE_WEIGHT,

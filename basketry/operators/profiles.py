@@ -19,7 +19,7 @@ def user_profiles(master: DataFrame) -> DataFrame:
     """(user_id, total_purchases, avg_order_value, favorite_category, active_days)."""
     by_cat = (master.groupBy("user_id", "category")
               .agg(F.count(F.lit(1)).alias("n"),
-                   F.sum("payment_value").alias("pay_sum"),
+                   C.exact_sum(F.col("payment_value")).alias("pay_sum"),
                    F.count("payment_value").alias("pay_n"),
                    F.min("order_time").alias("first_t"),
                    F.max("order_time").alias("last_t")))
@@ -27,7 +27,8 @@ def user_profiles(master: DataFrame) -> DataFrame:
                        F.struct((-F.col("n")).alias("neg_n"), F.col("category"))))
     prof = (by_cat.groupBy("user_id")
             .agg(F.sum("n").alias("total_purchases"),                      # A6
-                 (F.sum("pay_sum") / F.sum("pay_n")).alias("avg_order_value"),  # A7
+                 (F.sum("pay_sum") / F.sum("pay_n")).cast("double")
+                 .alias("avg_order_value"),                                 # A7
                  fav.alias("fav"),                                          # A8
                  F.min("first_t").alias("first_t"),
                  F.max("last_t").alias("last_t")))
@@ -43,7 +44,7 @@ def product_profiles(master: DataFrame, price_col: str = "price") -> DataFrame:
     ``price_col="payment_value"`` gives the prototype's price (A17)."""
     return (master.groupBy("product_id")
             .agg(F.count(F.lit(1)).alias("total_purchases"),     # A10
-                 F.avg(price_col).alias("avg_price"),            # A11 / A17
+                 C.exact_avg(F.col(price_col)).alias("avg_price"),  # A11 / A17
                  C.exact_avg(F.col("review_score")).alias("avg_review_score"),  # A12
                  F.min("category").alias("category")))           # A13
 

@@ -10,12 +10,13 @@ from basketry.functions.text import ENGLISH_STOP_WORDS, sql_stop_list
 from basketry.operators import als, clean, content, encode, evaluate
 from basketry.operators import features as feat
 from basketry.operators import popularity as pop
-from basketry.operators import hybrid, itemcf, profiles, router
+from basketry.operators import business, hybrid, itemcf, profiles, profiling, router
 from basketry.plans.catalog import query
-from basketry.plans.sqlbase import (GLOBAL_KEY, HYBRID, ITEMCF, MASTER, POP_LISTS, POPULARITY, PROFILES,
+from basketry.plans.sqlbase import (EA_PAY, GLOBAL_KEY, exact_avg, HYBRID, ITEMCF, MASTER, PROTOTYPE, POP_LISTS, POPULARITY, PROFILES,
                                     EVAL, REQUESTS, SCORED, content_blocks, enriched, with_)
 from basketry.sources.fixtures import (DELIVERED_STATUS, PRICE_BUCKET_THRESHOLDS,
-                                       customer_requests, driver_tables, product_requests)
+                                       customer_requests, driver_tables, events,
+                                       product_requests)
 
 
 def master_of(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,7 +61,7 @@ def j1_j6_master(spark, sf_dir):
 
 # ---------------------------------------------------------------- interaction scores
 @query("a3_mean_payment", ids="A3", round_cols=["mean_payment"],
-       sql=with_(MASTER) + "SELECT AVG(payment_value) AS mean_payment FROM master")
+       sql=with_(MASTER) + f"SELECT {EA_PAY} AS mean_payment FROM master")
 def a3_mean_payment(spark, sf_dir):
     return feat.mean_payment(master_of(spark, sf_dir))
 
@@ -224,23 +225,22 @@ def r3_cold_envelopes(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- content model
+def prototype_of(spark, sf_dir):
+    return clean.prototype_master(driver_tables(spark, sf_dir), delivered=DELIVERED_STATUS)
+
+
 def content_texts(spark, sf_dir, prototype=False):
-    master = master_of(spark, sf_dir)
     if prototype:
-        prof = profiles.product_profiles(master, price_col="payment_value")
+        prof = profiles.product_profiles(prototype_of(spark, sf_dir),
+                                         price_col="payment_value")
         return content.product_texts(prof, PRICE_BUCKET_THRESHOLDS, C.NOTEBOOK_BUCKET_LABELS,
                                      low_inclusive=True, with_score=False)
+    master = master_of(spark, sf_dir)
     return content.product_texts(profiles.product_profiles(master), PRICE_BUCKET_THRESHOLDS)
 
 
 SRC_CONTENT = content_blocks(PRICE_BUCKET_THRESHOLDS, C.SRC_BUCKET_LABELS, False, True,
                              sql_stop_list(ENGLISH_STOP_WORDS))
-PROTO_PROFILE = """
-proto_prof AS (
-  SELECT product_id, COUNT(*) AS total_purchases, AVG(payment_value) AS avg_price,
-         MIN(category) AS category
-  FROM master GROUP BY product_id)
-"""
 PROTO_CONTENT = content_blocks(PRICE_BUCKET_THRESHOLDS, C.NOTEBOOK_BUCKET_LABELS, True, False,
                                "[]", profile="proto_prof")
 
@@ -285,7 +285,7 @@ def r2_similar_products(spark, sf_dir):
 
 
 @query("m8_prototype_content_neighbours", ids="M8 A17 P12", round_cols=["similarity"],
-       sql=with_(MASTER, PROTO_PROFILE, PROTO_CONTENT)
+       sql=with_(MASTER, PROTOTYPE, PROTO_CONTENT)
        + "SELECT product_id, rank, similar_id, similarity FROM sim_rank WHERE rank <= 10")
 def m8_prototype_content_neighbours(spark, sf_dir):
     texts = content_texts(spark, sf_dir, prototype=True)
@@ -481,3 +481,157 @@ def h1_h6_hybrid(spark, sf_dir):
     als_recs = als.recommend(als_of(master), als_req, history_of(master), over_fetch=1)
     return hybrid.recommend(req, master, inter, item_lists, content_lists, pop.fit(master),
                             profiles.product_profiles(master), als_recs)
+
+
+# ---------------------------------------------------------------- prototype, profiling
+@query("j10_prototype_master", ids="J10 P10 P11", round_cols=["payment_value", "review_score"],
+       sql=with_(MASTER, PROTOTYPE) + "SELECT * FROM proto_master")
+def j10_prototype_master(spark, sf_dir):
+    return prototype_of(spark, sf_dir)
+
+
+@query("a17_prototype_product_profiles", ids="A17 A10 A12",
+       round_cols=["avg_price", "avg_review_score"],
+       sql=with_(MASTER, PROTOTYPE) + "SELECT * FROM proto_prof")
+def a17_prototype_product_profiles(spark, sf_dir):
+    return profiles.product_profiles(prototype_of(spark, sf_dir), price_col="payment_value")
+
+
+MAPPED = [("customers", "customers_m"), ("orders", "orders_m"), ("order_items", "items_m"),
+          ("products", "products_m"), ("translation", "translation_m"),
+          ("payments", "payments_m"), ("reviews", "reviews_m"), ("sellers", "sellers_m"),
+          ("geolocation", "geolocation_m")]
+MAPPED_COLS = {"customers": 4, "orders": 4, "order_items": 6, "products": 3, "translation": 2,
+               "payments": 2, "reviews": 2, "sellers": 2, "geolocation": 2}
+
+
+@query("q1_table_shapes", ids="Q1 S1 S2",
+       sql=with_() + " UNION ALL ".join(
+           f"SELECT '{n}' AS table_name, COUNT(*) AS n_rows, {MAPPED_COLS[n]} AS n_cols FROM {v}"
+           for n, v in MAPPED))
+def q1_table_shapes(spark, sf_dir):
+    return profiling.shapes(driver_tables(spark, sf_dir).items())
+
+
+PROTO_JOIN_COLS = ["product_id", "customer_id", "order_id", "order_status", "order_time",
+                   "order_item_id", "seller_id", "price", "shipping_limit_date",
+                   "product_category_name", "product_weight_g", "category", "user_id",
+                   "customer_state", "customer_zip_code_prefix", "review_score",
+                   "payment_value"]
+
+
+@query("q2_duplicates", ids="Q2 P11",
+       sql=with_(MASTER, PROTOTYPE) + """
+SELECT 'payments.order_id' AS check_name, CAST(COALESCE(SUM(n - 1), 0) AS BIGINT) AS duplicates
+FROM (SELECT order_id, COUNT(*) AS n FROM payments_m GROUP BY order_id)
+UNION ALL
+SELECT 'prototype_joined.row', CAST(COALESCE(SUM(n - 1), 0) AS BIGINT)
+FROM (SELECT COUNT(*) AS n FROM proto_join GROUP BY ALL_COLS)
+UNION ALL
+SELECT 'prototype_dropped.row', CAST(COALESCE(SUM(n - 1), 0) AS BIGINT)
+FROM (SELECT COUNT(*) AS n FROM (
+  SELECT order_id, product_id, order_time, order_item_id, COALESCE(category, 'Unknown') AS category,
+         user_id, customer_state, COALESCE(review_score, CAST(3 AS DOUBLE)) AS review_score,
+         payment_value FROM proto_join)
+  GROUP BY order_id, product_id, order_time, order_item_id, category, user_id, customer_state,
+           review_score, payment_value)""".replace("ALL_COLS", ", ".join(PROTO_JOIN_COLS)))
+def q2_duplicates(spark, sf_dir):
+    t = driver_tables(spark, sf_dir)
+    joined = clean.prototype_joined(t, DELIVERED_STATUS)
+    filled = joined.withColumns({
+        "review_score": F.coalesce(F.col("review_score"), F.lit(clean.REVIEW_FILL)),
+        "category": F.coalesce(F.col("category"), F.lit(clean.PROTOTYPE_MISSING_CATEGORY))})
+    return (profiling.duplicates("payments.order_id", t.payments, ["order_id"])
+            .unionByName(profiling.duplicates("prototype_joined.row", joined))
+            .unionByName(profiling.duplicates("prototype_dropped.row",
+                                              filled.drop(*clean.PROTOTYPE_DROP))))
+
+
+@query("q3_null_counts", ids="Q3",
+       sql=with_(MASTER, PROTOTYPE) + " UNION ALL ".join(
+           f"SELECT '{c}' AS column_name, COUNT(*) - COUNT({c}) AS nulls FROM proto_join"
+           for c in PROTO_JOIN_COLS))
+def q3_null_counts(spark, sf_dir):
+    joined = clean.prototype_joined(driver_tables(spark, sf_dir), DELIVERED_STATUS)
+    return profiling.null_counts(joined.select(*PROTO_JOIN_COLS))
+
+
+DESCRIBE_COLS = ["order_item_id", "price", "payment_value", "review_score"]
+
+
+@query("q4_describe", ids="Q4",
+       round_cols=["mean", "std", "min", "p25", "p50", "p75", "max"],
+       sql=with_(MASTER) + " UNION ALL ".join(
+           f"""SELECT '{c}' AS column_name, COUNT({c}) AS count, AVG({c}) AS mean,
+  STDDEV_SAMP({c}) AS std, CAST(MIN({c}) AS DOUBLE) AS min,
+  quantile_cont({c}, 0.25) AS p25, quantile_cont({c}, 0.5) AS p50,
+  quantile_cont({c}, 0.75) AS p75, CAST(MAX({c}) AS DOUBLE) AS max FROM master"""
+           for c in DESCRIBE_COLS))
+def q4_describe(spark, sf_dir):
+    return profiling.describe(master_of(spark, sf_dir), DESCRIBE_COLS)
+
+
+@query("t8_category_counts_sorted", ids="T8 A8",
+       sql=with_(MASTER) + """SELECT user_id, category, COUNT(*) AS count,
+  ROW_NUMBER() OVER (ORDER BY COUNT(*) DESC, user_id, category) AS position
+  FROM master GROUP BY user_id, category""")
+def t8_category_counts_sorted(spark, sf_dir):
+    return profiling.category_counts_sorted(master_of(spark, sf_dir))
+
+
+@query("t8_active_days_sorted", ids="T8 A9",
+       sql=with_(MASTER, PROFILES) + """SELECT user_id, active_days,
+  ROW_NUMBER() OVER (ORDER BY active_days DESC, user_id) AS position FROM user_prof""")
+def t8_active_days_sorted(spark, sf_dir):
+    return profiling.active_days_sorted(profiles.user_profiles(master_of(spark, sf_dir)))
+
+
+# ---------------------------------------------------------------- business metrics
+ORDER_FACTS = f"""
+ofacts AS (
+  SELECT o.order_id, c.customer_unique_id AS user_id, c.customer_state,
+         o.order_purchase_timestamp AS order_time, pay.payment_value
+  FROM orders_m o JOIN customers_m c ON o.customer_id = c.customer_id
+  LEFT JOIN pay ON pay.order_id = o.order_id
+  WHERE o.order_status = '{DELIVERED_STATUS}')
+"""
+
+
+@query("k1_average_order_value", ids="K1 A1", round_cols=["aov"],
+       sql=with_(MASTER, ORDER_FACTS) + f"""SELECT customer_state, strftime(order_time, '%Y-%m') AS month,
+  COUNT(*) AS orders, {exact_avg("COALESCE(payment_value, CAST(0 AS DOUBLE))")} AS aov
+  FROM ofacts GROUP BY customer_state, strftime(order_time, '%Y-%m')""")
+def k1_average_order_value(spark, sf_dir):
+    return business.average_order_value(driver_tables(spark, sf_dir), DELIVERED_STATUS)
+
+
+@query("k2_repeat_purchase_rate", ids="K2", round_cols=["repeat_rate"],
+       sql=with_(MASTER, ORDER_FACTS) + """SELECT COUNT(*) AS users,
+  SUM(CASE WHEN n >= 2 THEN 1 ELSE 0 END) AS repeat_users,
+  SUM(CASE WHEN n >= 2 THEN 1 ELSE 0 END) / COUNT(*) AS repeat_rate
+  FROM (SELECT user_id, COUNT(DISTINCT order_id) AS n FROM ofacts GROUP BY user_id)""")
+def k2_repeat_purchase_rate(spark, sf_dir):
+    return business.repeat_purchase_rate(driver_tables(spark, sf_dir), DELIVERED_STATUS)
+
+
+@query("k3_click_through_rate", ids="K3", round_cols=["ctr"],
+       sql="""SELECT CAST(ts AS DATE) AS day,
+  SUM(CASE WHEN event_type = 'view' THEN 1 ELSE 0 END) AS views,
+  SUM(CASE WHEN event_type = 'click' THEN 1 ELSE 0 END) AS clicks,
+  CASE WHEN SUM(CASE WHEN event_type = 'view' THEN 1 ELSE 0 END) > 0 THEN
+    SUM(CASE WHEN event_type = 'click' THEN 1 ELSE 0 END)
+    / SUM(CASE WHEN event_type = 'view' THEN 1 ELSE 0 END) END AS ctr
+  FROM events GROUP BY CAST(ts AS DATE)""")
+def k3_click_through_rate(spark, sf_dir):
+    return business.click_through_rate(events(spark, sf_dir))
+
+
+@query("k4_conversion_rate", ids="K4", round_cols=["conversion_rate"],
+       sql="""SELECT day, COUNT(*) AS viewers, CAST(SUM(p) AS BIGINT) AS converted,
+  SUM(p) / COUNT(*) AS conversion_rate FROM (
+    SELECT CAST(ts AS DATE) AS day, user_id,
+           MAX(CASE WHEN event_type = 'view' THEN 1 ELSE 0 END) AS v,
+           MAX(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) AS p
+    FROM events GROUP BY CAST(ts AS DATE), user_id) WHERE v = 1 GROUP BY day""")
+def k4_conversion_rate(spark, sf_dir):
+    return business.conversion_rate(events(spark, sf_dir))

@@ -5,6 +5,10 @@ from __future__ import annotations
 
 from basketry.sources.fixtures import DELIVERED_STATUS, SQL_VIEWS
 
+EA_PAY = "CAST(AVG(CAST(ROUND(payment_value, 9) AS DECIMAL(30,9))) AS DOUBLE)"
+EA_PRICE = "CAST(AVG(CAST(ROUND(price, 9) AS DECIMAL(30,9))) AS DOUBLE)"
+EA_REVIEW = "CAST(AVG(CAST(ROUND(review_score, 9) AS DECIMAL(30,9))) AS DOUBLE)"
+
 MASTER = f"""
 orders_f AS (
   SELECT order_id, customer_id, order_purchase_timestamp AS order_time
@@ -30,11 +34,11 @@ master AS (
   LEFT JOIN rev ON rev.order_id = o.order_id)
 """
 
-SCORED = """
+SCORED = f"""
 weighted AS (
   SELECT m.*, 5 AS purchase_weight,
          CASE WHEN review_score >= 4.0 THEN 2 ELSE 0 END AS review_weight,
-         CASE WHEN payment_value > (SELECT AVG(payment_value) FROM master) THEN 1 ELSE 0 END
+         CASE WHEN payment_value > (SELECT {EA_PAY} FROM master) THEN 1 ELSE 0 END
            AS value_weight,
          CASE WHEN COUNT(*) OVER (PARTITION BY user_id, product_id) > 1 THEN 3 ELSE 0 END
            AS repeat_weight
@@ -63,11 +67,11 @@ s_rank AS (SELECT state, product_id, score,
            FROM s_scores)
 """
 
-PROFILES = """
+PROFILES = f"""
 user_prof AS (
   SELECT u.user_id, u.total_purchases, u.avg_order_value, f.favorite_category,
          u.active_days
-  FROM (SELECT user_id, COUNT(*) AS total_purchases, AVG(payment_value) AS avg_order_value,
+  FROM (SELECT user_id, COUNT(*) AS total_purchases, {EA_PAY} AS avg_order_value,
                CAST(date_sub('day', MIN(order_time), MAX(order_time)) + 1 AS INTEGER)
                  AS active_days
         FROM master GROUP BY user_id) u
@@ -78,13 +82,18 @@ user_prof AS (
       FROM master GROUP BY user_id, category) WHERE rn = 1) f
   ON u.user_id = f.user_id),
 prod_prof AS (
-  SELECT product_id, COUNT(*) AS total_purchases, AVG(price) AS avg_price,
-         CAST(AVG(CAST(ROUND(review_score, 12) AS DECIMAL(30,12))) AS DOUBLE) AS avg_review_score,
+  SELECT product_id, COUNT(*) AS total_purchases, {EA_PRICE} AS avg_price,
+         {EA_REVIEW} AS avg_review_score,
          MIN(category) AS category
   FROM master GROUP BY product_id)
 """
 
 
+def exact_avg(col: str, scale: int = 9) -> str:
+    """DuckDB twin of ``columns.exact_avg``."""
+    return f"CAST(AVG(CAST(ROUND({col}, {scale}) AS DECIMAL(30,{scale}))) AS DOUBLE)"
+
+
 def with_(*blocks: str) -> str:
     """WITH-list of the mapping views plus the given blocks."""
     parts = [SQL_VIEWS.strip()] + [b.strip() for b in blocks]
@@ -285,3 +294,30 @@ hybrid_out AS (
   FROM pop_recs p JOIN hroute r ON p.user_id = r.user_id
   WHERE r.route = 'geo_popular' AND p.rank <= 10)
 """
+
+PROTOTYPE = f"""
+proto_prod AS (SELECT p.*, t.product_category_name_english FROM products_m p
+               LEFT JOIN translation_m t ON p.product_category_name = t.product_category_name),
+proto_join AS (
+  SELECT o.order_id, i.product_id, o.customer_id, o.order_status,
+         o.order_purchase_timestamp AS order_time, i.order_item_id, i.seller_id, i.price,
+         i.shipping_limit_date, pp.product_category_name, pp.product_weight_g,
+         pp.product_category_name_english AS category, c.customer_unique_id AS user_id,
+         c.customer_state, c.customer_zip_code_prefix, r.review_score, pay.payment_value
+  FROM orders_m o JOIN items_m i ON i.order_id = o.order_id
+  JOIN proto_prod pp ON pp.product_id = i.product_id
+  JOIN customers_m c ON c.customer_id = o.customer_id
+  LEFT JOIN reviews_m r ON r.order_id = o.order_id
+  JOIN pay ON pay.order_id = o.order_id
+  WHERE o.order_status = '{DELIVERED_STATUS}'),
+proto_master AS (
+  SELECT DISTINCT order_id, product_id, order_time, order_item_id,
+         COALESCE(category, 'Unknown') AS category, user_id, customer_state,
+         COALESCE(review_score, CAST(3 AS DOUBLE)) AS review_score, payment_value
+  FROM proto_join),
+proto_prof AS (
+  SELECT product_id, COUNT(*) AS total_purchases, {EA_PAY} AS avg_price,
+         {EA_REVIEW} AS avg_review_score,
+         MIN(category) AS category
+  FROM proto_master GROUP BY product_id)
+"""
