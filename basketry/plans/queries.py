@@ -11,12 +11,16 @@ from basketry.operators import als, clean, content, encode, evaluate
 from basketry.operators import features as feat
 from basketry.operators import popularity as pop
 from basketry.operators import business, hybrid, itemcf, profiles, profiling, router
+from basketry.plans import train as train_plan
 from basketry.plans.catalog import query
 from basketry.plans.sqlbase import (EA_PAY, GLOBAL_KEY, exact_avg, HYBRID, ITEMCF, MASTER, PROTOTYPE, POP_LISTS, POPULARITY, PROFILES,
                                     EVAL, REQUESTS, SCORED, content_blocks, enriched, with_)
 from basketry.sources.fixtures import (DELIVERED_STATUS, PRICE_BUCKET_THRESHOLDS,
                                        customer_requests, driver_tables, events,
                                        product_requests)
+from basketry.session import scratch_path
+from basketry.sources import store
+from basketry.sources.tables import load_raw, write_raw_csv
 
 
 def master_of(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -635,3 +639,41 @@ def k3_click_through_rate(spark, sf_dir):
     FROM events GROUP BY CAST(ts AS DATE), user_id) WHERE v = 1 GROUP BY day""")
 def k4_conversion_rate(spark, sf_dir):
     return business.conversion_rate(events(spark, sf_dir))
+
+
+# ---------------------------------------------------------------- sources, sinks, training
+def _scratch(spark, name):
+    import uuid
+    return scratch_path(spark, f"{name}-{uuid.uuid4().hex[:12]}")
+
+
+@query("s1_csv_master", ids="S1 P9 J1 J2 J3 J4 J5 J6",
+       round_cols=["price", "payment_value", "review_score"],
+       sql=with_(MASTER) + """SELECT CAST(order_id AS VARCHAR) AS order_id, order_item_id,
+  CAST(user_id AS VARCHAR) AS user_id, CAST(product_id AS VARCHAR) AS product_id,
+  customer_state, order_time, price, category, payment_value, review_score FROM master""")
+def s1_csv_master(spark, sf_dir):
+    """The mapped tables written in the raw CSV layout, loaded back by S1 (explicit
+    schemas, timestamps parsed), then cleaned into the master."""
+    folder = _scratch(spark, "raw-csv")
+    write_raw_csv(driver_tables(spark, sf_dir), folder)
+    return clean.build_master(load_raw(spark, folder), delivered=DELIVERED_STATUS)
+
+
+@query("s3_s4_store_roundtrip", ids="S3 S4", round_cols=["avg_price", "avg_review_score"],
+       sql=with_(MASTER, PROFILES) + "SELECT * FROM prod_prof")
+def s3_s4_store_roundtrip(spark, sf_dir):
+    """Models written to the store and read back; the product profile is returned."""
+    folder = _scratch(spark, "store")
+    models = train_plan.fit_models(driver_tables(spark, sf_dir), delivered=DELIVERED_STATUS,
+                                   price_thresholds=PRICE_BUCKET_THRESHOLDS, with_als=False)
+    store.save(models, folder)
+    return store.load(spark, folder).product_profiles
+
+
+@query("s6_train", ids="S6 S3 M3 M5 M9")
+def s6_train(spark, sf_dir):
+    """The whole training job with ALS; returns the saved tables and their rows."""
+    return train_plan.train_tables(spark, driver_tables(spark, sf_dir), _scratch(spark, "models"),
+                                   delivered=DELIVERED_STATUS,
+                                   price_thresholds=PRICE_BUCKET_THRESHOLDS)

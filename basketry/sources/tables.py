@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+from urllib.parse import urlparse
 from dataclasses import dataclass, fields
 
 from pyspark.sql import DataFrame, SparkSession
@@ -102,7 +103,10 @@ class MissingInputError(FileNotFoundError):
 
 def require_inputs(raw_dir: str, names=REQUIRED) -> None:
     """S5 guard for local or mounted folders; remote stores are checked by the reader."""
-    if "://" in raw_dir:
+    scheme = urlparse(raw_dir).scheme
+    if scheme == "file":
+        raw_dir = urlparse(raw_dir).path
+    elif scheme:
         return
     missing = [RAW_FILES[n] for n in names
                if not os.path.exists(os.path.join(raw_dir, RAW_FILES[n]))]
@@ -145,10 +149,31 @@ def load_raw(spark: SparkSession, raw_dir: str, with_aux: bool = False,
     out = {}
     for name in names:
         if fmt == "csv":
-            path = os.path.join(raw_dir, RAW_FILES[name])
+            path = f"{raw_dir.rstrip('/')}/{RAW_FILES[name]}"
             df = null_tokens_to_null(read_csv_table(spark, path, SCHEMAS[name]))
         else:
-            path = os.path.join(raw_dir, RAW_FILES[name].replace(".csv", ".parquet"))
+            path = f"{raw_dir.rstrip('/')}/{RAW_FILES[name].replace('.csv', '.parquet')}"
             df = spark.read.parquet(path)
         out[name] = parse_timestamps(df, TIMESTAMP_COLUMNS.get(name, []))
     return RawTables(**out)
+
+
+def to_raw_schema(df: DataFrame, schema: T.StructType) -> DataFrame:
+    """Columns in the raw file order; a column the frame lacks is written empty."""
+    cols = []
+    for f in schema.fields:
+        c = F.col(f.name) if f.name in df.columns else F.lit(None)
+        if isinstance(f.dataType, T.StringType) and f.name in df.columns and \
+                isinstance(df.schema[f.name].dataType, (T.TimestampType, T.TimestampNTZType)):
+            c = F.date_format(c, TIMESTAMP_FORMAT)
+        cols.append(c.cast(f.dataType).alias(f.name))
+    return df.select(*cols)
+
+
+def write_raw_csv(raw: RawTables, out_dir: str, mode: str = "overwrite") -> None:
+    """Write the tables in the raw CSV layout (one folder per file name)."""
+    for name, df in raw.items():
+        (to_raw_schema(df, SCHEMAS[name]).write.mode(mode)
+         .option("header", "true").option("escape", '"').option("quote", '"')
+         .csv(os.path.join(out_dir, RAW_FILES[name]) if "://" not in out_dir
+              else f"{out_dir.rstrip('/')}/{RAW_FILES[name]}"))
