@@ -18,7 +18,7 @@ from basketry.plans.sqlbase import (EA_PAY, GLOBAL_KEY, exact_avg, HYBRID, ITEMC
 from basketry.sources.fixtures import (DELIVERED_STATUS, PRICE_BUCKET_THRESHOLDS,
                                        customer_requests, driver_tables, events,
                                        product_requests)
-from basketry.session import scratch_path
+from basketry.session import cut_lineage, scratch_path
 from basketry.sources import store
 from basketry.sources.tables import load_raw, write_raw_csv
 
@@ -204,7 +204,7 @@ def t3_popularity_lists(spark, sf_dir):
        + enriched("(SELECT * FROM pop_recs WHERE segment = 'cold')",
                   ", 'cold' AS segment, 'popularity' AS source"))
 def r1_cold_recommendations(spark, sf_dir):
-    master = master_of(spark, sf_dir)
+    master = cut_lineage(master_of(spark, sf_dir))
     return router.recommend_for_users(
         customer_requests(spark, sf_dir), pop.fit(master), None,
         history_of(master), profiles.product_profiles(master))
@@ -277,13 +277,12 @@ hits AS (SELECT s.product_id AS user_id, s.rank, s.similar_id AS product_id
          FROM sim_rank s JOIN req r ON s.product_id = r.product_id WHERE s.rank <= r.n)
 """ + enriched("hits").replace("c.user_id,", "c.user_id AS query_product_id,"))
 def r2_similar_products(spark, sf_dir):
-    texts = content_texts(spark, sf_dir)
-    model = content.fit(texts)
-    master = master_of(spark, sf_dir)
+    prof = cut_lineage(profiles.product_profiles(master_of(spark, sf_dir)))
+    model = content.fit(content.product_texts(prof, PRICE_BUCKET_THRESHOLDS))
     sim = content.similar(model, product_requests(spark, sf_dir))
     recs = sim.select(F.col("product_id").alias("query_product_id"), "rank",
                       F.col("similar_id").alias("product_id"))
-    return router.enrich(recs, profiles.product_profiles(master)).select(
+    return router.enrich(recs, prof).select(
         "query_product_id", "rank", "product_id", "category", "price", "review_score",
         "popularity_sales")
 
@@ -339,7 +338,7 @@ def m4_als_top20(spark, sf_dir):
 
 @query("r1_recommend_for_users", ids="R1 T4 M4 J11 J12 J14 R4")
 def r1_recommend_for_users(spark, sf_dir):
-    master = master_of(spark, sf_dir)
+    master = cut_lineage(master_of(spark, sf_dir))
     return router.recommend_for_users(
         customer_requests(spark, sf_dir), pop.fit(master), als_of(master),
         history_of(master), profiles.product_profiles(master))
@@ -351,7 +350,7 @@ EVAL_KEY = ["order_id", "order_item_id", "product_id"]
 
 def eval_parts(spark, sf_dir):
     rows = feat.scored_rows(master_of(spark, sf_dir))
-    ev = evaluate.split(rows, EVAL_KEY)
+    ev = cut_lineage(evaluate.split(rows, EVAL_KEY))
     train, test = ev.where(F.col("part") == "train"), ev.where(F.col("part") == "test")
     users = evaluate.eval_users(train, test)
     return ev, train, test, users, evaluate.truth(test, users)
@@ -457,10 +456,10 @@ def h2_model_selection(spark, sf_dir):
 
 
 def hybrid_inputs(spark, sf_dir):
-    master = master_of(spark, sf_dir)
+    master = cut_lineage(master_of(spark, sf_dir))  # read by five models: written once
     inter = feat.interactions(master)
     item_lists = itemcf.item_neighbours(cf_ratings(master), k=hybrid.CANDIDATES)
-    texts = content_texts(spark, sf_dir)
+    texts = content.product_texts(profiles.product_profiles(master), PRICE_BUCKET_THRESHOLDS)
     content_lists = content.neighbours(content.fit(texts), texts, hybrid.CANDIDATES)
     return master, inter, item_lists, content_lists
 
