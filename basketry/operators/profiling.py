@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from basketry.operators import encode
+from basketry.session import cut_lineage
 
 QUANTILES = (0.25, 0.5, 0.75)
 
@@ -45,35 +46,47 @@ def null_counts(df: DataFrame) -> DataFrame:
     return agg.selectExpr(f"stack({len(df.columns)}, {pairs}) AS (column_name, nulls)")
 
 
-def _quantiles(df: DataFrame, col: str, n: int, qs=QUANTILES) -> dict:
-    """Exact linear-interpolation quantiles of a non-null column."""
-    vals = df.select(F.col(col).cast("double").alias("v")).where(F.col("v").isNotNull())
-    idx = encode.global_index(vals, [F.col("v")], "_i")
-    out = {}
+def _quantiles(data: DataFrame, col: str, n: int, qs=QUANTILES) -> DataFrame:
+    """Exact linear-interpolation quantiles of a column with ``n`` non-null values:
+    one distributed sort, then one pass that picks the needed positions."""
+    # the row id only breaks ties: a column with few distinct values still
+    # spreads evenly over the range partitions
+    vals = (data.select(F.col(col).cast("double").alias("v")).where(F.col("v").isNotNull())
+            .withColumn("_t", F.monotonically_increasing_id()))
+    idx = encode.global_index(vals, [F.col("v"), F.col("_t")], "_i")
+    spots, exprs = set(), []
     for q in qs:
         pos = q * (n - 1)
         lo, hi = int(pos // 1), int(-(-pos // 1))
-        frac = pos - lo
-        pick = idx.where(F.col("_i").isin(lo + 1, hi + 1))
+        spots |= {lo + 1, hi + 1}
         lo_v = F.max(F.when(F.col("_i") == lo + 1, F.col("v")))
         hi_v = F.max(F.when(F.col("_i") == hi + 1, F.col("v")))
-        out[q] = pick.agg((lo_v + (hi_v - lo_v) * F.lit(frac))).scalar()
-    return out
+        exprs.append((lo_v + (hi_v - lo_v) * F.lit(pos - lo)).alias(f"p{int(q * 100)}"))
+    return idx.where(F.col("_i").isin(sorted(spots))).agg(*exprs)
 
 
 def describe(df: DataFrame, cols) -> DataFrame:
     """Q4: (column_name, count, mean, std, min, p25, p50, p75, max) per column;
     std is the sample deviation."""
+    data = cut_lineage(df.select(*cols))   # read once by every column's sort
+    stats = data.agg(*[e for c in cols for e in (
+        F.count(c).alias(f"{c}__count"), F.avg(c).alias(f"{c}__mean"),
+        F.stddev_samp(c).alias(f"{c}__std"), F.min(c).cast("double").alias(f"{c}__min"),
+        F.max(c).cast("double").alias(f"{c}__max"))]).collect()[0]
     rows = None
     for c in cols:
-        stats = df.agg(F.count(c).alias("count"), F.avg(c).alias("mean"),
-                       F.stddev_samp(c).alias("std"), F.min(c).cast("double").alias("min"),
-                       F.max(c).cast("double").alias("max"))
-        n = stats.select("count").collect()[0][0]
-        q = _quantiles(df, c, n) if n else {x: F.lit(None) for x in QUANTILES}
-        one = stats.select(F.lit(c).alias("column_name"), "count", "mean", "std", "min",
-                           q[0.25].alias("p25"), q[0.5].alias("p50"), q[0.75].alias("p75"),
-                           "max")
+        n = stats[f"{c}__count"]
+        if n:
+            q = _quantiles(data, c, n)
+        else:
+            q = data.sparkSession.createDataFrame([(None, None, None)],
+                                                  "p25 double, p50 double, p75 double")
+        one = q.select(F.lit(c).alias("column_name"), F.lit(n).cast("long").alias("count"),
+                       F.lit(stats[f"{c}__mean"]).cast("double").alias("mean"),
+                       F.lit(stats[f"{c}__std"]).cast("double").alias("std"),
+                       F.lit(stats[f"{c}__min"]).cast("double").alias("min"),
+                       "p25", "p50", "p75",
+                       F.lit(stats[f"{c}__max"]).cast("double").alias("max"))
         rows = one if rows is None else rows.unionByName(one)
     return rows
 
