@@ -39,8 +39,11 @@ class ALSRecommender:
 
 def fit(interactions: DataFrame, factors: int = FACTORS, reg: float = REGULARIZATION,
         iterations: int = ITERATIONS, seed: int = SEED,
-        score_col: str = "interaction_score") -> ALSRecommender:
-    """M1 + M3: encode ids, fit implicit ALS on (user, product, score - 1)."""
+        score_col: str = "interaction_score", blocks: int | None = None) -> ALSRecommender:
+    """M1 + M3: encode ids, fit implicit ALS on (user, product, score - 1).
+    User and product factors are split into ``blocks`` blocks (default: the
+    session's parallelism, so every core solves a block each half-iteration)."""
+    blocks = blocks or interactions.sparkSession.sparkContext.defaultParallelism
     checkpoint_dir(interactions.sparkSession)  # ALS cuts its lineage every 10 iterations
     users = enc.fit_encoder(interactions, "user_id", "user_code")
     products = enc.fit_encoder(interactions, "product_id", "product_code")
@@ -50,7 +53,8 @@ def fit(interactions: DataFrame, factors: int = FACTORS, reg: float = REGULARIZA
     ratings = cut_lineage(ratings)
     als = ALS(rank=factors, maxIter=iterations, regParam=reg, alpha=1.0,
               implicitPrefs=True, seed=seed, userCol="user_code", itemCol="product_code",
-              ratingCol="rating", coldStartStrategy="drop", nonnegative=False)
+              ratingCol="rating", coldStartStrategy="drop", nonnegative=False,
+              numUserBlocks=blocks, numItemBlocks=blocks)
     return ALSRecommender(als.fit(ratings), users, products)
 
 
