@@ -91,7 +91,11 @@ def recommend(rec: ALSRecommender, requests: DataFrame, history: DataFrame,
             .join(req.select("user_code", "user_id", "_want"), "user_code")
             .join(history.select("user_id", "product_id"), ["user_id", "product_id"],
                   "left_anti"))                                           # J12
+    # a literal bound lets Spark cut every user's group to max_want rows per
+    # partition before the shuffle, however long the user's list is
+    max_want = int(req.agg(F.max("_want")).collect()[0][0])
     w = Window.partitionBy("user_id").orderBy(F.col("als_score").desc(), "product_id")
     return (flat.withColumn("rank", F.row_number().over(w))
+            .where(F.col("rank") <= F.lit(max_want))
             .where(F.col("rank") <= F.col("_want"))
             .select("user_id", "rank", "product_id", "als_score"))
