@@ -449,10 +449,12 @@ def h1_user_context(spark, sf_dir):
 
 
 @query("h2_model_selection", ids="H2",
-       sql=HYB_SQL + "SELECT user_id, is_new, interaction_count, route FROM hroute")
+       sql=HYB_SQL + """SELECT user_id, is_new, interaction_count, route,
+  CASE route WHEN 'geo_popular' THEN ['geo_popular'] WHEN 'content' THEN ['content']
+             ELSE ['als', 'item_cf', 'content'] END AS models FROM hroute""")
 def h2_model_selection(spark, sf_dir):
     return hybrid.select_models(h1_user_context(spark, sf_dir)).select(
-        "user_id", "is_new", "interaction_count", "route")
+        "user_id", "is_new", "interaction_count", "route", "models")
 
 
 def hybrid_inputs(spark, sf_dir):
