@@ -19,7 +19,7 @@ from basketry.session import bounded_broadcast, cut_lineage
 
 MAX_N = 50               # the request bound of the reference API
 GLOBAL_KEY = "\u0000global"  # list key for requests without a known state
-LIST_MAX_ROWS = 5_000_000
+LIST_MAX_ROWS = 1_000_000   # broadcast only below this many (narrow) rows
 
 
 def global_scores(pair: DataFrame) -> DataFrame:
