@@ -13,7 +13,7 @@ from basketry.operators import popularity as pop
 from basketry.operators import business, hybrid, itemcf, profiles, profiling, router
 from basketry.plans import train as train_plan
 from basketry.plans.catalog import query
-from basketry.plans.sqlbase import (EA_PAY, GLOBAL_KEY, exact_avg, HYBRID, ITEMCF, MASTER, PROTOTYPE, POP_LISTS, POPULARITY, PROFILES,
+from basketry.plans.sqlbase import (EA_PAY, EVAL_SAMPLE, GLOBAL_KEY, exact_avg, HYBRID, ITEMCF, MASTER, PROTOTYPE, POP_LISTS, POPULARITY, PROFILES,
                                     EVAL, REQUESTS, SCORED, content_blocks, enriched, with_)
 from basketry.sources.fixtures import (DELIVERED_STATUS, PRICE_BUCKET_THRESHOLDS,
                                        customer_requests, driver_tables, events,
@@ -612,7 +612,7 @@ def k1_average_order_value(spark, sf_dir):
 
 @query("k2_repeat_purchase_rate", ids="K2", round_cols=["repeat_rate"],
        sql=with_(MASTER, ORDER_FACTS) + """SELECT COUNT(*) AS users,
-  SUM(CASE WHEN n >= 2 THEN 1 ELSE 0 END) AS repeat_users,
+  CAST(SUM(CASE WHEN n >= 2 THEN 1 ELSE 0 END) AS BIGINT) AS repeat_users,
   SUM(CASE WHEN n >= 2 THEN 1 ELSE 0 END) / COUNT(*) AS repeat_rate
   FROM (SELECT user_id, COUNT(DISTINCT order_id) AS n FROM ofacts GROUP BY user_id)""")
 def k2_repeat_purchase_rate(spark, sf_dir):
@@ -621,8 +621,8 @@ def k2_repeat_purchase_rate(spark, sf_dir):
 
 @query("k3_click_through_rate", ids="K3", round_cols=["ctr"],
        sql="""SELECT CAST(ts AS DATE) AS day,
-  SUM(CASE WHEN event_type = 'view' THEN 1 ELSE 0 END) AS views,
-  SUM(CASE WHEN event_type = 'click' THEN 1 ELSE 0 END) AS clicks,
+  CAST(SUM(CASE WHEN event_type = 'view' THEN 1 ELSE 0 END) AS BIGINT) AS views,
+  CAST(SUM(CASE WHEN event_type = 'click' THEN 1 ELSE 0 END) AS BIGINT) AS clicks,
   CASE WHEN SUM(CASE WHEN event_type = 'view' THEN 1 ELSE 0 END) > 0 THEN
     SUM(CASE WHEN event_type = 'click' THEN 1 ELSE 0 END)
     / SUM(CASE WHEN event_type = 'view' THEN 1 ELSE 0 END) END AS ctr
@@ -678,3 +678,24 @@ def s6_train(spark, sf_dir):
     return train_plan.train_tables(spark, driver_tables(spark, sf_dir), _scratch(spark, "models"),
                                    delivered=DELIVERED_STATUS,
                                    price_thresholds=PRICE_BUCKET_THRESHOLDS)
+
+
+@query("e4_sampled_users", ids="E4",
+       sql=with_(MASTER, SCORED, EVAL, EVAL_SAMPLE) + "SELECT user_id FROM sample_users")
+def e4_sampled_users(spark, sf_dir):
+    """The reference's evaluation sample: 1 000 eligible users, seed 42 (ordered hash)."""
+    return evaluate.sample_users(eval_parts(spark, sf_dir)[3], 1000)
+
+
+@query("e7_popularity_summary_sampled", ids="E7 E4 E5 E6 E8", round_cols=["popularity"],
+       sql=with_(MASTER, SCORED, EVAL, EVAL_SAMPLE) + """SELECT * FROM (
+  SELECT 'Precision@10' AS metric, AVG(precision) AS popularity FROM sample_metrics
+  UNION ALL SELECT 'Recall@10', AVG(recall) FROM sample_metrics
+  UNION ALL SELECT 'MAP@10', AVG(average_precision) FROM sample_metrics
+  UNION ALL SELECT 'NDCG@10', AVG(ndcg) FROM sample_metrics)""")
+def e7_popularity_summary_sampled(spark, sf_dir):
+    """E7 on the 1 000-user sample, as the reference evaluates."""
+    _, train, _, users, tr = eval_parts(spark, sf_dir)
+    sample = cut_lineage(evaluate.sample_users(users, 1000))
+    per = evaluate.user_metrics(evaluate.popularity_baseline(train, sample), tr, sample)
+    return evaluate.summary(per, "popularity")

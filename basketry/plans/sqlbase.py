@@ -321,3 +321,9 @@ proto_prof AS (
          MIN(category) AS category
   FROM proto_master GROUP BY product_id)
 """
+
+EVAL_SAMPLE = """
+sample_users AS (SELECT user_id FROM eval_users
+                 ORDER BY md5(concat_ws('|', '42', user_id)) LIMIT 1000),
+sample_metrics AS (SELECT * FROM pop_metrics WHERE user_id IN (SELECT user_id FROM sample_users))
+"""
