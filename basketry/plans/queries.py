@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from basketry.functions import columns as C
@@ -13,7 +13,7 @@ from basketry.operators import popularity as pop
 from basketry.operators import business, hybrid, itemcf, profiles, profiling, router
 from basketry.plans import train as train_plan
 from basketry.plans.catalog import query
-from basketry.plans.sqlbase import (EA_PAY, EVAL_SAMPLE, GLOBAL_KEY, exact_avg, HYBRID, ITEMCF, MASTER, PROTOTYPE, POP_LISTS, POPULARITY, PROFILES,
+from basketry.plans.sqlbase import (EA_PAY, EVAL_SAMPLE, GLOBAL_KEY, WARM_FILL, exact_avg, HYBRID, ITEMCF, MASTER, PROTOTYPE, POP_LISTS, POPULARITY, PROFILES,
                                     EVAL, REQUESTS, SCORED, content_blocks, enriched, with_)
 from basketry.sources.fixtures import (DELIVERED_STATUS, PRICE_BUCKET_THRESHOLDS,
                                        customer_requests, driver_tables, events,
@@ -699,3 +699,23 @@ def e7_popularity_summary_sampled(spark, sf_dir):
     sample = cut_lineage(evaluate.sample_users(users, 1000))
     per = evaluate.user_metrics(evaluate.popularity_baseline(train, sample), tr, sample)
     return evaluate.summary(per, "popularity")
+
+
+@query("t4_warm_fill_given_candidates", ids="T4 J12 M4",
+       sql=with_(MASTER, SCORED, POPULARITY, REQUESTS, POP_LISTS, ITEMCF, HYBRID, WARM_FILL)
+       + "SELECT * FROM t4_out")
+def t4_warm_fill_given_candidates(spark, sf_dir):
+    """T4 with deterministic candidates in the place of ALS: each known user's
+    item-CF top-20 unpurchased products, then the popularity fill, cut to n."""
+    master = cut_lineage(master_of(spark, sf_dir))
+    inter = feat.interactions(master)
+    history = inter.select("user_id", "product_id",
+                           F.col("interaction_score").cast("double").alias("r"))
+    lists = itemcf.item_neighbours(cf_ratings(master), k=hybrid.CANDIDATES)
+    cand = (hybrid.item_candidates(history, lists)
+            .join(inter.select("user_id", "product_id"), ["user_id", "product_id"], "left_anti"))
+    w = Window.partitionBy("user_id").orderBy(F.col("item_score").desc(), "product_id")
+    cand = cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= 20)
+    req = router.segments(customer_requests(spark, sf_dir), inter)
+    warm = req.where(F.col("segment") == "warm")
+    return router.warm_fill(cand, warm, pop.fit(master), inter, source="given")

@@ -327,3 +327,34 @@ sample_users AS (SELECT user_id FROM eval_users
                  ORDER BY md5(concat_ws('|', '42', user_id)) LIMIT 1000),
 sample_metrics AS (SELECT * FROM pop_metrics WHERE user_id IN (SELECT user_id FROM sample_users))
 """
+
+WARM_FILL = """
+t4_item0 AS (SELECT h.user_id, c.similar_id AS product_id, SUM(c.similarity * h.r) AS s
+             FROM hhist h JOIN cf_rank c ON c.product_id = h.product_id
+             WHERE c.rank <= 50 GROUP BY h.user_id, c.similar_id),
+t4_item1 AS (SELECT user_id, product_id,
+                    round(s / MAX(s) OVER (PARTITION BY user_id), 9) AS item_score FROM t4_item0),
+t4_item AS (SELECT user_id, product_id, item_score FROM (
+  SELECT *, ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY item_score DESC, product_id) AS rn
+  FROM t4_item1) WHERE rn <= 50),
+t4_cand AS (SELECT user_id, product_id, rank FROM (
+  SELECT user_id, product_id,
+         ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY item_score DESC, product_id) AS rank
+  FROM t4_item c WHERE NOT EXISTS (SELECT 1 FROM interactions i
+                                   WHERE i.user_id = c.user_id AND i.product_id = c.product_id))
+  WHERE rank <= 20),
+t4_pop AS (SELECT p.user_id, p.rank, p.product_id FROM pop_recs p
+           WHERE p.segment = 'warm'
+             AND NOT EXISTS (SELECT 1 FROM interactions i
+                             WHERE i.user_id = p.user_id AND i.product_id = p.product_id)),
+t4_union AS (SELECT user_id, product_id, 0 AS prio, rank FROM t4_cand
+             UNION ALL SELECT user_id, product_id, 1, rank FROM t4_pop),
+t4_dedup AS (SELECT * FROM (
+  SELECT *, ROW_NUMBER() OVER (PARTITION BY user_id, product_id ORDER BY prio, rank) AS k
+  FROM t4_union) WHERE k = 1),
+t4_out AS (SELECT * FROM (
+  SELECT user_id, CAST(ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY prio, rank) AS INTEGER)
+           AS rank, product_id,
+         CASE WHEN prio = 0 THEN 'given' ELSE 'popularity_fill' END AS source
+  FROM t4_dedup) WHERE rank <= 10)
+"""
