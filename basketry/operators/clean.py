@@ -21,9 +21,6 @@ REVIEW_FILL = 3.0
 PAYMENT_FILL = 0.0
 TRANSLATION_MAX_ROWS = 100_000
 
-MASTER_COLUMNS = ["order_id", "order_item_id", "user_id", "product_id", "customer_state",
-                  "order_time", "price", "category", "payment_value", "review_score"]
-
 # The columns the prototype drops before its full-row de-duplication.
 PROTOTYPE_DROP = [
     "customer_id", "order_status", "order_approved_at", "order_delivered_carrier_date",
