@@ -107,3 +107,25 @@ def test_request_stream_matches_batch(spark, tmp_dir):
     want = batch.select(F.col("user_id").cast("string"), "rank", "product_id")
     assert got.count() == want.count() > 0
     assert got.exceptAll(want).count() == 0
+
+
+def test_metrics_match_ranking_evaluator(spark):
+    from pyspark.ml.evaluation import RankingEvaluator
+    from basketry.operators import evaluate
+    from basketry.plans.queries import eval_parts
+    _, train, _, users, truth = eval_parts(spark, SF_SMALL)
+    recs = evaluate.popularity_baseline(train, users)
+    ours = evaluate.user_metrics(recs, truth, users).agg(
+        *[F.avg(c).alias(c) for c in ("precision", "recall", "average_precision", "ndcg")]
+    ).collect()[0]
+    pred = recs.groupBy("user_id").agg(
+        F.transform(F.sort_array(F.collect_list(F.struct("rank", "product_id"))),
+                    lambda s: s["product_id"].cast("double")).alias("prediction"))
+    lab = truth.groupBy("user_id").agg(
+        F.collect_list(F.col("product_id").cast("double")).alias("label"))
+    both = lab.join(pred, "user_id", "left").select(
+        F.coalesce("prediction", F.array().cast("array<double>")).alias("prediction"), "label")
+    for metric, col in [("precisionAtK", "precision"), ("recallAtK", "recall"),
+                        ("meanAveragePrecisionAtK", "average_precision"), ("ndcgAtK", "ndcg")]:
+        ev = RankingEvaluator(metricName=metric, k=10)
+        assert ev.evaluate(both) == pytest.approx(ours[col], abs=1e-12), metric
