@@ -719,3 +719,24 @@ def t4_warm_fill_given_candidates(spark, sf_dir):
     req = router.segments(customer_requests(spark, sf_dir), inter)
     warm = req.where(F.col("segment") == "warm")
     return router.warm_fill(cand, warm, pop.fit(master), inter, source="given")
+
+
+@query("r3_similar_envelopes", ids="R3 R2",
+       sql=with_(MASTER, PROFILES, SRC_CONTENT) + """,
+req AS (SELECT p_partkey AS product_id, 10 AS n FROM part),
+hits AS (SELECT s.product_id AS user_id, s.rank, s.similar_id AS product_id
+         FROM sim_rank s JOIN req r ON s.product_id = r.product_id WHERE s.rank <= r.n),
+enr AS (""" + enriched("hits") + """)
+SELECT user_id AS query_product_id, COUNT(*) AS results_count,
+  list_sort(list({'rank': rank, 'product_id': product_id, 'category': category,
+                  'price': floor(price * 10000.0 + 0.5) / 10000.0,
+                  'review_score': floor(review_score * 10000.0 + 0.5) / 10000.0,
+                  'popularity_sales': popularity_sales})) AS recommendations,
+  'success' AS status
+FROM enr GROUP BY user_id""")
+def r3_similar_envelopes(spark, sf_dir):
+    """The similar-products response: one envelope per catalog product with neighbours."""
+    from basketry.plans.catalog import half_up
+    recs = r2_similar_products(spark, sf_dir).withColumns(
+        {"price": half_up(F.col("price")), "review_score": half_up(F.col("review_score"))})
+    return router.envelope(recs, key="query_product_id")
