@@ -235,3 +235,11 @@ def test_csv_quoted_newline(spark, tmp_dir):
     assert len(rows) == 1
     assert rows[0].review_comment_message == 'line one\nline "two"'
     assert rows[0].review_answer_timestamp is None
+
+
+def test_content_text_rounds_half_even(spark):
+    df = spark.createDataFrame([("toys", 40.0, 4.25), (None, 300.0, 3.0), ("bed", 100.0, 4.35)],
+                               "category string, price double, score double")
+    got = [r[0] for r in df.select(C.content_text(
+        F.col("category"), C.price_bucket(F.col("price")), F.col("score"))).collect()]
+    assert got == ["toys Low 4.2", " High 3.0", "bed Mid 4.4"]
