@@ -129,3 +129,22 @@ def test_metrics_match_ranking_evaluator(spark):
                         ("meanAveragePrecisionAtK", "average_precision"), ("ndcgAtK", "ndcg")]:
         ev = RankingEvaluator(metricName=metric, k=10)
         assert ev.evaluate(both) == pytest.approx(ours[col], abs=1e-12), metric
+
+
+def test_similar_stream_matches_batch(spark, tmp_dir):
+    from basketry.operators import content
+    from basketry.streaming.serve import SIMILAR_SCHEMA, serve_similar
+    models = train_plan.fit_models(driver_tables(spark, SF_SMALL), delivered=DELIVERED_STATUS,
+                                   price_thresholds=PRICE_BUCKET_THRESHOLDS, with_als=False)
+    req = (models.product_profiles.select(F.col("product_id").cast("string").alias("product_id"))
+           .withColumn("n", F.lit(5)))
+    req.write.parquet(f"{tmp_dir}/requests")
+    stream = spark.readStream.schema(SIMILAR_SCHEMA).parquet(f"{tmp_dir}/requests")
+    q = serve_similar(stream, models, f"{tmp_dir}/out", f"{tmp_dir}/ckpt")
+    q.awaitTermination(300)
+    got = spark.read.parquet(f"{tmp_dir}/out").select("query_product_id", "rank", "product_id")
+    want = content.similar(models.content, req).select(
+        F.col("product_id").cast("string").alias("query_product_id"), "rank",
+        F.col("similar_id").alias("product_id"))
+    assert got.count() == want.count() > 0
+    assert got.exceptAll(want).count() == 0
