@@ -243,3 +243,17 @@ def test_content_text_rounds_half_even(spark):
     got = [r[0] for r in df.select(C.content_text(
         F.col("category"), C.price_bucket(F.col("price")), F.col("score"))).collect()]
     assert got == ["toys Low 4.2", " High 3.0", "bed Mid 4.4"]
+
+
+def test_requests_outside_api_bounds_are_rejected(spark):
+    req = spark.createDataFrame([("a", "SP", 0), ("b", "SP", 1), ("c", "SP", 50), ("d", "SP", 51)],
+                                "user_id string, state string, n int")
+    assert sorted(r.user_id for r in router.valid_requests(req).collect()) == ["b", "c"]
+
+
+def test_segments_mark_known_users_warm(spark):
+    req = spark.createDataFrame([("u1", "SP", 5), ("u2", None, 5)],
+                                "user_id string, state string, n int")
+    known = spark.createDataFrame([("u1", "p1"), ("u1", "p2")], "user_id string, product_id string")
+    got = {r.user_id: r.segment for r in router.segments(req, known).collect()}
+    assert got == {"u1": "warm", "u2": "cold"}

@@ -148,3 +148,13 @@ def test_similar_stream_matches_batch(spark, tmp_dir):
         F.col("similar_id").alias("product_id"))
     assert got.count() == want.count() > 0
     assert got.exceptAll(want).count() == 0
+
+
+def test_store_without_als_loads_without_als(spark, tmp_dir):
+    models = train_plan.fit_models(driver_tables(spark, SF_SMALL), delivered=DELIVERED_STATUS,
+                                   price_thresholds=PRICE_BUCKET_THRESHOLDS, with_als=False)
+    store.save(models, tmp_dir)
+    back = store.load(spark, tmp_dir)
+    assert back.als is None
+    assert back.history.count() == models.history.count()
+    assert back.popularity.lists.count() == models.popularity.lists.count()
