@@ -1,0 +1,138 @@
+"""Secret scans: fixed patterns, and sliding-window Shannon entropy by character class.
+
+Base spans are the leftmost non-overlapping matches of three patterns, per kind. The
+entropy scan adds spans: candidate strings are maximal runs of one character class;
+a window of fixed width slides over each, its entropy kept by incremental counts (one
+character enters, one leaves); windows at or over the class's threshold are joined
+into spans. Candidates on the allow-list (words, plain numbers, UUIDs, repetitions,
+documented example keys) and spans that a base span covers are suppressed. Each text
+is scanned by itself and whole; nothing is shuffled.
+
+Defined cases: null text is empty; a text without a span has an empty string of spans
+and the digest of the empty string; repeated rows each give a row; null ids are
+carried. Empty tables give empty results. Extra columns are ignored."""
+
+from __future__ import annotations
+
+import hashlib
+import math
+import re
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
+
+from basketry.llm.common import chunks, id_text, over_batches
+
+# The patterns and least lengths of the base kinds, in the order of kinds.
+_ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
+_ACCESS = re.compile(r"AKIA[A-Z0-9]+")
+_HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
+BASE_KINDS = ("assign", "access", "hex")
+
+#: class: (candidate runs, window, bits). A window of w characters has log2(w) bits at most.
+CLASSES = {
+    "entropy_hex": (re.compile(r"[0-9A-Fa-f]{24,}"), 24, 3.0),
+    "entropy_base64": (re.compile(r"[A-Za-z0-9+/_-]{24,}"), 24, 3.9),
+}
+KINDS = (*BASE_KINDS, *CLASSES)
+_ORDER = {k: i for i, k in enumerate(KINDS)}
+
+#: Allow-list: candidates that look random to a counter of characters but are no secrets.
+ALLOWED = (
+    re.compile(r"[0-9]+"),                                             # plain numbers
+    re.compile(r"[A-Za-z]?[a-z]+|[A-Z]+"),                             # a word
+    re.compile(r"(?:[A-Za-z]?[a-z]*|[A-Z]*|[0-9]{1,4})(?:[/_-]+(?:[A-Za-z]?[a-z]*|[A-Z]*|[0-9]{1,4}))+"),  # joined words, paths, dates
+    re.compile(r"[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}"),  # UUID
+    re.compile(r"(.{1,12}?)\1+"),                                      # one piece repeated
+    re.compile(r".*EXAMPLE.*"),                                        # documented example keys
+)
+
+_CLOGC = [0.0] + [c * math.log2(c) for c in range(1, 65)]
+
+
+def base_spans(text: str) -> list[tuple[str, int, int]]:
+    out = []
+    if ":" in text or "=" in text:
+        out += [("assign", m.start(), m.end()) for m in _ASSIGN.finditer(text) if len(m.group(2)) >= 6]
+    if "AKIA" in text:
+        out += [("access", m.start(), m.end()) for m in _ACCESS.finditer(text) if len(m.group()) >= 20]
+    out += [("hex", m.start(), m.end()) for m in _HEX.finditer(text)]
+    return sorted(out, key=lambda s: (s[1], _ORDER[s[0]]))
+
+
+def high_entropy(run: str, window: int, bits: float) -> list[tuple[int, int]]:
+    """Joined spans of the windows with at least ``bits`` of entropy; linear in ``run``.
+    Entropy is log2(w) - sum(c log2 c) / w over the counts c of the window."""
+    counts: dict[str, int] = {}
+    total, limit = 0.0, (math.log2(window) - bits) * window + 1e-9
+    out: list[tuple[int, int]] = []
+    for i, ch in enumerate(run):
+        c = counts.get(ch, 0)
+        counts[ch] = c + 1
+        total += _CLOGC[c + 1] - _CLOGC[c]
+        if i >= window:
+            old = run[i - window]
+            c = counts[old]
+            counts[old] = c - 1
+            total += _CLOGC[c - 1] - _CLOGC[c]
+        if i >= window - 1 and total <= limit:
+            start = i - window + 1
+            if out and start <= out[-1][1]:
+                out[-1] = (out[-1][0], i + 1)
+            else:
+                out.append((start, i + 1))
+    return out
+
+
+def allowed(run: str) -> bool:
+    return any(p.fullmatch(run) for p in ALLOWED)
+
+
+def entropy_spans(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
+    out = []
+    for kind, (runs, window, bits) in CLASSES.items():
+        for m in runs.finditer(text):
+            if allowed(m.group()):
+                continue
+            for a, b in high_entropy(m.group(), window, bits):
+                a, b = a + m.start(), b + m.start()
+                if not any(s <= a and b <= e for _, s, e in base) and not any(s <= a and b <= e for _, s, e in out):
+                    out.append((kind, a, b))
+    return out
+
+
+def spans(text: str) -> tuple[list, list]:
+    """(base spans, all spans), each by start and then kind."""
+    base = base_spans(text)
+    return base, sorted(base + entropy_spans(text, base), key=lambda s: (s[1], _ORDER[s[0]], s[2]))
+
+
+def scan(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_assign, n_access, n_hex, n_entropy, base_sha256, spans)."""
+    def run(batches):
+        join = lambda ss: ",".join(f"{k}:{a}:{b}" for k, a, b in ss)
+        for b in chunks(batches):
+            rows: dict[str, list] = {c: [] for c in ("n_assign", "n_access", "n_hex", "n_entropy", "base_sha256", "spans")}
+            for t in b.column("text").to_pylist():
+                base, every = spans(t)
+                for k in BASE_KINDS:
+                    rows[f"n_{k}"].append(sum(s[0] == k for s in base))
+                rows["n_entropy"].append(len(every) - len(base))
+                rows["base_sha256"].append(hashlib.sha256(join(base).encode()).hexdigest())
+                rows["spans"].append(join(every))
+            yield pa.RecordBatch.from_arrays(
+                [b.column("doc_id")] + [pa.array(rows[c], pa.int64()) for c in list(rows)[:4]]
+                + [pa.array(rows[c], pa.string()) for c in list(rows)[4:]], ["doc_id", *rows])
+    return over_batches(id_text(docs), run,
+                        "doc_id long, n_assign long, n_access long, n_hex long, n_entropy long, "
+                        "base_sha256 string, spans string")
+
+
+def redact(text: str, mark: str = "[SECRET]") -> str:
+    """``text`` with every span (joined where they overlap) replaced by ``mark``."""
+    out, at = [], 0
+    for _, a, b in spans(text)[1]:
+        if a >= at:
+            out += [text[at:a], mark]
+        at = max(at, b)
+    return "".join(out) + text[at:]
