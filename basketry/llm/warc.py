@@ -247,4 +247,5 @@ def archive(pages: DataFrame, folder: str | None = None, **options) -> DataFrame
     """(page_id, payload_bytes, payload_digest, record_type, refers_to, bundle, frame, offset):
     writes all pages and reads them back."""
     folder = folder or scratch(pages.sparkSession, "warc")
-    return read(write(pages, folder, **options), folder).drop("url")
+    return read(write(pages, folder, **options), folder).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "bundle", "frame", "offset")
