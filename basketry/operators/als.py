@@ -6,10 +6,11 @@ The reference's library uses the stored value itself as confidence; MLlib uses
 with the number of ratings per user, so factors never match the reference's;
 results are checked by invariants and ranking metrics.
 
-Top-N with purchases removed stays exact: a user with h purchased products gets
-the top (N + h) scored products, the purchased ones are removed, N remain. Users
-are grouped by the power of two above N + h, one ``recommendForUserSubset`` per
-group, so a long history never forces a large k on everyone else.
+Top-N with purchases removed stays exact and asks for no more than is needed: every
+user's top N + a margin is fetched, the purchased products are removed, and only the
+users who are still short are asked again with four times the length. A user with a
+long history costs longer lists for that user alone, and only if the purchased products
+do rank first.
 """
 
 from __future__ import annotations
@@ -58,44 +59,60 @@ def fit(interactions: DataFrame, factors: int = FACTORS, reg: float = REGULARIZA
     return ALSRecommender(als.fit(ratings), users, products)
 
 
-def _bucket(k):
-    return F.pow(F.lit(2), F.ceil(F.log2(k))).cast("int")
+MARGIN = 16
+_RECS = "user_id {}, rank int, product_id {}, als_score double"
+
+
+def _fetched(rec: ALSRecommender, users: DataFrame, history: DataFrame, k: int,
+             longest: int) -> DataFrame:
+    """(user_id, rank, product_id, als_score): each user's first ``longest`` unpurchased
+    products among the best ``k``."""
+    flat = (rec.model.recommendForUserSubset(users.select("user_code"), k)
+            .select("user_code", F.explode("recommendations").alias("r"))
+            .select("user_code", F.col("r.product_code").alias("product_code"),
+                    F.col("r.rating").cast("double").alias("als_score"))
+            .join(rec.products, "product_code").join(users, "user_code")
+            .join(history.select("user_id", "product_id"), ["user_id", "product_id"],
+                  "left_anti"))                                           # J12
+    # a literal bound lets Spark cut every user's group before the shuffle
+    w = Window.partitionBy("user_id").orderBy(F.col("als_score").desc(), "product_id")
+    return (flat.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= F.lit(longest))
+            .select("user_id", "rank", "product_id", "als_score"))
 
 
 def recommend(rec: ALSRecommender, requests: DataFrame, history: DataFrame,
               over_fetch: int = 2) -> DataFrame:
-    """M4 + J12: (user_id, n) requests of known users -> (user_id, rank, product_id,
-    als_score), rank <= over_fetch * n, purchased products removed."""
-    hist_len = history.groupBy("user_id").agg(F.count(F.lit(1)).alias("_h"))
-    req = (requests.select("user_id", "n")
-           .join(rec.users, "user_id", "inner")
-           .join(hist_len, "user_id", "left")
-           .withColumn("_want", F.col("n") * over_fetch)
-           .withColumn("_k", _bucket(F.col("_want") + F.coalesce(F.col("_h"), F.lit(0)))))
-    req = cut_lineage(req)
-    ks = sorted(r[0] for r in req.select("_k").distinct().collect())  # a few powers of two
-    parts = []
-    for k in ks:
-        users_k = req.where(F.col("_k") == k).select("user_code")
-        parts.append(rec.model.recommendForUserSubset(users_k, int(k)))
+    """M4 + J12: ([request_id], user_id, n) requests of known users -> (keys, rank,
+    product_id, als_score), rank <= over_fetch * n, purchased products removed. A user is
+    scored once, however many requests name them."""
+    keys = [c for c in ("request_id", "user_id") if c in requests.columns]
+    wanted = (requests.groupBy("user_id").agg((F.max("n") * over_fetch).alias("_want"))
+              .join(rec.users, "user_id", "inner").where(F.col("_want") > 0))
+    users = cut_lineage(wanted)
+    n_products = rec.products.count()
+    longest = users.agg(F.max("_want")).first()[0]
+    parts: list[DataFrame] = []
+    if longest is not None:
+        k = min(n_products, longest + MARGIN)
+        while True:
+            got = cut_lineage(_fetched(rec, users, history, k, longest))
+            if k >= n_products:
+                parts.append(got)
+                break
+            have = got.groupBy("user_id").agg(F.count(F.lit(1)).alias("_have"))
+            short = cut_lineage(users.join(have, "user_id", "left")
+                                .where(F.coalesce("_have", F.lit(0)) < F.col("_want")).drop("_have"))
+            parts.append(got.join(short.select("user_id"), "user_id", "left_anti"))
+            if short.isEmpty():
+                break
+            users, k = short, min(n_products, 4 * k)
     if not parts:
-        return requests.sparkSession.createDataFrame(
-            [], "user_id string, rank int, product_id string, als_score double")
+        kind = lambda df, c: df.schema[c].dataType.simpleString()
+        parts = [requests.sparkSession.createDataFrame([], _RECS.format(
+            kind(rec.users, "user_id"), kind(rec.products, "product_id")))]
     recs = parts[0]
     for p in parts[1:]:
         recs = recs.unionByName(p)
-    flat = (recs.select("user_code", F.explode("recommendations").alias("r"))
-            .select("user_code", F.col("r.product_code").alias("product_code"),
-                    F.col("r.rating").cast("double").alias("als_score")))
-    flat = (flat.join(rec.products, "product_code")
-            .join(req.select("user_code", "user_id", "_want"), "user_code")
-            .join(history.select("user_id", "product_id"), ["user_id", "product_id"],
-                  "left_anti"))                                           # J12
-    # a literal bound lets Spark cut every user's group to max_want rows per
-    # partition before the shuffle, however long the user's list is
-    max_want = int(req.agg(F.max("_want")).collect()[0][0])
-    w = Window.partitionBy("user_id").orderBy(F.col("als_score").desc(), "product_id")
-    return (flat.withColumn("rank", F.row_number().over(w))
-            .where(F.col("rank") <= F.lit(max_want))
-            .where(F.col("rank") <= F.col("_want"))
-            .select("user_id", "rank", "product_id", "als_score"))
+    return (recs.join(requests.select(*keys, "n"), "user_id")
+            .where(F.col("rank") <= F.col("n") * over_fetch)
+            .select(*keys, "rank", "product_id", "als_score"))

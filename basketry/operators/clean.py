@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from basketry.functions import columns as C
 from basketry.session import bounded_broadcast
 from basketry.sources.tables import RawTables
 
@@ -39,9 +40,11 @@ def delivered_orders(orders: DataFrame, status: str = DEFAULT_DELIVERED) -> Data
 
 
 def payment_per_order(payments: DataFrame) -> DataFrame:
-    """A1: payment sum per order (null keys never join, so they are dropped)."""
+    """A1: payment sum per order, added as exact decimals, so it does not depend on the
+    order of the rows (null keys never join, so they are dropped)."""
     return (payments.where(F.col("order_id").isNotNull())
-            .groupBy("order_id").agg(F.sum("payment_value").alias("payment_value")))
+            .groupBy("order_id")
+            .agg(C.exact_sum(F.col("payment_value")).cast("double").alias("payment_value")))
 
 
 def review_per_order(reviews: DataFrame) -> DataFrame:

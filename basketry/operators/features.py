@@ -38,9 +38,9 @@ def weighted_rows(master: DataFrame, purchase_weight: int = C.PURCHASE_WEIGHT,
 
 def pair_state_facts(master: DataFrame, **weights) -> DataFrame:
     """Rows aggregated to (user, product, state): row count, sum of the row-level
-    part of the score, and its maximum. The single row-level shuffle of the
+    part of the score, and its maximum. Rows without a user belong to no pair. The single row-level shuffle of the
     feature stage; partial aggregation combines hot keys map-side."""
-    rows = weighted_rows(master, **weights)
+    rows = weighted_rows(master, **weights).where(F.col("user_id").isNotNull())
     base = F.col("purchase_weight") + F.col("review_weight") + F.col("value_weight")
     return (rows.groupBy("user_id", "product_id", "customer_state")
             .agg(F.count(F.lit(1)).alias("n_rows"),
@@ -101,11 +101,12 @@ def scored_rows(master: DataFrame, repeat_boost: int = C.REPEAT_BOOST, **weights
 
 
 def summed_interactions(rows: DataFrame) -> DataFrame:
-    """Duplicate (user, product) entries add up, as in a sparse matrix build."""
-    return (rows.groupBy("user_id", "product_id")
+    """Duplicate (user, product) entries add up, as in a sparse matrix build. For a
+    whole master, ``pair_facts`` has the same sum as ``score_sum`` without scored rows."""
+    return (rows.where(F.col("user_id").isNotNull()).groupBy("user_id", "product_id")
             .agg(F.sum("interaction_score").cast("long").alias("interaction_score")))
 
 
 def purchase_history(master: DataFrame) -> DataFrame:
     """Distinct (user, product) purchases."""
-    return master.select("user_id", "product_id").distinct()
+    return master.where(F.col("user_id").isNotNull()).select("user_id", "product_id").distinct()

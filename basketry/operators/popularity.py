@@ -95,18 +95,27 @@ def popularity_lists(global_sc: DataFrame, state_sc: DataFrame,
 
 @dataclass
 class PopularityModel:
-    """M9: product and state scores plus the served lists (written once, small)."""
+    """M9: product and state scores plus the served lists (written once, small).
+    The lists hold ``max_n`` products each; longer requests get lists of their own."""
     global_scores: DataFrame
     state_scores: DataFrame
     lists: DataFrame
+    max_n: int = MAX_N
+
+    def lists_for(self, n: int) -> DataFrame:
+        """Lists of at least ``n`` products (as far as there are products)."""
+        if n <= self.max_n:
+            return self.lists
+        return cut_lineage(popularity_lists(self.global_scores, self.state_scores, n))
 
 
 def fit(master: DataFrame, max_n: int = MAX_N) -> PopularityModel:
-    g, s = scores_from_master(master)
+    # both scores are read again for longer lists: a row per product, and per state and product
+    g, s = (cut_lineage(x) for x in scores_from_master(master))
     # The lists are a model artifact of (states + 1) x max_n rows: written once to
     # the shared checkpoint folder, so their size is known before any broadcast.
     lists = cut_lineage(popularity_lists(g, s, max_n))
-    return PopularityModel(g, s, lists)
+    return PopularityModel(g, s, lists, max_n)
 
 
 def with_list_key(requests: DataFrame, lists: DataFrame) -> DataFrame:
@@ -120,13 +129,27 @@ def with_list_key(requests: DataFrame, lists: DataFrame) -> DataFrame:
         .otherwise(F.lit(GLOBAL_KEY))).drop("_known")
 
 
-def recommend(requests: DataFrame, lists: DataFrame) -> DataFrame:
-    """(user_id, state, n) requests -> (user_id, rank, product_id), rank <= n."""
+def request_keys(requests: DataFrame) -> list[str]:
+    """What names a request: its id where it has one, and its user."""
+    return [c for c in ("request_id", "user_id") if c in requests.columns]
+
+
+def recommend(requests: DataFrame, model: PopularityModel, with_columns=None) -> DataFrame:
+    """([request_id], user_id, state, n) requests -> (keys, rank, product_id),
+    rank <= n, for any n. ``with_columns`` may add columns to the lists before they are
+    expanded to requests, while they are small."""
+    longest = requests.agg(F.max("n")).first()[0] or 0
+    lists = model.lists_for(longest)
+    extra = []
+    if with_columns is not None:
+        lists = cut_lineage(with_columns(lists))
+        extra = [c for c in lists.columns if c not in ("list_key", "product_id", "pos")]
     keyed = with_list_key(requests, lists)
     small = bounded_broadcast(lists, LIST_MAX_ROWS)
     return (keyed.join(small, "list_key")
             .where(F.col("pos") <= F.col("n"))
-            .select("user_id", F.col("pos").cast("int").alias("rank"), "product_id"))
+            .select(*request_keys(requests), F.col("pos").cast("int").alias("rank"),
+                    "product_id", *extra))
 
 
 def top_bought(master: DataFrame, k: int = 10) -> DataFrame:

@@ -15,9 +15,14 @@ from pyspark.sql import functions as F
 from basketry.functions import columns as C
 
 
+def _with_user(master: DataFrame) -> DataFrame:
+    """Rows without a user belong to no group, as in the reference's grouping."""
+    return master.where(F.col("user_id").isNotNull())
+
+
 def user_profiles(master: DataFrame) -> DataFrame:
     """(user_id, total_purchases, avg_order_value, favorite_category, active_days)."""
-    by_cat = (master.groupBy("user_id", "category")
+    by_cat = (_with_user(master).groupBy("user_id", "category")
               .agg(F.count(F.lit(1)).alias("n"),
                    C.exact_sum(F.col("payment_value")).alias("pay_sum"),
                    F.count("payment_value").alias("pay_n"),
@@ -53,7 +58,7 @@ def time_features(master: DataFrame) -> DataFrame:
     """A18 + P14-P16: last purchase, whole days to the dataset maximum, weekday
     (Monday = 0) and month of the last purchase."""
     analysis = master.agg(F.max("order_time")).scalar()
-    last = master.groupBy("user_id").agg(F.max("order_time").alias("last_purchase_date"))
+    last = _with_user(master).groupBy("user_id").agg(F.max("order_time").alias("last_purchase_date"))
     return last.select(
         "user_id", "last_purchase_date",
         C.whole_days(F.col("last_purchase_date"), analysis).alias("recency_days"),
@@ -63,4 +68,4 @@ def time_features(master: DataFrame) -> DataFrame:
 
 def interaction_counts(master: DataFrame) -> DataFrame:
     """Rows per user (the routing input)."""
-    return master.groupBy("user_id").agg(F.count(F.lit(1)).alias("interaction_count"))
+    return _with_user(master).groupBy("user_id").agg(F.count(F.lit(1)).alias("interaction_count"))

@@ -17,9 +17,11 @@ QUANTILES = (0.25, 0.5, 0.75)
 
 
 def shape(name: str, df: DataFrame) -> DataFrame:
-    """Q1: (table_name, n_rows, n_cols)."""
+    """Q1: (table_name, n_rows, n_cols, columns, dtypes)."""
     return df.agg(F.count(F.lit(1)).alias("n_rows")).select(
-        F.lit(name).alias("table_name"), "n_rows", F.lit(len(df.columns)).alias("n_cols"))
+        F.lit(name).alias("table_name"), "n_rows", F.lit(len(df.columns)).alias("n_cols"),
+        F.lit(",".join(df.columns)).alias("columns"),
+        F.lit(",".join(t for _, t in df.dtypes)).alias("dtypes"))
 
 
 def shapes(tables) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -13,20 +15,26 @@ from basketry.operators import popularity as pop
 from basketry.operators import business, hybrid, itemcf, profiles, profiling, router
 from basketry.plans import train as train_plan
 from basketry.plans.catalog import query
-from basketry.plans.sqlbase import (EA_PAY, EVAL_SAMPLE, GLOBAL_KEY, WARM_FILL, exact_avg, HYBRID, ITEMCF, MASTER, PROTOTYPE, POP_LISTS, POPULARITY, PROFILES,
-                                    EVAL, REQUESTS, SCORED, content_blocks, enriched, with_)
+from basketry.plans.sqlbase import (EA_PAY, EVAL_SAMPLE, GLOBAL_KEY, WARM_FILL, exact_avg, HYBRID,
+                                    HYBRID_ALS, ITEMCF, MASTER, PROTOTYPE, POP_LISTS, POPULARITY, PROFILES,
+                                    EVAL, REQUESTS, SCORED, content_blocks, enriched, pop_lists, with_)
 from basketry.sources.fixtures import (DELIVERED_STATUS, PRICE_BUCKET_THRESHOLDS,
                                        customer_requests, driver_tables, events,
                                        product_requests)
 from basketry.session import cut_lineage, scratch_path
 from basketry.sources import store
-from basketry.sources.tables import load_raw, write_raw_csv
+from basketry.sources.tables import load_raw, write_raw_csv, write_raw_parquet
 
 
 def master_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clean.build_master(driver_tables(spark, sf_dir), delivered=DELIVERED_STATUS)
 
 
+def stored_master(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The master written once, for queries that read it more than once."""
+    return cut_lineage(master_of(spark, sf_dir))
+
+
 # ---------------------------------------------------------------- cleaning, joins
 @query("p1_delivered_orders", ids="P1 P2",
        sql=with_() + f"""SELECT order_id, customer_id, order_status,
@@ -76,7 +84,7 @@ def a3_mean_payment(spark, sf_dir):
   customer_state, order_time, price, category, payment_value, review_score,
   purchase_weight, review_weight, value_weight, repeat_weight, interaction_score FROM scored""")
 def p3_p7_scored_rows(spark, sf_dir):
-    return feat.scored_rows(master_of(spark, sf_dir))
+    return feat.scored_rows(stored_master(spark, sf_dir))
 
 
 @query("a4_pair_counts", ids="A4 P6",
@@ -84,14 +92,14 @@ def p3_p7_scored_rows(spark, sf_dir):
   CASE WHEN COUNT(*) > 1 THEN 3 ELSE 0 END AS repeat_weight
   FROM master GROUP BY user_id, product_id""")
 def a4_pair_counts(spark, sf_dir):
-    pf = feat.pair_facts(feat.pair_state_facts(master_of(spark, sf_dir)))
+    pf = feat.pair_facts(feat.pair_state_facts(stored_master(spark, sf_dir)))
     return pf.select("user_id", "product_id", "user_product_count", "repeat_weight")
 
 
 @query("a5_interactions", ids="A5",
        sql=with_(MASTER, SCORED) + "SELECT * FROM interactions")
 def a5_interactions(spark, sf_dir):
-    return feat.interactions(master_of(spark, sf_dir))
+    return feat.interactions(stored_master(spark, sf_dir))
 
 
 @query("a16_purchase_history", ids="A16",
@@ -105,20 +113,21 @@ def a16_purchase_history(spark, sf_dir):
   CAST(SUM(interaction_score) AS BIGINT) AS interaction_score
   FROM scored GROUP BY user_id, product_id""")
 def a21_summed_interactions(spark, sf_dir):
-    return feat.summed_interactions(feat.scored_rows(master_of(spark, sf_dir)))
+    facts = feat.pair_facts(feat.pair_state_facts(stored_master(spark, sf_dir)))
+    return facts.select("user_id", "product_id", F.col("score_sum").alias("interaction_score"))
 
 
 # ---------------------------------------------------------------- popularity
 @query("a14_global_popularity", ids="A14",
        sql=with_(MASTER, SCORED, POPULARITY) + "SELECT product_id, score FROM g_scores")
 def a14_global_popularity(spark, sf_dir):
-    return pop.scores_from_master(master_of(spark, sf_dir))[0]
+    return pop.scores_from_master(stored_master(spark, sf_dir))[0]
 
 
 @query("a15_state_popularity", ids="A15",
        sql=with_(MASTER, SCORED, POPULARITY) + "SELECT state, product_id, score FROM s_scores")
 def a15_state_popularity(spark, sf_dir):
-    return pop.scores_from_master(master_of(spark, sf_dir))[1]
+    return pop.scores_from_master(stored_master(spark, sf_dir))[1]
 
 
 @query("t1_global_top10", ids="T1 A14",
@@ -162,7 +171,7 @@ def j9_product_profiles(spark, sf_dir):
   CAST(month(MAX(order_time)) AS INTEGER) AS purchase_month
   FROM master GROUP BY user_id""")
 def a18_time_features(spark, sf_dir):
-    return profiles.time_features(master_of(spark, sf_dir))
+    return profiles.time_features(stored_master(spark, sf_dir))
 
 
 @query("a20_interaction_counts", ids="A20",
@@ -174,7 +183,7 @@ def a20_interaction_counts(spark, sf_dir):
 
 # ---------------------------------------------------------------- routing (cold path)
 def popularity_model(spark, sf_dir):
-    return pop.fit(master_of(spark, sf_dir))
+    return pop.fit(stored_master(spark, sf_dir))
 
 
 def history_of(master):
@@ -204,10 +213,12 @@ def t3_popularity_lists(spark, sf_dir):
        + enriched("(SELECT * FROM pop_recs WHERE segment = 'cold')",
                   ", 'cold' AS segment, 'popularity' AS source"))
 def r1_cold_recommendations(spark, sf_dir):
-    master = cut_lineage(master_of(spark, sf_dir))
+    master = stored_master(spark, sf_dir)
+    history = history_of(master)
+    cold = customer_requests(spark, sf_dir).join(history, "user_id", "left_anti")
     return router.recommend_for_users(
-        customer_requests(spark, sf_dir), pop.fit(master), None,
-        history_of(master), profiles.product_profiles(master))
+        cold, pop.fit(master), None, history, profiles.product_profiles(master)
+    ).drop("request_id")
 
 
 @query("r3_cold_envelopes", ids="R3",
@@ -302,7 +313,7 @@ def m8_prototype_content_neighbours(spark, sf_dir):
   CAST(DENSE_RANK() OVER (ORDER BY CAST(user_id AS VARCHAR)) - 1 AS INTEGER) AS user_code
   FROM (SELECT DISTINCT user_id FROM interactions)""")
 def m1_encode_users(spark, sf_dir):
-    return encode.fit_encoder(feat.interactions(master_of(spark, sf_dir)), "user_id", "user_code")
+    return encode.fit_encoder(feat.interactions(stored_master(spark, sf_dir)), "user_id", "user_code")
 
 
 @query("m2_decode_products", ids="M1 M2",
@@ -311,7 +322,7 @@ def m1_encode_users(spark, sf_dir):
   CAST(DENSE_RANK() OVER (ORDER BY CAST(product_id AS VARCHAR)) - 1 AS INTEGER) AS product_code
   FROM (SELECT DISTINCT product_id FROM interactions))""")
 def m2_decode_products(spark, sf_dir):
-    inter = feat.interactions(master_of(spark, sf_dir))
+    inter = feat.interactions(stored_master(spark, sf_dir))
     codes = encode.fit_encoder(inter, "product_id", "product_code")
     return encode.decode(codes.select("product_code"), codes, "product_id", "product_code") \
         .join(codes, "product_id").select("product_code", "product_id")
@@ -321,16 +332,18 @@ def als_of(master, **kw):
     return als.fit(feat.interactions(master), **kw)
 
 
-@query("m3_als_fit", ids="M3 M1")
+@query("m3_als_fit", ids="M3 M1",
+       sql=with_(MASTER) + """SELECT CAST(DENSE_RANK() OVER (ORDER BY CAST(user_id AS VARCHAR)) - 1 AS INTEGER) AS user_code,
+  100 AS factors FROM (SELECT DISTINCT user_id FROM master)""")
 def m3_als_fit(spark, sf_dir):
-    rec = als_of(master_of(spark, sf_dir))
+    rec = als_of(stored_master(spark, sf_dir))
     return rec.model.userFactors.select(F.col("id").alias("user_code"),
                                         F.size("features").alias("factors"))
 
 
 @query("m4_als_top20", ids="M4 J12")
 def m4_als_top20(spark, sf_dir):
-    master = master_of(spark, sf_dir)
+    master = stored_master(spark, sf_dir)
     rec = als_of(master)
     req = customer_requests(spark, sf_dir)
     return als.recommend(rec, req, history_of(master))
@@ -338,10 +351,10 @@ def m4_als_top20(spark, sf_dir):
 
 @query("r1_recommend_for_users", ids="R1 T4 M4 J11 J12 J14 R4")
 def r1_recommend_for_users(spark, sf_dir):
-    master = cut_lineage(master_of(spark, sf_dir))
+    master = stored_master(spark, sf_dir)
     return router.recommend_for_users(
         customer_requests(spark, sf_dir), pop.fit(master), als_of(master),
-        history_of(master), profiles.product_profiles(master))
+        history_of(master), profiles.product_profiles(master)).drop("request_id")
 
 
 # ---------------------------------------------------------------- evaluation
@@ -349,7 +362,7 @@ EVAL_KEY = ["order_id", "order_item_id", "product_id"]
 
 
 def eval_parts(spark, sf_dir):
-    rows = feat.scored_rows(master_of(spark, sf_dir))
+    rows = feat.scored_rows(stored_master(spark, sf_dir))
     ev = cut_lineage(evaluate.split(rows, EVAL_KEY))
     train, test = ev.where(F.col("part") == "train"), ev.where(F.col("part") == "test")
     users = evaluate.eval_users(train, test)
@@ -416,15 +429,15 @@ def e7_comparison(spark, sf_dir):
 
 # ---------------------------------------------------------------- item-to-item CF
 def cf_ratings(master):
-    return feat.summed_interactions(feat.scored_rows(master)).withColumnRenamed(
-        "interaction_score", "r")
+    facts = feat.pair_facts(feat.pair_state_facts(master))
+    return facts.select("user_id", "product_id", F.col("score_sum").alias("r"))
 
 
 @query("m7_item_neighbours", ids="M7 J16 A21 T7", round_cols=["similarity"],
        sql=with_(MASTER, SCORED, ITEMCF) + """SELECT product_id, rank, similar_id, similarity
   FROM cf_rank WHERE rank <= 10""")
 def m7_item_neighbours(spark, sf_dir):
-    return itemcf.item_neighbours(cf_ratings(master_of(spark, sf_dir)), k=10)
+    return itemcf.item_neighbours(cf_ratings(stored_master(spark, sf_dir)), k=10)
 
 
 @query("m7_item_neighbours_heavy_path", ids="M7 J16", round_cols=["similarity"],
@@ -432,7 +445,7 @@ def m7_item_neighbours(spark, sf_dir):
   FROM cf_rank WHERE rank <= 10""")
 def m7_item_neighbours_heavy_path(spark, sf_dir):
     """Same result through the threshold path: every user above 8 products is heavy."""
-    return itemcf.item_neighbours(cf_ratings(master_of(spark, sf_dir)), k=10,
+    return itemcf.item_neighbours(cf_ratings(stored_master(spark, sf_dir)), k=10,
                                   heavy_threshold=8, first_depth=4)
 
 
@@ -445,7 +458,7 @@ HYB_SQL = with_(MASTER, SCORED, POPULARITY, PROFILES, REQUESTS, POP_LISTS, SRC_C
        sql=HYB_SQL + "SELECT user_id, state, n, is_new, interaction_count, "
        "last_purchase_days, user_state FROM hctx")
 def h1_user_context(spark, sf_dir):
-    return hybrid.user_context(customer_requests(spark, sf_dir), master_of(spark, sf_dir))
+    return hybrid.user_context(customer_requests(spark, sf_dir), stored_master(spark, sf_dir))
 
 
 @query("h2_model_selection", ids="H2",
@@ -458,34 +471,60 @@ def h2_model_selection(spark, sf_dir):
 
 
 def hybrid_inputs(spark, sf_dir):
-    master = cut_lineage(master_of(spark, sf_dir))  # read by five models: written once
-    inter = feat.interactions(master)
-    item_lists = itemcf.item_neighbours(cf_ratings(master), k=hybrid.CANDIDATES)
-    texts = content.product_texts(profiles.product_profiles(master), PRICE_BUCKET_THRESHOLDS)
-    content_lists = content.neighbours(content.fit(texts), texts, hybrid.CANDIDATES)
-    return master, inter, item_lists, content_lists
+    master = stored_master(spark, sf_dir)  # read by five models
+    facts = cut_lineage(feat.pair_facts(feat.pair_state_facts(master)))
+    inter = facts.select("user_id", "product_id", "interaction_score")
+    ratings = facts.select("user_id", "product_id", F.col("score_sum").alias("r"))
+    prof = cut_lineage(profiles.product_profiles(master))
+    model = content.fit(content.product_texts(prof, PRICE_BUCKET_THRESHOLDS))
+    return master, inter, ratings, model, prof
 
 
 @query("h3_h6_hybrid_item_content", ids="H3 H4 H5 H6 T5 T6 J12",
        round_cols=["final_score"], sql=HYB_SQL + "SELECT * FROM hybrid_out")
 def h3_h6_hybrid_item_content(spark, sf_dir):
     """The hybrid ranking with the item-CF and content candidates (no ALS)."""
-    master, inter, item_lists, content_lists = hybrid_inputs(spark, sf_dir)
-    return hybrid.recommend(customer_requests(spark, sf_dir), master, inter, item_lists,
-                            content_lists, pop.fit(master), profiles.product_profiles(master))
+    master, inter, ratings, model, prof = hybrid_inputs(spark, sf_dir)
+    return hybrid.recommend(customer_requests(spark, sf_dir), master, inter, ratings, model,
+                            pop.fit(master), prof)
+
+
+def given_als(spark, sf_dir, inter):
+    """Scores in the place of ALS that SQL can repeat: of the products whose number has the
+    user's remainder modulo 7, those unpurchased, by a hash of user and product."""
+    t = driver_tables(spark, sf_dir)
+    users = t.customers.select(F.col("customer_unique_id").alias("user_id"), F.pmod("customer_unique_id", F.lit(7)).alias("_m"))
+    parts = t.products.select("product_id", F.pmod("product_id", F.lit(7)).alias("_m"))
+    score = (F.pmod(F.col("user_id") * 31 + F.col("product_id") * 17, F.lit(1009)) + 1) / 1010.0
+    recs = (users.join(parts, "_m").drop("_m")
+            .join(inter.select("user_id", "product_id"), ["user_id", "product_id"], "left_anti")
+            .withColumn("als_score", score))
+    w = Window.partitionBy("user_id").orderBy(F.col("als_score").desc(), "product_id")
+    return (recs.withColumn("rank", F.row_number().over(w))
+            .where(F.col("rank") <= hybrid.CANDIDATES))
+
+
+@query("h3_h6_hybrid_given_als", ids="H3 H4 H5 H6 T5 T6 J12",
+       round_cols=["final_score"],
+       sql=with_(MASTER, SCORED, POPULARITY, PROFILES, REQUESTS, POP_LISTS, SRC_CONTENT,
+                 ITEMCF, HYBRID_ALS) + "SELECT * FROM hybrid_out")
+def h3_h6_hybrid_given_als(spark, sf_dir):
+    """All three weights of H4, with given scores for ALS."""
+    master, inter, ratings, model, prof = hybrid_inputs(spark, sf_dir)
+    return hybrid.recommend(customer_requests(spark, sf_dir), master, inter, ratings, model,
+                            pop.fit(master), prof, given_als(spark, sf_dir, inter))
 
 
 @query("h1_h6_hybrid", ids="H1 H2 H3 H4 H5 H6 T5 T6 M4")
 def h1_h6_hybrid(spark, sf_dir):
     """The full hybrid ranking with ALS candidates (rows only)."""
-    master, inter, item_lists, content_lists = hybrid_inputs(spark, sf_dir)
+    master, inter, ratings, model, prof = hybrid_inputs(spark, sf_dir)
     req = customer_requests(spark, sf_dir)
     routed = hybrid.select_models(hybrid.user_context(req, master))
     als_req = routed.where(F.col("route") == "hybrid").select(
         "user_id", F.lit(hybrid.CANDIDATES).alias("n"))
-    als_recs = als.recommend(als_of(master), als_req, history_of(master), over_fetch=1)
-    return hybrid.recommend(req, master, inter, item_lists, content_lists, pop.fit(master),
-                            profiles.product_profiles(master), als_recs)
+    als_recs = als.recommend(als.fit(inter), als_req, inter, over_fetch=1)
+    return hybrid.recommend(req, master, inter, ratings, model, pop.fit(master), prof, als_recs)
 
 
 # ---------------------------------------------------------------- prototype, profiling
@@ -506,13 +545,25 @@ MAPPED = [("customers", "customers_m"), ("orders", "orders_m"), ("order_items",
           ("products", "products_m"), ("translation", "translation_m"),
           ("payments", "payments_m"), ("reviews", "reviews_m"), ("sellers", "sellers_m"),
           ("geolocation", "geolocation_m")]
-MAPPED_COLS = {"customers": 4, "orders": 4, "order_items": 6, "products": 3, "translation": 2,
-               "payments": 2, "reviews": 2, "sellers": 2, "geolocation": 2}
-
-
-@query("q1_table_shapes", ids="Q1 S1 S2",
+_B, _S, _D, _T, _I = "bigint", "string", "double", "timestamp_ntz", "int"   # Spark's names
+MAPPED_COLS = {
+    "customers": [("customer_id", _B), ("customer_unique_id", _B), ("customer_state", _S),
+                  ("customer_zip_code_prefix", _I)],
+    "orders": [("order_id", _B), ("customer_id", _B), ("order_status", _S), ("order_purchase_timestamp", _T)],
+    "order_items": [("order_id", _B), ("order_item_id", _I), ("product_id", _B), ("seller_id", _B),
+                    ("price", _D), ("shipping_limit_date", _T)],
+    "products": [("product_id", _B), ("product_category_name", _S), ("product_weight_g", _I)],
+    "translation": [("product_category_name", _S), ("product_category_name_english", _S)],
+    "payments": [("order_id", _B), ("payment_value", _D)],
+    "reviews": [("order_id", _B), ("review_score", _D)],
+    "sellers": [("seller_id", _B), ("seller_zip_code_prefix", _I)],
+    "geolocation": [("geolocation_zip_code_prefix", _I), ("geolocation_state", _S)]}
+
+
+@query("q1_table_shapes", ids="Q1",
        sql=with_() + " UNION ALL ".join(
-           f"SELECT '{n}' AS table_name, COUNT(*) AS n_rows, {MAPPED_COLS[n]} AS n_cols FROM {v}"
+           f"""SELECT '{n}' AS table_name, COUNT(*) AS n_rows, {len(MAPPED_COLS[n])} AS n_cols,
+  '{','.join(c for c, _ in MAPPED_COLS[n])}' AS columns, '{','.join(t for _, t in MAPPED_COLS[n])}' AS dtypes FROM {v}"""
            for n, v in MAPPED))
 def q1_table_shapes(spark, sf_dir):
     return profiling.shapes(driver_tables(spark, sf_dir).items())
@@ -642,6 +693,182 @@ def k4_conversion_rate(spark, sf_dir):
     return business.conversion_rate(events(spark, sf_dir))
 
 
+# ---------------------------------------------------------------- requests of any kind
+LONG_N = 80
+
+
+@query("t3_long_requests", ids="T3 M9",
+       sql=with_(MASTER, SCORED, POPULARITY, REQUESTS.replace("10 AS n", f"{LONG_N} AS n"), pop_lists(LONG_N))
+       + "SELECT user_id, rank, product_id FROM pop_recs WHERE segment = 'cold'")
+def t3_long_requests(spark, sf_dir):
+    """Requests for more products than the served lists hold (80 of 50)."""
+    master = stored_master(spark, sf_dir)
+    cold = customer_requests(spark, sf_dir, LONG_N).join(history_of(master), "user_id", "left_anti")
+    return pop.recommend(cold, pop.fit(master))
+
+
+@query("r2_long_requests", ids="R2 M6 T7 J17", round_cols=["similarity"],
+       sql=with_(MASTER, PROFILES, SRC_CONTENT)
+       + f"SELECT product_id, rank, similar_id, similarity FROM sim_rank WHERE rank <= {LONG_N}")
+def r2_long_requests(spark, sf_dir):
+    """Similar products beyond the length of the stored lists (80 of 50)."""
+    model = content.fit(content_texts(spark, sf_dir))
+    return content.similar(model, product_requests(spark, sf_dir, LONG_N))
+
+
+ASKED = """
+asked AS (
+  SELECT c_custkey * 4 + k AS request_id, c_custkey AS user_id,
+         CASE k WHEN 1 THEN n_name WHEN 2 THEN 'nowhere' WHEN 3 THEN NULL ELSE n_name END AS state,
+         CASE k WHEN 0 THEN NULL WHEN 1 THEN 0 WHEN 2 THEN 51 ELSE 3 + c_custkey % 48 END AS n
+  FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey, (SELECT unnest([0, 1, 2, 3]) AS k)),
+ok AS (SELECT request_id, user_id, state, COALESCE(n, 10) AS n,
+              user_id IN (SELECT user_id FROM master) AS warm
+       FROM asked WHERE COALESCE(n, 10) BETWEEN 1 AND 50),
+shown AS (SELECT r.request_id, r.user_id, r.n, r.warm, x.pos, x.product_id
+          FROM ok r JOIN lists x ON x.list_key = CASE
+            WHEN r.state IS NOT NULL AND r.state <> '' AND r.state IN (SELECT state FROM s_len)
+            THEN r.state ELSE '~global~' END
+          WHERE x.pos <= r.n),
+kept AS (SELECT * FROM shown s WHERE NOT warm OR NOT EXISTS (
+           SELECT 1 FROM master m WHERE m.user_id = s.user_id AND m.product_id = s.product_id)),
+answered AS (SELECT request_id, user_id, product_id, CASE WHEN warm THEN 'warm' ELSE 'cold' END AS segment,
+                    CASE WHEN warm THEN 'popularity_fill' ELSE 'popularity' END AS source,
+                    CAST(ROW_NUMBER() OVER (PARTITION BY request_id ORDER BY pos) AS INTEGER) AS rank
+             FROM kept)
+"""
+
+
+def asked(spark, sf_dir):
+    """Four requests of every customer: no n; n = 0; n = 51 from an unknown state; another n
+    without a state."""
+    t = driver_tables(spark, sf_dir).customers
+    k, u = F.col("k"), F.col("customer_unique_id")
+    return t.select("customer_unique_id", "customer_state", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("k")).select(
+        (u * 4 + k).alias("request_id"), u.alias("user_id"),
+        F.when(k == 2, F.lit("nowhere")).when(k != 3, F.col("customer_state")).alias("state"),
+        F.when(k == 1, 0).when(k == 2, 51).when(k == 3, (3 + u % 48).cast("int")).alias("n"))
+
+
+def asked_recs(spark, sf_dir):
+    master = stored_master(spark, sf_dir)
+    return router.recommend_for_users(asked(spark, sf_dir), pop.fit(master), None, history_of(master),
+                                      profiles.product_profiles(master))
+
+
+@query("r1_repeated_requests", ids="R1 T3 T4 J11 J12 J14 R4", round_cols=["price", "review_score"],
+       sql=with_(MASTER, SCORED, POPULARITY, PROFILES, REQUESTS, pop_lists(50), ASKED)
+       + enriched("answered", ", c.request_id, c.segment, c.source"))
+def r1_repeated_requests(spark, sf_dir):
+    """Every user asks four times; no ALS model, so warm users get the popularity fill."""
+    return asked_recs(spark, sf_dir)
+
+
+@query("r3_answers", ids="R3 R1",
+       sql=with_(MASTER, SCORED, POPULARITY, PROFILES, REQUESTS, pop_lists(50), ASKED) + """
+SELECT a.request_id,
+       CASE WHEN COALESCE(a.n, 10) NOT BETWEEN 1 AND 50 THEN 'rejected'
+            WHEN x.c IS NULL THEN 'not_found' ELSE 'success' END AS status,
+       COALESCE(x.c, 0) AS results_count
+FROM asked a LEFT JOIN (SELECT request_id, COUNT(*) AS c FROM answered GROUP BY request_id) x
+  ON x.request_id = a.request_id""")
+def r3_answers(spark, sf_dir):
+    """One answer per request: n null is 10, 0 and 51 are rejected."""
+    return router.answers(asked(spark, sf_dir), asked_recs(spark, sf_dir)).select(
+        "request_id", "status", "results_count")
+
+
+# ---------------------------------------------------------------- ALS, by what must hold
+def _held(recs, history, products, keys=("user_id",)):
+    """Per user: rows, purchased products among them, whether ranks run 1..rows and scores
+    fall, and whether every product is known."""
+    w = Window.partitionBy(*keys).orderBy("rank")
+    marked = (recs.withColumn("_up", F.lag("als_score").over(w) < F.col("als_score"))
+              .join(history.select("user_id", "product_id", F.lit(1).alias("_bought")), ["user_id", "product_id"], "left")
+              .join(products.select("product_id", F.lit(1).alias("_known")), "product_id", "left"))
+    return marked.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count("_bought").alias("purchased"),
+        ((F.max("rank") == F.count(F.lit(1))) & (F.count_distinct("rank") == F.count(F.lit(1)))
+         & ~F.max(F.coalesce("_up", F.lit(False)))).alias("ordered"),
+        (F.count("_known") == F.count(F.lit(1))).alias("known"))
+
+
+HELD = """(SELECT user_id, LEAST({want}, (SELECT COUNT(DISTINCT product_id) FROM {rows}) - COUNT(DISTINCT product_id)) AS n_rows,
+  CAST(0 AS BIGINT) AS purchased, TRUE AS ordered, TRUE AS known FROM {rows} {where} GROUP BY user_id)"""
+
+
+@query("m4_als_invariants", ids="M4 J12",
+       sql=with_(MASTER) + "SELECT * FROM " + HELD.format(want=20, rows="master", where="")
+       + " WHERE n_rows > 0")
+def m4_als_invariants(spark, sf_dir):
+    master = stored_master(spark, sf_dir)
+    history = history_of(master)
+    return _held(als.recommend(als_of(master), customer_requests(spark, sf_dir), history), history,
+                 master.select("product_id").distinct())
+
+
+@query("e3_als_invariants", ids="E3 A21 M3 M4",
+       sql=with_(MASTER, SCORED, EVAL) + "SELECT * FROM " + HELD.format(
+           want=10, rows="train", where="WHERE user_id IN (SELECT user_id FROM eval_users)") + " WHERE n_rows > 0")
+def e3_als_invariants(spark, sf_dir):
+    _, train, _, users, _ = eval_parts(spark, sf_dir)
+    return _held(als_eval_recs(train, users), train.select("user_id", "product_id").distinct(),
+                 train.select("product_id").distinct())
+
+
+@query("m3_als_learns", ids="M3 M1",
+       sql=with_(MASTER) + """SELECT COUNT(DISTINCT user_id) AS users, COUNT(DISTINCT product_id) AS products,
+  100 AS factors, TRUE AS prefers_bought FROM master""")
+def m3_als_learns(spark, sf_dir):
+    """Fitted factors score bought pairs over unbought ones: the mean over the interactions
+    exceeds the mean over the same users with the products of other users."""
+    inter = feat.interactions(stored_master(spark, sf_dir))
+    rec = als.fit(inter)
+    pairs = cut_lineage(inter.join(rec.users, "user_id").join(rec.products, "product_id")
+                        .select("user_code", "product_code"))
+    n = rec.products.count()
+    moved = pairs.select("user_code", F.pmod(F.col("product_code") + F.col("user_code") * 7 + 1, F.lit(n)).cast("int").alias("product_code"))
+    mean = lambda p: rec.model.transform(p).agg(F.avg("prediction")).scalar()
+    return pairs.agg(F.count_distinct("user_code").alias("users")).select(
+        "users", F.lit(n).cast("long").alias("products"), F.lit(rec.model.rank).alias("factors"),
+        (mean(pairs) > mean(moved.join(pairs, ["user_code", "product_code"], "left_anti"))).alias("prefers_bought"))
+
+
+@query("r1_warm_invariants", ids="R1 T4 M4 J11 J12 J14 R4",
+       sql=with_(MASTER, PROFILES, REQUESTS) + """
+SELECT user_id, segment, LEAST(10, (SELECT COUNT(*) FROM prod_prof)
+         - (SELECT COUNT(DISTINCT product_id) FROM master m WHERE m.user_id = seg.user_id)) AS n_rows,
+       CAST(0 AS BIGINT) AS purchased, TRUE AS enriched FROM seg WHERE segment = 'warm'""")
+def r1_warm_invariants(spark, sf_dir):
+    """The warm answers with ALS: as many rows as asked, none purchased, all enriched."""
+    master = stored_master(spark, sf_dir)
+    history, prof = history_of(master), cut_lineage(profiles.product_profiles(master))
+    recs = router.recommend_for_users(customer_requests(spark, sf_dir), pop.fit(master), als_of(master), history, prof)
+    p = prof.select("product_id", F.col("category").alias("_c"), F.col("total_purchases").alias("_t"))
+    marked = (recs.where(F.col("segment") == "warm").join(p, "product_id", "left")
+              .join(history.select("user_id", "product_id", F.lit(1).alias("_bought")), ["user_id", "product_id"], "left"))
+    return marked.groupBy("user_id", "segment").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count("_bought").alias("purchased"),
+        F.min((F.col("category") == F.col("_c")) & (F.col("popularity_sales") == F.col("_t"))).alias("enriched"))
+
+
+@query("e7_als_beats_random", ids="E7 E3 E5",
+       sql="SELECT 'Recall@10' AS metric, TRUE AS als_beats_random, TRUE AS within_bounds")
+def e7_als_beats_random(spark, sf_dir):
+    """Mean recall of ALS against ten products per user drawn by hash from the train catalog."""
+    _, train, _, users, tr = eval_parts(spark, sf_dir)
+    codes = cut_lineage(encode.fit_encoder(train, "product_id", "code"))
+    n = codes.count()
+    draws = users.select("user_id", F.explode(F.sequence(F.lit(1), F.lit(10))).alias("rank"))
+    rnd = (draws.withColumn("code", F.pmod(F.xxhash64("user_id", "rank"), F.lit(n)).cast("int"))
+           .join(codes, "code").select("user_id", "rank", "product_id")
+           .dropDuplicates(["user_id", "product_id"]))
+    recall = lambda recs: evaluate.user_metrics(recs, tr, users).agg(F.avg("recall")).scalar()
+    a, r = recall(als_eval_recs(train, users)), recall(rnd)
+    return spark.range(1).select(F.lit("Recall@10").alias("metric"), (a > r).alias("als_beats_random"),
+                                 ((a >= 0) & (a <= 1)).alias("within_bounds"))
+
+
 # ---------------------------------------------------------------- sources, sinks, training
 def _scratch(spark, name):
     import uuid
@@ -661,6 +888,68 @@ def s1_csv_master(spark, sf_dir):
     return clean.build_master(load_raw(spark, folder), delivered=DELIVERED_STATUS)
 
 
+@query("s1_parquet_master", ids="S1 J1 J2 J3 J4 J5 J6",
+       round_cols=["price", "payment_value", "review_score"],
+       sql=with_(MASTER) + """SELECT CAST(order_id AS VARCHAR) AS order_id, order_item_id,
+  CAST(user_id AS VARCHAR) AS user_id, CAST(product_id AS VARCHAR) AS product_id,
+  customer_state, order_time, price, category, payment_value, review_score FROM master""")
+def s1_parquet_master(spark, sf_dir):
+    """The same round trip in the raw Parquet layout."""
+    folder = _scratch(spark, "raw-parquet")
+    write_raw_parquet(driver_tables(spark, sf_dir), folder)
+    return clean.build_master(load_raw(spark, folder, fmt="parquet"), delivered=DELIVERED_STATUS)
+
+
+@query("s2_aux_tables", ids="S2 S1",
+       sql=with_() + " UNION ALL ".join(
+           f"SELECT '{n}' AS table_name, COUNT(*) AS n_rows, COUNT({c}) AS with_key FROM {v}"
+           for n, v, c in [("sellers", "sellers_m", "seller_id"),
+                           ("geolocation", "geolocation_m", "geolocation_zip_code_prefix")]))
+def s2_aux_tables(spark, sf_dir):
+    """Sellers and geolocation through the CSV reader."""
+    folder = _scratch(spark, "raw-aux")
+    write_raw_csv(driver_tables(spark, sf_dir), folder)
+    raw = load_raw(spark, folder, with_aux=True)
+    out = [df.agg(F.count(F.lit(1)).alias("n_rows"), F.count(c).alias("with_key"))
+           .select(F.lit(n).alias("table_name"), "n_rows", "with_key")
+           for n, df, c in [("sellers", raw.sellers, "seller_id"),
+                            ("geolocation", raw.geolocation, "geolocation_zip_code_prefix")]]
+    return out[0].unionByName(out[1])
+
+
+TABLE_ROWS = """
+psig AS (SELECT product_id, string_agg(token || ':' || tf, ' ' ORDER BY token) AS sig FROM tf GROUP BY product_id),
+ssim AS (SELECT DISTINCT x.sig, y.sig AS other FROM tf a JOIN tf b ON a.token = b.token
+         JOIN psig x ON x.product_id = a.product_id JOIN psig y ON y.product_id = b.product_id),
+slist AS (SELECT s.sig, LEAST(51, COUNT(*)) AS c FROM ssim s JOIN psig p ON p.sig = s.other GROUP BY s.sig),
+saved AS (
+  SELECT 'popularity_global' AS table_name, COUNT(*) AS rows FROM g_scores
+  UNION ALL SELECT 'popularity_state', COUNT(*) FROM s_scores
+  UNION ALL SELECT 'popularity_lists', COUNT(*) FROM lists WHERE pos <= 50
+  UNION ALL SELECT 'content_product_sig', COUNT(*) FROM psig
+  UNION ALL SELECT 'content_sig_sims', COUNT(*) FROM ssim
+  UNION ALL SELECT 'content_sig_lists', CAST(SUM(c) AS BIGINT) FROM slist
+  UNION ALL SELECT 'user_profiles', COUNT(*) FROM user_prof
+  UNION ALL SELECT 'product_profiles', COUNT(*) FROM prod_prof
+  UNION ALL SELECT 'user_history', COUNT(*) FROM interactions)
+"""
+
+
+@query("s4_loaded_tables", ids="S3 S4",
+       sql=with_(MASTER, SCORED, POPULARITY, PROFILES, REQUESTS, POP_LISTS, SRC_CONTENT, TABLE_ROWS)
+       + "SELECT * FROM saved")
+def s4_loaded_tables(spark, sf_dir):
+    """Every table of a store that was saved twice and loaded: names and rows."""
+    folder = _scratch(spark, "store")
+    models = train_plan.fit_models(driver_tables(spark, sf_dir), delivered=DELIVERED_STATUS,
+                                   price_thresholds=PRICE_BUCKET_THRESHOLDS, with_als=False)
+    store.save(models, folder)
+    store.save(models, folder)
+    out = [df.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(n).alias("table_name"), "rows")
+           for n, df in store.load(spark, folder).tables().items()]
+    return functools.reduce(DataFrame.unionByName, out)
+
+
 @query("s3_s4_store_roundtrip", ids="S3 S4", round_cols=["avg_price", "avg_review_score"],
        sql=with_(MASTER, PROFILES) + "SELECT * FROM prod_prof")
 def s3_s4_store_roundtrip(spark, sf_dir):
@@ -672,7 +961,11 @@ def s3_s4_store_roundtrip(spark, sf_dir):
     return store.load(spark, folder).product_profiles
 
 
-@query("s6_train", ids="S6 S3 M3 M5 M9")
+@query("s6_train", ids="S6 S3 M3 M5 M9",
+       sql=with_(MASTER, SCORED, POPULARITY, PROFILES, REQUESTS, POP_LISTS, SRC_CONTENT, TABLE_ROWS) + """
+SELECT * FROM saved
+UNION ALL SELECT 'user_encoder', COUNT(DISTINCT user_id) FROM interactions
+UNION ALL SELECT 'product_encoder', COUNT(DISTINCT product_id) FROM interactions""")
 def s6_train(spark, sf_dir):
     """The whole training job with ALS; returns the saved tables and their rows."""
     return train_plan.train_tables(spark, driver_tables(spark, sf_dir), _scratch(spark, "models"),
@@ -701,18 +994,19 @@ def e7_popularity_summary_sampled(spark, sf_dir):
     return evaluate.summary(per, "popularity")
 
 
-@query("t4_warm_fill_given_candidates", ids="T4 J12 M4",
+@query("t4_warm_fill_given_candidates", ids="T4 J12",
        sql=with_(MASTER, SCORED, POPULARITY, REQUESTS, POP_LISTS, ITEMCF, HYBRID, WARM_FILL)
        + "SELECT * FROM t4_out")
 def t4_warm_fill_given_candidates(spark, sf_dir):
     """T4 with deterministic candidates in the place of ALS: each known user's
     item-CF top-20 unpurchased products, then the popularity fill, cut to n."""
-    master = cut_lineage(master_of(spark, sf_dir))
-    inter = feat.interactions(master)
+    master = stored_master(spark, sf_dir)
+    facts = cut_lineage(feat.pair_facts(feat.pair_state_facts(master)))
+    inter = facts.select("user_id", "product_id", "interaction_score")
     history = inter.select("user_id", "product_id",
                            F.col("interaction_score").cast("double").alias("r"))
-    lists = itemcf.item_neighbours(cf_ratings(master), k=hybrid.CANDIDATES)
-    cand = (hybrid.item_candidates(history, lists)
+    ratings = facts.select("user_id", "product_id", F.col("score_sum").alias("r"))
+    cand = (hybrid.item_candidates(history, ratings)
             .join(inter.select("user_id", "product_id"), ["user_id", "product_id"], "left_anti"))
     w = Window.partitionBy("user_id").orderBy(F.col("item_score").desc(), "product_id")
     cand = cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= 20)

@@ -13,8 +13,9 @@ MASTER = f"""
 orders_f AS (
   SELECT order_id, customer_id, order_purchase_timestamp AS order_time
   FROM orders_m WHERE order_status = '{DELIVERED_STATUS}'),
-pay AS (SELECT order_id, SUM(payment_value) AS payment_value FROM payments_m
-        WHERE order_id IS NOT NULL GROUP BY order_id),
+pay AS (SELECT order_id,
+               CAST(SUM(CAST(ROUND(payment_value, 9) AS DECIMAL(30,9))) AS DOUBLE) AS payment_value
+        FROM payments_m WHERE order_id IS NOT NULL GROUP BY order_id),
 rev AS (SELECT order_id, AVG(review_score) AS review_score FROM reviews_m
         WHERE order_id IS NOT NULL GROUP BY order_id),
 prod AS (
@@ -109,10 +110,12 @@ seg AS (SELECT r.user_id, r.state, r.n,
         FROM req r LEFT JOIN known k ON r.user_id = k.user_id)
 """
 
-POP_LISTS = f"""
-s_top AS (SELECT state, product_id, rank FROM s_rank WHERE rank <= 50),
+def pop_lists(n: int) -> str:
+    """T3 lists of ``n`` products per state and globally."""
+    return f"""
+s_top AS (SELECT state, product_id, rank FROM s_rank WHERE rank <= {n}),
 s_len AS (SELECT state, COUNT(*) AS s_len FROM s_top GROUP BY state),
-g_top AS (SELECT product_id, rank FROM g_rank WHERE rank <= 100),
+g_top AS (SELECT product_id, rank FROM g_rank WHERE rank <= {2 * n}),
 fill AS (
   SELECT l.state, g.product_id,
          l.s_len + ROW_NUMBER() OVER (PARTITION BY l.state ORDER BY g.rank) AS pos
@@ -127,10 +130,13 @@ pop_recs AS (
   FROM seg r JOIN lists x ON x.list_key = CASE
       WHEN r.state IS NOT NULL AND r.state <> '' AND r.state IN (SELECT state FROM s_len)
       THEN r.state ELSE '{GLOBAL_KEY}' END
-  WHERE x.pos <= r.n AND x.pos <= 50)
+  WHERE x.pos <= r.n)
 """
 
 
+POP_LISTS = pop_lists(50)
+
+
 def enriched(src: str, extra: str = "") -> str:
     """J11 over a (user_id, rank, product_id, ...) relation."""
     return f"""SELECT c.user_id, c.rank, c.product_id,
@@ -221,7 +227,8 @@ cf_n AS (SELECT product_id, sqrt(SUM(r * r)) AS n FROM cf_r GROUP BY product_id)
 cf_dot AS (SELECT a.product_id, b.product_id AS similar_id, SUM(a.r * b.r) AS d
            FROM cf_r a JOIN cf_r b ON a.user_id = b.user_id AND a.product_id <> b.product_id
            GROUP BY a.product_id, b.product_id),
-cf_sim AS (SELECT d.product_id, d.similar_id, round(d.d / (x.n * y.n), 9) AS similarity
+cf_sim AS (SELECT d.product_id, d.similar_id, d.d / (x.n * y.n) AS sim,
+                  round(d.d / (x.n * y.n), 9) AS similarity
            FROM cf_dot d JOIN cf_n x ON d.product_id = x.product_id
            JOIN cf_n y ON d.similar_id = y.product_id),
 cf_rank AS (SELECT product_id, similar_id, similarity,
@@ -246,9 +253,9 @@ hctx AS (
 hroute AS (SELECT *, CASE WHEN is_new THEN 'geo_popular' WHEN interaction_count < 5 THEN 'content'
                           ELSE 'hybrid' END AS route FROM hctx),
 hhist AS (SELECT user_id, product_id, CAST(interaction_score AS DOUBLE) AS r FROM interactions),
-hitem0 AS (SELECT h.user_id, c.similar_id AS product_id, SUM(c.similarity * h.r) AS s
-           FROM hhist h JOIN cf_rank c ON c.product_id = h.product_id
-           WHERE c.rank <= 50 AND h.user_id IN (SELECT user_id FROM hroute WHERE route = 'hybrid')
+hitem0 AS (SELECT h.user_id, c.similar_id AS product_id, SUM(c.sim * h.r) AS s
+           FROM hhist h JOIN cf_sim c ON c.product_id = h.product_id
+           WHERE h.user_id IN (SELECT user_id FROM hroute WHERE route = 'hybrid')
            GROUP BY h.user_id, c.similar_id),
 hitem1 AS (SELECT user_id, product_id,
                   round(s / MAX(s) OVER (PARTITION BY user_id), 9) AS item_score FROM hitem0),
@@ -257,8 +264,7 @@ hitem AS (SELECT user_id, product_id, item_score FROM (
   FROM hitem1) WHERE rn <= 50),
 hcont0 AS (SELECT h.user_id, c.similar_id AS product_id, MAX(c.similarity) AS content_score
            FROM hhist h JOIN sim_rank c ON c.product_id = h.product_id
-           WHERE c.rank <= 50
-             AND h.user_id IN (SELECT user_id FROM hroute WHERE route IN ('hybrid', 'content'))
+           WHERE h.user_id IN (SELECT user_id FROM hroute WHERE route IN ('hybrid', 'content'))
            GROUP BY h.user_id, c.similar_id),
 hcont AS (SELECT user_id, product_id, content_score FROM (
   SELECT *, ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY content_score DESC, product_id) AS rn
@@ -322,6 +328,30 @@ proto_prof AS (
   FROM proto_master GROUP BY product_id)
 """
 
+# H3-H6 with given scores in the place of ALS (queries.given_als)
+HYBRID_ALS = HYBRID.replace("""hmerged AS (
+  SELECT user_id, product_id, CAST(0 AS DOUBLE) AS als_score,""", """gals0 AS (
+  SELECT c.customer_unique_id AS user_id, p.product_id,
+         ((c.customer_unique_id * 31 + p.product_id * 17) % 1009 + 1) / CAST(1010 AS DOUBLE) AS als_score
+  FROM customers_m c JOIN products_m p ON c.customer_unique_id % 7 = p.product_id % 7
+  WHERE NOT EXISTS (SELECT 1 FROM interactions i WHERE i.user_id = c.customer_unique_id
+                    AND i.product_id = p.product_id)),
+gals1 AS (SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY user_id
+            ORDER BY als_score DESC, product_id) AS rn FROM gals0) WHERE rn <= 50),
+gals AS (SELECT user_id, product_id, round(als_score / MAX(als_score) OVER (PARTITION BY user_id), 9) AS als_score
+         FROM gals1 WHERE user_id IN (SELECT user_id FROM hroute WHERE route = 'hybrid')),
+hmerged AS (
+  SELECT user_id, product_id, COALESCE(MAX(als_score), 0) AS als_score,""").replace(
+    """  FROM (SELECT user_id, product_id, item_score, CAST(NULL AS DOUBLE) AS content_score FROM hitem
+        UNION ALL
+        SELECT user_id, product_id, CAST(NULL AS DOUBLE), content_score FROM hcont)""",
+    """  FROM (SELECT user_id, product_id, item_score, CAST(NULL AS DOUBLE) AS content_score,
+               CAST(NULL AS DOUBLE) AS als_score FROM hitem
+        UNION ALL
+        SELECT user_id, product_id, CAST(NULL AS DOUBLE), content_score, CAST(NULL AS DOUBLE) FROM hcont
+        UNION ALL
+        SELECT user_id, product_id, CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE), als_score FROM gals)""")
+
 EVAL_SAMPLE = """
 sample_users AS (SELECT user_id FROM eval_users
                  ORDER BY md5(concat_ws('|', '42', user_id)) LIMIT 1000),
@@ -329,9 +359,9 @@ sample_metrics AS (SELECT * FROM pop_metrics WHERE user_id IN (SELECT user_id FR
 """
 
 WARM_FILL = """
-t4_item0 AS (SELECT h.user_id, c.similar_id AS product_id, SUM(c.similarity * h.r) AS s
-             FROM hhist h JOIN cf_rank c ON c.product_id = h.product_id
-             WHERE c.rank <= 50 GROUP BY h.user_id, c.similar_id),
+t4_item0 AS (SELECT h.user_id, c.similar_id AS product_id, SUM(c.sim * h.r) AS s
+             FROM hhist h JOIN cf_sim c ON c.product_id = h.product_id
+             GROUP BY h.user_id, c.similar_id),
 t4_item1 AS (SELECT user_id, product_id,
                     round(s / MAX(s) OVER (PARTITION BY user_id), 9) AS item_score FROM t4_item0),
 t4_item AS (SELECT user_id, product_id, item_score FROM (

@@ -4,7 +4,9 @@ and a broadcast hint that is only given behind a row-count check."""
 from __future__ import annotations
 
 import os
+import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,8 +48,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if configured:
         sc.setCheckpointDir(configured)
         return sc.getCheckpointDir() or configured
-    if sc.master.startswith("local"):
-        folder = tempfile.mkdtemp(prefix="basketry-ckpt-")
+    if re.fullmatch(r"local(\[.*\])?", sc.master):    # local-cluster[...] is a cluster
+        folder = tempfile.mkdtemp(prefix="basketry-ckpt-",
+                                  dir=os.environ.get("BASKETRY_SCRATCH"))
         sc.setCheckpointDir(folder)
         return sc.getCheckpointDir() or folder
     raise RuntimeError(
@@ -62,16 +65,34 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable (written) checkpoint in the shared folder; survives executor loss."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Writes ``df`` as Parquet in the shared folder and reads it back: the lineage ends
+    there and survives executor loss, and every reader scans only the columns and rows
+    it asks for."""
+    spark = df.sparkSession
+    path = scratch_path(spark, f"table-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
-def bounded_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
-    """Broadcast hint only when the side is proven small.
+MAX_BROADCAST_BYTES = 64 << 20
 
-    Counts at most ``max_rows + 1`` rows (a cheap action on a small side); if the
-    side is larger, the plain DataFrame is returned and AQE / the optimizer pick a
-    shuffle join with their own size checks."""
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+
+def _row_bytes(df: DataFrame):
+    """Bytes of a row as a column: lengths of text, 8 for any other value."""
+    total = F.lit(8)
+    for f in df.schema.fields:
+        c = F.col(f"`{f.name}`")
+        total = total + (F.coalesce(F.octet_length(c), F.lit(0)) + 16
+                         if f.dataType.typeName() in ("string", "binary") else F.lit(8))
+    return total
+
+
+def bounded_broadcast(df: DataFrame, max_rows: int,
+                      max_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
+    """Broadcast hint only when the side is proven small, in rows and in bytes.
+
+    Looks at ``max_rows + 1`` rows at most; if the side is larger, the plain DataFrame
+    is returned and AQE / the optimizer pick a shuffle join with their own size checks."""
+    n, size = (df.limit(max_rows + 1).select(_row_bytes(df).cast("long").alias("b"))
+               .agg(F.count("b"), F.coalesce(F.sum("b"), F.lit(0))).first())
+    return F.broadcast(df) if n <= max_rows and size <= max_bytes else df

@@ -15,7 +15,7 @@ from basketry.sources.tables import RawTables
 # Fixed values of the mapping (FIXTURES.md §3).
 DELIVERED_STATUS = "F"          # orders with o_orderstatus = 'F' count as delivered
 UNTRANSLATED_TYPE = "STANDARD"  # the one category with no English translation
-REVIEW_MAX_LINE = 3             # lines 1..3 of an order carry a review
+REVIEWED_MAX_QUANTITY = 25.0    # lines of up to this quantity carry a review
 REVIEW_SCORE_BY_FLAG = {"A": 5.0, "N": 4.0, "R": 2.0}
 PRICE_BUCKET_THRESHOLDS = (3000.0, 5000.0)  # in place of 50 and 200
 
@@ -68,7 +68,7 @@ def driver_tables(spark: SparkSession, sf_dir: str) -> RawTables:
         F.col("l_orderkey").alias("order_id"),
         (F.col("l_extendedprice") * (1 - F.col("l_discount")) * (1 + F.col("l_tax")))
         .alias("payment_value"))
-    reviews = (lineitem.where(F.col("l_linenumber") <= REVIEW_MAX_LINE)
+    reviews = (lineitem.where(F.col("l_quantity") <= REVIEWED_MAX_QUANTITY)
                .select(F.col("l_orderkey").alias("order_id"),
                        _review_score(F.col("l_returnflag")).alias("review_score")))
     sellers = _read(spark, sf_dir, "supplier").select(
@@ -128,7 +128,7 @@ reviews_m AS (
   SELECT l_orderkey AS order_id,
          CASE l_returnflag {' '.join(f"WHEN '{k}' THEN CAST({v} AS DOUBLE)" for k, v in REVIEW_SCORE_BY_FLAG.items())} END
            AS review_score
-  FROM lineitem WHERE l_linenumber <= {REVIEW_MAX_LINE}),
+  FROM lineitem WHERE l_quantity <= {REVIEWED_MAX_QUANTITY}),
 sellers_m AS (SELECT s_suppkey AS seller_id, s_nationkey AS seller_zip_code_prefix FROM supplier),
 geolocation_m AS (SELECT n_nationkey AS geolocation_zip_code_prefix, n_name AS geolocation_state FROM nation)
 """

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-from urllib.parse import urlparse
 from dataclasses import dataclass, fields
 
 from pyspark.sql import DataFrame, SparkSession
@@ -101,15 +100,17 @@ class MissingInputError(FileNotFoundError):
     """Raw data is absent; nothing is trained."""
 
 
-def require_inputs(raw_dir: str, names=REQUIRED) -> None:
-    """S5 guard for local or mounted folders; remote stores are checked by the reader."""
-    scheme = urlparse(raw_dir).scheme
-    if scheme == "file":
-        raw_dir = urlparse(raw_dir).path
-    elif scheme:
-        return
-    missing = [RAW_FILES[n] for n in names
-               if not os.path.exists(os.path.join(raw_dir, RAW_FILES[n]))]
+def raw_file(name: str, fmt: str = "csv") -> str:
+    return RAW_FILES[name] if fmt == "csv" else RAW_FILES[name].replace(".csv", f".{fmt}")
+
+
+def require_inputs(spark: SparkSession, raw_dir: str, names=REQUIRED, fmt: str = "csv") -> None:
+    """S5 guard: asks the folder's own file system (local, HDFS, object store)."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    folder = jvm.org.apache.hadoop.fs.Path(raw_dir)
+    fs = folder.getFileSystem(conf)
+    missing = [raw_file(n, fmt) for n in names
+               if not fs.exists(jvm.org.apache.hadoop.fs.Path(folder, raw_file(n, fmt)))]
     if missing:
         raise MissingInputError(f"raw input missing in {raw_dir}: {', '.join(missing)}")
 
@@ -133,10 +134,15 @@ def parse_timestamps(df: DataFrame, columns, fmt: str = TIMESTAMP_FORMAT) -> Dat
                            for c in present})
 
 
-def read_csv_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """Quoted free text may hold newlines and doubled quotes: multiLine + escape '"'."""
+MULTILINE_TABLES = ("reviews",)   # the only table with free text, so the only one not split
+
+
+def read_csv_table(spark: SparkSession, path: str, schema: T.StructType,
+                   multiline: bool = True) -> DataFrame:
+    """Quoted free text may hold newlines and doubled quotes: multiLine + escape '"'. A
+    multiLine file is read by one task, so it is asked for where newlines can occur."""
     return (spark.read.schema(schema)
-            .option("header", "true").option("multiLine", "true")
+            .option("header", "true").option("multiLine", str(multiline).lower())
             .option("escape", '"').option("quote", '"').option("mode", "FAILFAST")
             .csv(path))
 
@@ -144,17 +150,19 @@ def read_csv_table(spark: SparkSession, path: str, schema: T.StructType) -> Data
 def load_raw(spark: SparkSession, raw_dir: str, with_aux: bool = False,
              fmt: str = "csv") -> RawTables:
     """S1 (and S2 with ``with_aux``): the seven tables, typed, timestamps parsed."""
-    require_inputs(raw_dir)
     names = list(REQUIRED) + (["sellers", "geolocation"] if with_aux else [])
+    require_inputs(spark, raw_dir, names, fmt)
     out = {}
     for name in names:
         if fmt == "csv":
-            path = f"{raw_dir.rstrip('/')}/{RAW_FILES[name]}"
-            df = null_tokens_to_null(read_csv_table(spark, path, SCHEMAS[name]))
+            path = f"{raw_dir.rstrip('/')}/{raw_file(name)}"
+            df = null_tokens_to_null(read_csv_table(spark, path, SCHEMAS[name],
+                                                    name in MULTILINE_TABLES))
         else:
-            path = f"{raw_dir.rstrip('/')}/{RAW_FILES[name].replace('.csv', '.parquet')}"
-            df = spark.read.parquet(path)
-        out[name] = parse_timestamps(df, TIMESTAMP_COLUMNS.get(name, []))
+            df = spark.read.parquet(f"{raw_dir.rstrip('/')}/{raw_file(name, fmt)}")
+        text = [c for c in TIMESTAMP_COLUMNS.get(name, [])
+                if c in df.columns and isinstance(df.schema[c].dataType, T.StringType)]
+        out[name] = parse_timestamps(df, text)
     return RawTables(**out)
 
 
@@ -177,3 +185,10 @@ def write_raw_csv(raw: RawTables, out_dir: str, mode: str = "overwrite") -> None
          .option("header", "true").option("escape", '"').option("quote", '"')
          .csv(os.path.join(out_dir, RAW_FILES[name]) if "://" not in out_dir
               else f"{out_dir.rstrip('/')}/{RAW_FILES[name]}"))
+
+
+def write_raw_parquet(raw: RawTables, out_dir: str, mode: str = "overwrite") -> None:
+    """Write the tables in the raw Parquet layout (one folder per file name)."""
+    for name, df in raw.items():
+        to_raw_schema(df, SCHEMAS[name]).write.mode(mode).parquet(
+            f"{out_dir.rstrip('/')}/{raw_file(name, 'parquet')}")
