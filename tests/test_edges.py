@@ -130,7 +130,7 @@ def _pop_model(spark):
 def test_short_state_list_filled_from_global(spark):
     model = _pop_model(spark)
     req = spark.createDataFrame([("n1", "AA", 5)], "user_id string, state string, n int")
-    got = [r.product_id for r in pop.recommend(req, model.lists).orderBy("rank").collect()]
+    got = [r.product_id for r in pop.recommend(req, model).orderBy("rank").collect()]
     # own list first (a before b by score, then id), then global without a and b
     assert got[:2] == ["a", "b"]
     assert got[2:] == ["g1", "g2", "g3"]
@@ -141,7 +141,7 @@ def test_unknown_null_empty_state_use_global(spark):
     req = spark.createDataFrame([("n1", "ZZ", 3), ("n2", None, 3), ("n3", "", 3)],
                                 "user_id string, state string, n int")
     got = {}
-    for r in pop.recommend(req, model.lists).orderBy("user_id", "rank").collect():
+    for r in pop.recommend(req, model).orderBy("user_id", "rank").collect():
         got.setdefault(r.user_id, []).append(r.product_id)
     glob = [r.product_id for r in pop.global_ranking(model.global_scores, 3).orderBy("rank")
             .collect()]
@@ -151,7 +151,7 @@ def test_unknown_null_empty_state_use_global(spark):
 def test_fill_cut_before_history_may_stay_short(spark):
     model = _pop_model(spark)
     req = spark.createDataFrame([("u9", "ZZ", 3)], "user_id string, state string, n int")
-    top3 = [r.product_id for r in pop.recommend(req, model.lists).collect()]
+    top3 = [r.product_id for r in pop.recommend(req, model).collect()]
     history = spark.createDataFrame([("u9", p) for p in top3], "user_id string, product_id string")
     als_recs = spark.createDataFrame([], "user_id string, rank int, product_id string")
     out = router.warm_fill(als_recs, req, model, history).collect()
@@ -257,3 +257,17 @@ def test_segments_mark_known_users_warm(spark):
     known = spark.createDataFrame([("u1", "p1"), ("u1", "p2")], "user_id string, product_id string")
     got = {r.user_id: r.segment for r in router.segments(req, known).collect()}
     assert got == {"u1": "warm", "u2": "cold"}
+
+
+def test_rows_without_a_user_belong_to_no_group(spark):
+    m = master(spark, [dict(user_id=None, order_id="o1"), dict(user_id="u1", order_id="o2")])
+    for df in (profiles.user_profiles(m), profiles.time_features(m), profiles.interaction_counts(m),
+               feat.pair_facts(feat.pair_state_facts(m)), feat.purchase_history(m)):
+        assert [r.user_id for r in df.collect()] == ["u1"]
+
+
+def test_payment_sums_are_exact(spark):
+    rows = [("o", 0.1)] * 10 + [("p", 1e9), ("p", 0.000000001), ("p", -1e9)]
+    got = {r.order_id: r.payment_value for r in clean.payment_per_order(
+        spark.createDataFrame(rows, "order_id string, payment_value double")).collect()}
+    assert got == {"o": 1.0, "p": 0.000000001}

@@ -80,8 +80,10 @@ def test_store_round_trip_and_missing_history(spark, tmp_dir):
 
 
 def test_missing_input_guard(spark, tmp_dir):
-    with pytest.raises(MissingInputError):
-        load_raw(spark, os.path.join(tmp_dir, "nothing-here"))
+    for fmt in ("csv", "parquet"):
+        for folder in (os.path.join(tmp_dir, "nothing-here"), f"file://{tmp_dir}"):
+            with pytest.raises(MissingInputError, match=f"orders_dataset.{fmt}"):
+                load_raw(spark, folder, fmt=fmt)
 
 
 def test_stop_words_are_sparks(spark):
@@ -158,3 +160,4 @@ def test_store_without_als_loads_without_als(spark, tmp_dir):
     assert back.als is None
     assert back.history.count() == models.history.count()
     assert back.popularity.lists.count() == models.popularity.lists.count()
+    assert (back.popularity.max_n, back.content.max_n) == (models.popularity.max_n, models.content.max_n)
