@@ -1,13 +1,15 @@
 """Byte-level BPE encoding and decoding by a global distinct-word shuffle.
 
 1. Each task cuts its texts into pre-tokens, a block of texts at a time (at most
-   ``BLOCK_CHARS`` characters, or one longer text), and gives the block a dictionary
-   of its distinct words and the position list: for every position of the block, the
-   number of its word. The blocks are written to the shared folder once.
-2. The dictionaries are exploded, shuffled by word, and each distinct word of the
-   corpus is encoded once; a join brings its ids back to the blocks. A frequent word
-   is one row per block, not one per occurrence.
-3. Blocks meet their ids again, and the texts are reassembled by position.
+   ``BLOCK_CHARS`` characters, or one longer text). A block has a dictionary of its
+   distinct words and the position list: for every position of the block, the number of
+   its word. The dictionary is dealt to buckets by the hash of the word, a packet of words
+   per bucket. Packets and position lists are written to the shared folder once.
+2. Packets are shuffled by bucket, so all packets that hold a word meet in one task, which
+   encodes each distinct word once and answers every packet with the ids of its words. A
+   frequent word is one entry per block, not one per occurrence.
+3. The answers are joined back to the position lists by block, and the texts are
+   reassembled by position.
 
 Decoding joins the token-byte table: it has one entry per id of the vocabulary, a
 fixed size, so every task holds it.
@@ -22,6 +24,8 @@ Extra columns are ignored."""
 from __future__ import annotations
 
 import base64
+import itertools
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -46,9 +50,39 @@ def ranks(path: str | None = None) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
 
 
-def _blocks(docs: DataFrame, pattern: str, block_chars: int) -> DataFrame:
-    """(block, words, doc_ids, counts, positions): the dictionary of a block, and its texts
-    as numbers of words, compressed."""
+def _packed(lens, flat: bytes) -> bytes:
+    """Lengths and the bytes they divide, compressed."""
+    return zstandard.compress(len(lens).to_bytes(4, "little") + np.asarray(lens, "<u4").tobytes() + flat, 3)
+
+
+def _unpacked(blob: bytes) -> tuple[np.ndarray, bytes]:
+    raw = zstandard.decompress(blob)
+    n = int.from_bytes(raw[:4], "little")
+    return np.frombuffer(raw, "<u4", n, 4).astype(np.int64), raw[4 + 4 * n:]
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """Whole numbers compressed byte plane by byte plane: high bytes are mostly zero."""
+    return zstandard.compress(np.ascontiguousarray(
+        x.astype("<i4").view(np.uint8).reshape(-1, 4).T).tobytes(), 3)
+
+
+def _unplaned(blob: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(blob), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<i4").ravel()
+
+
+_BLOCKS = ("block long, bucket int, packet binary, doc_ids array<long>, counts array<long>, "
+           "numbers binary, positions binary")
+_BLOCKS_ARROW = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("packet", pa.binary()),
+                           ("doc_ids", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64())),
+                           ("numbers", pa.binary()), ("positions", pa.binary())])
+
+
+def _blocks(docs: DataFrame, pattern: str, block_chars: int, n_buckets: int) -> DataFrame:
+    """Two kinds of rows: (block, bucket, packet), the words of a block in a bucket; and
+    (block, null, ..., doc_ids, counts, numbers, positions), its texts as numbers of words.
+    ``numbers`` has the number of each word, in the order of the packets."""
     def run(batches):
         split = regex.compile(pattern)
         task, n = TaskContext.get().partitionId(), 0
@@ -56,18 +90,23 @@ def _blocks(docs: DataFrame, pattern: str, block_chars: int) -> DataFrame:
 
         def block():
             flat = np.concatenate(at) if at else np.zeros(0, np.int32)
-            # numbers by falling frequency make the high bytes mostly zero
-            order = np.argsort(-np.bincount(flat, minlength=len(number)), kind="stable")
+            # words are numbered anew by falling frequency, so most positions are small
+            falling = np.argsort(-np.bincount(flat, minlength=len(number)), kind="stable")
             new = np.empty(len(number), np.int32)
-            new[order] = np.arange(len(number), dtype=np.int32)
-            ws = list(number)
-            planes = np.ascontiguousarray(new[flat].astype("<i4").view(np.uint8).reshape(-1, 4).T)
-            return pa.RecordBatch.from_pydict(
-                {"block": [(task << 32) | n], "words": [[ws[i] for i in order]], "doc_ids": [ids],
-                 "counts": [counts], "positions": [zstandard.compress(planes.tobytes(), 3)]},
-                schema=pa.schema([("block", pa.int64()), ("words", pa.list_(pa.string())),
-                                  ("doc_ids", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64())),
-                                  ("positions", pa.binary())]))
+            new[falling] = np.arange(len(number), dtype=np.int32)
+            by_bucket: dict[int, list[tuple[bytes, int]]] = {}
+            for w, k in number.items():
+                b = w.encode("utf-8", "surrogatepass")
+                by_bucket.setdefault(zlib.crc32(b) % n_buckets, []).append((b, k))
+            rows, order = [], []
+            for bucket, ws in sorted(by_bucket.items()):
+                ws.sort()
+                order += [k for _, k in ws]
+                rows.append({"block": (task << 32) | n, "bucket": bucket,
+                             "packet": _packed([len(b) for b, _ in ws], b"".join(b for b, _ in ws))})
+            rows.append({"block": (task << 32) | n, "doc_ids": ids, "counts": counts,
+                         "numbers": _planes(new[np.array(order, np.int64)]), "positions": _planes(new[flat])})
+            return pa.RecordBatch.from_pylist(rows, schema=_BLOCKS_ARROW)
         for b in chunks(batches):
             for i, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
                 if chars and chars + len(t) > block_chars:
@@ -84,41 +123,52 @@ def _blocks(docs: DataFrame, pattern: str, block_chars: int) -> DataFrame:
                 chars += len(t)
         if ids:
             yield block()
-    return over_batches(id_text(docs), run, "block long, words array<string>, doc_ids array<long>, "
-                                            "counts array<long>, positions binary")
+    return over_batches(id_text(docs), run, _BLOCKS)
 
 
-def _encoded_words(words: DataFrame, table: dict[bytes, int], pattern: str) -> DataFrame:
-    """(word, ids) for distinct words."""
-    sent = words.sparkSession.sparkContext.broadcast(table)
+def _encoded(packets: DataFrame, table: dict[bytes, int], pattern: str) -> DataFrame:
+    """(of, bucket, ids): the ids of each packet's words. ``packets`` come bucket by bucket."""
+    sent = packets.sparkSession.sparkContext.broadcast(table)
 
     def run(batches):
         enc = tiktoken.Encoding("given", pat_str=pattern, mergeable_ranks=sent.value, special_tokens={})
-        for b in chunks(batches, 8192):
-            ws = b.column("word").to_pylist()
-            # the words are single matches of the pattern already
-            ids = [enc._core_bpe.encode_single_piece(w.encode("utf-8", "surrogatepass")) for w in ws]
-            yield pa.RecordBatch.from_arrays([b.column("word"), pa.array(ids, pa.list_(pa.int32()))],
-                                             ["word", "ids"])
-    return over_batches(words, run, "word string, ids array<int>")
+        current, known = None, {}
+        for b in chunks(batches, 64):
+            out = []
+            for bucket, blob in zip(b.column("bucket").to_pylist(), b.column("packet").to_pylist()):
+                if bucket != current:
+                    current, known = bucket, {}
+                lens, flat = _unpacked(blob)
+                ends = np.cumsum(lens).tolist()
+                got = []
+                for a, e in zip([0, *ends], ends):
+                    w = flat[a:e]
+                    if w not in known:      # a word is a single match of the pattern already
+                        known[w] = enc._core_bpe.encode_single_piece(w)
+                    got.append(known[w])
+                ids = np.fromiter(itertools.chain.from_iterable(got), "<i4")
+                out.append(_packed([len(x) for x in got], ids.tobytes()))
+            yield pa.RecordBatch.from_arrays([b.column("of"), b.column("bucket"), pa.array(out, pa.binary())],
+                                             ["of", "bucket", "ids"])
+    return over_batches(packets, run, "of long, bucket int, ids binary")
 
 
 def _reassemble(found: pa.Table, block: pa.Table) -> pa.Table:
     """The ids of each text of a block, by position."""
     out_type = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
-    if not block.num_rows:
-        return out_type.empty_table()
-    row = block.select(["doc_ids", "counts", "positions"]).to_pylist()[0]
-    planes = np.frombuffer(zstandard.decompress(row["positions"]), np.uint8)
-    at = np.ascontiguousarray(planes.reshape(4, -1).T).view("<i4").ravel()
-    order = np.argsort(found.column("n").to_numpy())
-    lists = found.column("ids").combine_chunks()
-    lens = lists.value_lengths().to_numpy()
-    starts = (np.cumsum(lens) - lens)[order]
-    lens, flat = lens[order], lists.flatten().to_numpy()
-    size = lens[at] if len(at) else np.zeros(0, np.int64)
-    total = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])
-    ids = flat[np.repeat(starts[at] - total[:-1], size) + np.arange(total[-1])] if len(at) else np.zeros(0, np.int32)
+    row = block.select(["doc_ids", "counts", "numbers", "positions"]).to_pylist()[0]
+    packets = [_unpacked(p["ids"]) for p in sorted(found.select(["bucket", "ids"]).to_pylist(), key=lambda p: p["bucket"])]
+    at, numbers = _unplaned(row["positions"]), _unplaned(row["numbers"])
+    lens = np.concatenate([n for n, _ in packets]) if packets else np.zeros(0, np.int64)
+    flat = np.frombuffer(b"".join(f for _, f in packets), "<i4")
+    # from the order of the packets to the numbers of the words
+    starts = np.empty(len(lens), np.int64)
+    starts[numbers] = np.cumsum(lens) - lens
+    size_of = np.empty(len(lens), np.int64)
+    size_of[numbers] = lens
+    size = size_of[at]
+    total = np.concatenate([[0], np.cumsum(size)])
+    ids = flat[np.repeat(starts[at] - total[:-1], size) + np.arange(total[-1])]
     ends = np.concatenate([[0], np.cumsum(row["counts"], dtype=np.int64)])
     return pa.Table.from_arrays(
         [pa.array(row["doc_ids"], pa.int64()),
@@ -128,15 +178,17 @@ def _reassemble(found: pa.Table, block: pa.Table) -> pa.Table:
 
 def encode(docs: DataFrame, vocabulary: str | None = None, pattern: str = public_tokenizers.PATTERN,
            block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """(doc_id, ids), one row per row of ``docs``."""
-    table = ranks(vocabulary)
-    blocks = written(_blocks(docs, pattern, block_chars), "blocks")
-    words = blocks.select("block", F.posexplode("words").alias("n", "word"))
-    encoded = _encoded_words(words.select("word").distinct(), table, pattern)
-    found = words.join(encoded, "word").select(F.col("block").alias("of"), "n", "ids")
-    ship(docs.sparkSession)
-    return (found.groupBy("of")
-            .cogroup(blocks.select("block", "doc_ids", "counts", "positions").groupBy("block"))
+    """(doc_id, ids), one row per row of ``docs``. There are twice as many buckets as shuffle
+    partitions, so they grow with what the session is set up for."""
+    spark = docs.sparkSession
+    n_buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    blocks = written(_blocks(docs, pattern, block_chars, n_buckets), "blocks")
+    packets = (blocks.where("bucket IS NOT NULL").select(F.col("block").alias("of"), "bucket", "packet")
+               .repartition("bucket").sortWithinPartitions("bucket"))
+    positions = blocks.where("bucket IS NULL").select("block", "doc_ids", "counts", "numbers", "positions")
+    found = _encoded(packets, ranks(vocabulary), pattern)
+    ship(spark)
+    return (found.groupBy("of").cogroup(positions.groupBy("block"))
             .applyInArrow(_reassemble, "doc_id long, ids array<int>"))
 
 
