@@ -17,6 +17,9 @@ comments are known by tag, role, class or id, and are no part of a block.
 The winning paths are broadcast when their written size is under ``BROADCAST_BYTES``;
 beyond, pages and hosts meet in a shuffle join whose hot host is split at run time.
 
+Containers nested deeper than ``MAX_DEPTH`` have no path of their own; their text belongs
+to the path above them.
+
 Defined cases: null html is empty, an empty page gives empty text; a null url, or one
 without a host, is a host of its own page (no consensus); malformed, unclosed and
 truncated markup is read leniently; repeated rows each give a row. Empty tables give
@@ -36,6 +39,7 @@ from basketry.llm.common import chunks, over_batches, written
 
 SHARE = 0.1
 FADE = 0.85
+MAX_DEPTH = 64      # containers nested deeper count as part of the one at this depth
 BROADCAST_BYTES = 16 << 20
 
 _TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)([^<>"']*(?:"[^"]*"[^<>"']*|'[^']*'[^<>"']*)*)>""")
@@ -92,6 +96,7 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
     paths: list[str] = []
     parts: list[str] = []
     links, beside, in_link = 0, 0, 0
+    opened: dict[str, int] = {}                        # open elements by tag
 
     def text(piece: str):
         nonlocal links
@@ -113,6 +118,7 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
     def close():
         nonlocal beside, in_link
         tag, bad, container = stack.pop()
+        opened[tag] -= 1
         if tag in BLOCKS or bad:
             flush()
         beside -= bad
@@ -122,6 +128,8 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
 
     def close_to(tags, stop) -> None:
         """Closes up to the innermost open element of ``tags``, unless one of ``stop`` is nearer."""
+        if not any(map(opened.get, tags)):
+            return
         for k in range(len(stack) - 1, -1, -1):
             if stack[k][0] in tags:
                 while len(stack) > k:
@@ -193,10 +201,11 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
             continue
         if attrs.endswith("/") and tag in ("svg", "path", "use"):
             continue
-        container = tag in CONTAINERS
+        container = tag in CONTAINERS and len(paths) < MAX_DEPTH
         if container:
             paths.append((paths[-1] + ">" if paths else "") + (f"{tag}.{classes}" if classes else tag))
         stack.append((tag, bad, container))
+        opened[tag] = opened.get(tag, 0) + 1
         beside += bad
         in_link += tag == "a"
     while stack:
