@@ -28,11 +28,15 @@ def _writer(sink: str, answer):
 
 
 def serve_recommendations(requests: DataFrame, models: TrainedModels, sink: str,
-                          checkpoint: str, available_now: bool = True) -> StreamingQuery:
-    """R1 over a request stream (user_id, state, n)."""
+                          checkpoint: str, available_now: bool = True,
+                          envelopes: bool = False) -> StreamingQuery:
+    """R1 over a request stream ([request_id], user_id, state, n). With ``envelopes`` one
+    row per request is written (R3), also for rejected and unanswered ones."""
     def answer(batch: DataFrame) -> DataFrame:
-        return router.recommend_for_users(batch, models.popularity, models.als,
+        asked = router.prepared(batch).drop("accepted")
+        recs = router.recommend_for_users(asked, models.popularity, models.als,
                                           models.history, models.product_profiles)
+        return router.answers(asked, recs) if envelopes else recs
     w = (requests.writeStream.foreachBatch(_writer(sink, answer))
          .option("checkpointLocation", checkpoint))
     w = w.trigger(availableNow=True) if available_now else w

@@ -111,6 +111,20 @@ def test_request_stream_matches_batch(spark, tmp_dir):
     assert got.exceptAll(want).count() == 0
 
 
+def test_request_stream_answers_every_request(spark, tmp_dir):
+    from basketry.streaming.serve import serve_recommendations
+    models = train_plan.fit_models(driver_tables(spark, SF_SMALL), delivered=DELIVERED_STATUS,
+                                   price_thresholds=PRICE_BUCKET_THRESHOLDS, with_als=False)
+    schema = "request_id long, user_id string, state string, n int"
+    spark.createDataFrame([(1, "-1", "CHINA", None), (2, "-1", "CHINA", 0), (3, "-1", None, 50)], schema
+                          ).write.parquet(f"{tmp_dir}/requests")
+    stream = spark.readStream.schema(schema).parquet(f"{tmp_dir}/requests")
+    q = serve_recommendations(stream, models, f"{tmp_dir}/out", f"{tmp_dir}/ckpt", envelopes=True)
+    q.awaitTermination(300)
+    got = {r.request_id: (r.status, r.results_count) for r in spark.read.parquet(f"{tmp_dir}/out").collect()}
+    assert got == {1: ("success", 10), 2: ("rejected", 0), 3: ("success", 50)}
+
+
 def test_metrics_match_ranking_evaluator(spark):
     from pyspark.ml.evaluation import RankingEvaluator
     from basketry.operators import evaluate
