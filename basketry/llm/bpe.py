@@ -4,12 +4,14 @@
    ``BLOCK_CHARS`` characters, or one longer text). A block has a dictionary of its
    distinct words and the position list: for every position of the block, the number of
    its word. The dictionary is dealt to buckets by the hash of the word, a packet of words
-   per bucket. Packets and position lists are written to the shared folder once.
+   per bucket. Packets are written to the shared folder as a table. Position lists go to
+   files beside it, one per attempt of a task, and only their place enters the table; so
+   they never travel, and the table names no file of an attempt that failed.
 2. Packets are shuffled by bucket, so all packets that hold a word meet in one task, which
    encodes each distinct word once and answers every packet with the ids of its words. A
    frequent word is one entry per block, not one per occurrence.
-3. The answers are joined back to the position lists by block, and the texts are
-   reassembled by position.
+3. The answers are joined by block to the place of the position list, which is read there,
+   and the texts are reassembled by position.
 
 Decoding joins the token-byte table: it has one entry per id of the vocabulary, a
 fixed size, so every task holds it.
@@ -25,6 +27,7 @@ from __future__ import annotations
 
 import base64
 import itertools
+import uuid
 import zlib
 
 import numpy as np
@@ -36,7 +39,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from basketry.llm.common import chunks, id_text, over_batches, ship, written
+from basketry.llm.common import chunks, filesystem, id_text, over_batches, scratch, ship, written
 
 import public_tokenizers
 
@@ -73,22 +76,27 @@ def _unplaned(blob: bytes) -> np.ndarray:
 
 
 _BLOCKS = ("block long, bucket int, packet binary, doc_ids array<long>, counts array<long>, "
-           "numbers binary, positions binary")
+           "file string, places array<long>")
 _BLOCKS_ARROW = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("packet", pa.binary()),
                            ("doc_ids", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64())),
-                           ("numbers", pa.binary()), ("positions", pa.binary())])
+                           ("file", pa.string()), ("places", pa.list_(pa.int64()))])
 
 
-def _blocks(docs: DataFrame, pattern: str, block_chars: int, n_buckets: int) -> DataFrame:
+def _blocks(docs: DataFrame, pattern: str, block_chars: int, n_buckets: int, folder: str) -> DataFrame:
     """Two kinds of rows: (block, bucket, packet), the words of a block in a bucket; and
-    (block, null, ..., doc_ids, counts, numbers, positions), its texts as numbers of words.
-    ``numbers`` has the number of each word, in the order of the packets."""
+    (block, null, ..., doc_ids, counts, file, places), its texts. The file has, from the first
+    place to the second, the number of each word in the order of the packets, and from there
+    to the third the position list."""
     def run(batches):
         split = regex.compile(pattern)
         task, n = TaskContext.get().partitionId(), 0
         number, at, ids, counts, chars = {}, [], [], [], 0
+        store, base = filesystem(folder)
+        file = f"{uuid.uuid4().hex}.positions"
+        out, size = None, 0
 
         def block():
+            nonlocal out, size
             flat = np.concatenate(at) if at else np.zeros(0, np.int32)
             # words are numbered anew by falling frequency, so most positions are small
             falling = np.argsort(-np.bincount(flat, minlength=len(number)), kind="stable")
@@ -104,8 +112,14 @@ def _blocks(docs: DataFrame, pattern: str, block_chars: int, n_buckets: int) ->
                 order += [k for _, k in ws]
                 rows.append({"block": (task << 32) | n, "bucket": bucket,
                              "packet": _packed([len(b) for b, _ in ws], b"".join(b for b, _ in ws))})
-            rows.append({"block": (task << 32) | n, "doc_ids": ids, "counts": counts,
-                         "numbers": _planes(new[np.array(order, np.int64)]), "positions": _planes(new[flat])})
+            if out is None:
+                out = store.open_output_stream(f"{base}/{file}", compression=None)
+            places = [size]
+            for part in (_planes(new[np.array(order, np.int64)]), _planes(new[flat])):
+                out.write(part)
+                size += len(part)
+                places.append(size)
+            rows.append({"block": (task << 32) | n, "doc_ids": ids, "counts": counts, "file": file, "places": places})
             return pa.RecordBatch.from_pylist(rows, schema=_BLOCKS_ARROW)
         for b in chunks(batches):
             for i, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
@@ -123,6 +137,8 @@ def _blocks(docs: DataFrame, pattern: str, block_chars: int, n_buckets: int) ->
                 chars += len(t)
         if ids:
             yield block()
+        if out is not None:
+            out.close()
     return over_batches(id_text(docs), run, _BLOCKS)
 
 
@@ -153,12 +169,16 @@ def _encoded(packets: DataFrame, table: dict[bytes, int], pattern: str) -> DataF
     return over_batches(packets, run, "of long, bucket int, ids binary")
 
 
-def _reassemble(found: pa.Table, block: pa.Table) -> pa.Table:
+def _reassemble(folder: str, found: pa.Table, block: pa.Table) -> pa.Table:
     """The ids of each text of a block, by position."""
     out_type = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
-    row = block.select(["doc_ids", "counts", "numbers", "positions"]).to_pylist()[0]
+    row = block.select(["doc_ids", "counts", "file", "places"]).to_pylist()[0]
+    store, base = filesystem(folder)
+    with store.open_input_file(f"{base}/{row['file']}") as f:
+        a, b, c = row["places"]
+        f.seek(a)
+        numbers, at = _unplaned(f.read(b - a)), _unplaned(f.read(c - b))
     packets = [_unpacked(p["ids"]) for p in sorted(found.select(["bucket", "ids"]).to_pylist(), key=lambda p: p["bucket"])]
-    at, numbers = _unplaned(row["positions"]), _unplaned(row["numbers"])
     lens = np.concatenate([n for n, _ in packets]) if packets else np.zeros(0, np.int64)
     flat = np.frombuffer(b"".join(f for _, f in packets), "<i4")
     # from the order of the packets to the numbers of the words
@@ -182,14 +202,20 @@ def encode(docs: DataFrame, vocabulary: str | None = None, pattern: str = public
     partitions, so they grow with what the session is set up for."""
     spark = docs.sparkSession
     n_buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    blocks = written(_blocks(docs, pattern, block_chars, n_buckets), "blocks")
+    folder = scratch(spark, "positions")
+    store, base = filesystem(folder)
+    store.create_dir(base, recursive=True)
+    blocks = written(_blocks(docs, pattern, block_chars, n_buckets, folder), "blocks")
     packets = (blocks.where("bucket IS NOT NULL").select(F.col("block").alias("of"), "bucket", "packet")
                .repartition("bucket").sortWithinPartitions("bucket"))
-    positions = blocks.where("bucket IS NULL").select("block", "doc_ids", "counts", "numbers", "positions")
+    texts = blocks.where("bucket IS NULL").select("block", "doc_ids", "counts", "file", "places")
     found = _encoded(packets, ranks(vocabulary), pattern)
     ship(spark)
-    return (found.groupBy("of").cogroup(positions.groupBy("block"))
-            .applyInArrow(_reassemble, "doc_id long, ids array<int>"))
+
+    def reassemble(left: pa.Table, right: pa.Table) -> pa.Table:
+        return _reassemble(folder, left, right)
+    return (found.groupBy("of").cogroup(texts.groupBy("block"))
+            .applyInArrow(reassemble, "doc_id long, ids array<int>"))
 
 
 def decode(encoded: DataFrame, vocabulary: str | None = None) -> DataFrame:

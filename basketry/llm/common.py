@@ -12,6 +12,7 @@ import zipfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -70,6 +71,14 @@ def scratch(spark, what: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
+def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
+    """File system and path of a shared folder (file:, hdfs:, s3:, ...), for tasks that write
+    files that are no tables."""
+    if uri.startswith("file:"):
+        uri = "file:///" + uri[5:].lstrip("/")
+    return pafs.FileSystem.from_uri(uri)
+
+
 def written(df: DataFrame, what: str) -> DataFrame:
     """Writes ``df`` as Parquet in the shared folder and reads it again: the lineage
     is cut, several readers share one computation, and a lost executor costs only

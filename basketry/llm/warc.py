@@ -32,12 +32,11 @@ import uuid
 from urllib.parse import quote
 
 import pyarrow as pa
-import pyarrow.fs as pafs
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from basketry.llm.common import chunks, over_batches, scratch, written
+from basketry.llm.common import chunks, filesystem, over_batches, scratch, written
 
 FRAME_BYTES = 1 << 20
 BUNDLE_BYTES = 64 << 20
@@ -49,13 +48,6 @@ _SKIPPABLE = 0x184D2A5E
 _SEEKABLE = 0x8F92EAB1
 
 
-def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
-    """File system and path of a shared folder (file:, hdfs:, s3:, ...)."""
-    if uri.startswith("file:"):
-        uri = "file:///" + uri[5:].lstrip("/")
-    return pafs.FileSystem.from_uri(uri)
-
-
 def digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
