@@ -74,6 +74,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame, *cols: str) -> DataFrame:
+    """Deals rows by ``cols`` over as many partitions as the session has shuffle partitions.
+    For rows that each expand to many in the next step: adaptive coalescing would fold them
+    into few tasks by their own size."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *cols)
+
+
 MAX_BROADCAST_BYTES = 64 << 20
 
 
