@@ -11,9 +11,10 @@ of it, the share of the entity's information that the term discloses is
     PMI(t; e) / IC(e) = log(N n(t, e) / (n(t) n(e))) / log(N / n(e)),
 
 1 for a term that stands only beside the entity, at most 0 for one that is independent.
-Terms seen beside the entity in ``MIN_JOINT`` documents or more that disclose at least
-``GENERALISE`` are generalised (kind ``term``), from ``REMOVE`` on removed (kind
-``remove``), wherever they stand beside that entity. Base spans stay.
+Every observed pair is scored, also that of an entity of one document: there the share is
+1 - log n(t) / log N, so it falls with the documents that a term stands in. Terms that
+disclose at least ``GENERALISE`` are generalised (kind ``term``), from ``REMOVE`` on
+removed (kind ``remove``), wherever they stand beside that entity. Base spans stay.
 
 Only rows of matches are shuffled, never texts; the snippets beside a match are of fixed
 length. Term counts are combined on the map side. The candidate terms are broadcast when
@@ -43,7 +44,6 @@ PATTERNS = {
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
 }
 NEAR = 48
-MIN_JOINT = 2
 GENERALISE = 0.7
 REMOVE = 0.95
 BROADCAST_TERMS = 500_000
@@ -146,8 +146,7 @@ def disclosing(docs: DataFrame, spans: DataFrame, near: DataFrame) -> DataFrame:
     n_docs = spans.where("kind IS NULL").count()
     of_entity = (spans.where("kind IS NOT NULL").select("row", F.xxhash64("kind", "value").alias("entity"))
                  .distinct().groupBy("entity").agg(F.count("*").alias("ne")))
-    joint = (near.select("row", "entity", "h").distinct().groupBy("entity", "h").agg(F.count("*").alias("nte"))
-             .where(F.col("nte") >= MIN_JOINT))
+    joint = near.select("row", "entity", "h").distinct().groupBy("entity", "h").agg(F.count("*").alias("nte"))
     joint = written(joint, "pii-joint")
     wanted = written(joint.select("h").distinct(), "pii-terms")
     each = (id_text(docs).select(F.explode(F.array_distinct(F.split(F.lower("text"), _NOT_TERM))).alias("t"))

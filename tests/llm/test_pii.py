@@ -68,6 +68,13 @@ def test_disclosing_terms_follow_the_counts(spark):
     assert all(r.n_terms == 0 for i, r in got.items() if i >= 200)
 
 
+def test_entities_of_one_document_are_judged(spark):
+    rows = [*corpus(), (300, "report about sales by Zweistein zweistein@firm.example")]
+    got = {r.doc_id: r for r in pii.scan(documents(spark, rows)).collect()}
+    at = rows[-1][1].index("Zweistein")
+    assert f"remove:{at}:{at + 9}" in got[300].spans.split(",") and got[300].n_terms == 1
+
+
 def test_joined_terms_equal_broadcast_terms(spark, monkeypatch):
     docs = documents(spark, corpus())
     want = sorted(map(tuple, pii.scan(docs).collect()))
