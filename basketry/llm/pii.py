@@ -4,22 +4,34 @@ Everything is DataFrame functions. Protected entities are the base matches: e-ma
 addresses, IP addresses, payment cards and phone numbers. A text is split by a kind's
 pattern; the lengths of the gaps and matches, added up, are the positions.
 
-A term beside an entity may give the entity away. Over the whole corpus, with document
-counts n(t), n(e), n(t, e) of a term, an entity, and the term within ``NEAR`` characters
-of it, the share of the entity's information that the term discloses is
+A term of an entity's document may give the entity away, wherever it stands there. Over
+the whole corpus, with document counts n(t), n(e), n(t, e) of a term, an entity, and of
+both, the share of the entity's information that the term discloses is
 
     PMI(t; e) / IC(e) = log(N n(t, e) / (n(t) n(e))) / log(N / n(e)),
 
-1 for a term that stands only beside the entity, at most 0 for one that is independent.
+1 for a term that stands only with the entity, at most 0 for one that is independent.
 Every observed pair is scored, also that of an entity of one document: there the share is
 1 - log n(t) / log N, so it falls with the documents that a term stands in. Terms that
-disclose at least ``GENERALISE`` are generalised (kind ``term``), from ``REMOVE`` on
-removed (kind ``remove``), wherever they stand beside that entity. Base spans stay.
-
-Only rows of matches are shuffled, never texts; the snippets beside a match are of fixed
-length. Term counts are combined on the map side. The candidate terms are broadcast when
-their number is at most ``BROADCAST_TERMS``, else all terms are counted and joined.
-Frequent entities meet in joins that are split at run time.
+disclose at least ``GENERALISE`` of an entity are generalised (kind ``term``), from
+``REMOVE`` on removed (kind ``remove``), at all their places in the entity's documents
+that no base span touches. Base spans stay.
+
+A term is a run of letters, marks and digits: of three or more characters, or shorter
+and begun by a capital or by a letter of a script without case, or of a letter and a
+digit. Runs are not cut into words, so a name inside a longer run of a script that is
+written without spaces is judged with its run.
+
+Entities with the same documents have the same counts and shares, so they are one class:
+a text with thousands of addresses of its own is one class with each of its terms, not
+thousands. As n(t, e) is at most n(e), a share of ``GENERALISE`` needs
+n(t) <= n(e) (N / n(e))^(1 - GENERALISE); terms over that bound for all entities of a
+document meet none of them, and nothing that could be told is lost.
+
+Only rows of matches and, of documents with a match, rows of terms are shuffled, never
+texts. Term counts are combined on the map side. Term counts and disclosing pairs are
+broadcast when they are at most ``BROADCAST_TERMS``, else joined; frequent entities meet
+in joins that are split at run time.
 
 Defined cases: null text is empty and has no spans; repeated rows each give a row and
 each count as a document; null ids are carried; a corpus of one document has no
@@ -43,12 +55,11 @@ PATTERNS = {
     "card": r"[0-9](?:[ -]?[0-9])++",
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
 }
-NEAR = 48
 GENERALISE = 0.7
 REMOVE = 0.95
 BROADCAST_TERMS = 500_000
-_TERM = r"\p{L}{4,}+"
-_NOT_TERM = r"[^\p{L}]+"
+_W, _FIRST = r"[\p{L}\p{M}\p{N}]", r"[\p{Lu}\p{Lt}\p{Lo}]"
+_TERM = rf"{_W}{{3,}}+|(?<!{_W})(?:{_FIRST}{_W}?+|\p{{L}}\p{{N}}|\p{{N}}\p{{L}})(?!{_W})"
 
 
 def _digits(c):
@@ -76,114 +87,110 @@ def _valid(kind: str, c):
     return F.length(_digits(c)).between(9, 15)
 
 
-def _events(kind: str):
-    """Per match of a kind, in order: (kind, n, gap, size, value, ok, before, after)."""
-    text, pattern = F.col("text"), PATTERNS[kind]
+def _found(pattern: str, event):
+    """An array of ``event(gap, match, index)`` over the matches of a pattern, in order."""
+    text = F.col("text")
     gaps, found = F.split(text, pattern), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    zipped = F.arrays_zip(gaps.alias("g"), found.alias("m"))
+    return F.transform(F.filter(zipped, lambda x: x.getField("m").isNotNull()),
+                       lambda x, i: event(x.getField("g"), x.getField("m"), i))
+
+
+def _event(kind: int, i, gap, match, h, ok):
+    return F.struct(F.lit(kind).alias("kind"), i.alias("n"), F.length(gap).alias("gap"), F.length(match).alias("size"),
+                    h.alias("h"), ok.alias("ok"))
+
+
+def _events(kind: str):
+    """Per match of a kind, in order: (kind, n, gap, size, h, ok); h is the hash of the entity."""
+    text, k = F.col("text"), KINDS.index(kind)
     some = F.contains(text, F.lit({"email": "@", "phone": "+"}[kind])) if kind in ("email", "phone") \
         else text.rlike(r"[0-9][ -]?[0-9]" if kind == "card" else r"[0-9]\.[0-9]")
-    event = lambda x, i: F.struct(
-        F.lit(KINDS.index(kind)).alias("kind"), i.alias("n"),
-        F.length(x.getField("g")).alias("gap"), F.length(x.getField("m")).alias("size"),
-        x.getField("m").alias("value"), _valid(kind, x.getField("m")).alias("ok"),
-        # one character more than is used: it tells whether a word was cut
-        F.substring(x.getField("g"), -(NEAR + 1), NEAR + 1).alias("before"),
-        F.substring(x.getField("h"), 1, NEAR + 1).alias("after"))
-    zipped = F.arrays_zip(gaps.alias("g"), found.alias("m"), F.slice(gaps, 2, F.size(gaps)).alias("h"))
-    return F.when(some, F.transform(F.filter(zipped, lambda x: x.getField("m").isNotNull()), event))
+    return F.when(some, _found(PATTERNS[kind], lambda g, m, i: _event(k, i, g, m, F.xxhash64(F.lit(k), m), _valid(kind, m))))
 
 
-_EVENT = ("array<struct<kind:int,n:int,gap:int,size:int,value:string,ok:boolean,before:string,after:string>>")
+_TERM_KIND = KINDS.index("term")
+_EVENT = "array<struct<kind:int,n:int,gap:int,size:int,h:long,ok:boolean>>"
 
 
-def base_spans(docs: DataFrame) -> DataFrame:
-    """(row, doc_id, kind, start, end, value, before, after): a row per valid base match, and
-    one of null kind per row of ``docs``."""
+def found_spans(docs: DataFrame) -> DataFrame:
+    """(row, doc_id, kind, h, start, end, free): a row per valid base match, a row per term
+    (kind ``term``, h the hash of the lowered term) of the documents with such a match, and
+    one of null kind per row of ``docs``. A term is free when no base match touches it."""
     none = F.expr(f"cast(array() as {_EVENT})")
-    mark = F.expr("named_struct('kind', cast(null as int), 'n', 0, 'gap', 0, 'size', 0, 'value', cast(null as string),"
-                  " 'ok', true, 'before', cast(null as string), 'after', cast(null as string))")
+    mark = F.expr("named_struct('kind', cast(null as int), 'n', 0, 'gap', 0, 'size', 0, 'h', cast(null as long), 'ok', true)")
+    terms = _found(_TERM, lambda g, m, i: _event(_TERM_KIND, i, g, m, F.xxhash64(F.lower(m)), F.lit(True)))
     # the number of a row is given before its matches are exploded
-    rows = id_text(docs).withColumn("row", F.monotonically_increasing_id()).select(
-        "row", "doc_id",
-        F.inline(F.concat(F.array(mark), *[F.coalesce(_events(k).cast(_EVENT), none) for k in PATTERNS])))
+    rows = (id_text(docs).withColumn("row", F.monotonically_increasing_id())
+            .withColumn("base", F.concat(*[F.coalesce(_events(k).cast(_EVENT), none) for k in PATTERNS]))
+            .select("row", "doc_id", F.inline(F.concat(
+                F.array(mark), "base", F.when(F.exists("base", lambda x: x.ok), terms.cast(_EVENT)).otherwise(none)))))
     order = Window.partitionBy("row", "kind").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
     end = F.sum(F.col("gap").cast("long") + F.col("size")).over(order)
-    return (rows.withColumn("end", end).where("ok")
-            .select("row", "doc_id", "kind", (F.col("end") - F.col("size")).alias("start"), "end", "value", "before", "after"))
-
-
-def _terms_of(side: str):
-    """(term, offset) of the whole words of a snippet, offsets from its start. The snippet's
-    extra character is dropped again: a word that reaches it is cut, and left out."""
-    s = F.col(side)
-    found = F.regexp_extract_all(s, F.lit(_TERM), F.lit(0))
-    gaps = F.transform(F.split(s, _TERM), lambda g: F.length(g))
-    starts = F.transform(found, lambda w, i: F.aggregate(F.slice(gaps, 1, i + 1), F.lit(0), lambda a, g: a + g)
-                         + F.aggregate(F.slice(F.transform(found, lambda x: F.length(x)), 1, i), F.lit(0), lambda a, g: a + g))
-    rows = F.arrays_zip(found.alias("term"), starts.alias("at"))
-    cut = (lambda x: x.getField("at") > 0) if side == "before" else \
-        (lambda x: x.getField("at") + F.length(x.getField("term")) <= NEAR)
-    return F.filter(rows, lambda x: (F.length(s) <= NEAR) | cut(x))
-
-
-def contexts(spans: DataFrame) -> DataFrame:
-    """(row, entity, h, start, end): the terms beside base spans. h is the hash of the
-    lowered term, entity that of kind and value."""
-    base = spans.where("kind IS NOT NULL")
-    entity = F.xxhash64("kind", "value")
-    sides = []
-    for side in ("before", "after"):
-        x = base.select("row", entity.alias("entity"), F.col("start").alias("s"), F.col("end").alias("e"),
-                        F.length(F.col("before")).alias("b"), F.inline(_terms_of(side)))
-        start = (F.col("s") - F.col("b") if side == "before" else F.col("e")) + F.col("at")
-        sides.append(x.select("row", "entity", F.xxhash64(F.lower("term")).alias("h"), start.alias("start"),
-                              (start + F.length("term")).alias("end")))
-    return sides[0].unionByName(sides[1])
-
-
-def disclosing(docs: DataFrame, spans: DataFrame, near: DataFrame) -> DataFrame:
-    """(entity, h, share) of the terms that disclose at least ``GENERALISE`` of an entity."""
-    n_docs = spans.where("kind IS NULL").count()
-    of_entity = (spans.where("kind IS NOT NULL").select("row", F.xxhash64("kind", "value").alias("entity"))
-                 .distinct().groupBy("entity").agg(F.count("*").alias("ne")))
-    joint = near.select("row", "entity", "h").distinct().groupBy("entity", "h").agg(F.count("*").alias("nte"))
-    joint = written(joint, "pii-joint")
-    wanted = written(joint.select("h").distinct(), "pii-terms")
-    each = (id_text(docs).select(F.explode(F.array_distinct(F.split(F.lower("text"), _NOT_TERM))).alias("t"))
-            .where(F.length("t") >= 4).select(F.xxhash64("t").alias("h")))
-    if wanted.count() <= BROADCAST_TERMS:
-        each = each.join(F.broadcast(wanted), "h", "left_semi")
-    of_term = each.groupBy("h").agg(F.count("*").alias("nt"))
-    pmi = F.log(F.lit(float(max(1, n_docs))) * F.col("nte") / (F.col("nt") * F.col("ne")))
-    information = F.log(F.lit(float(max(1, n_docs))) / F.col("ne"))
-    return (joint.join(of_term, "h").join(of_entity, "entity")
-            .select("entity", "h", F.when(information > 0, pmi / information).alias("share"))
-            .where(F.col("share") >= GENERALISE))
+    spans = (rows.withColumn("end", end).where("ok")
+             .select("row", "doc_id", "kind", "h", (F.col("end") - F.col("size")).alias("start"), "end"))
+    along = Window.partitionBy("row").orderBy("start")
+    is_base = F.col("kind") < len(PATTERNS)
+    before = F.max(F.when(is_base, F.col("end"))).over(along.rangeBetween(Window.unboundedPreceding, 0))
+    after = F.min(F.when(is_base, F.col("start"))).over(
+        Window.partitionBy("row").orderBy(F.col("start").desc()).rangeBetween(Window.unboundedPreceding, 0))
+    return spans.withColumn("free", (F.col("kind") == _TERM_KIND) & F.coalesce(before <= F.col("start"), F.lit(True))
+                            & F.coalesce(after >= F.col("end"), F.lit(True)))
+
+
+def _small(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written, to be broadcast when it has at most ``BROADCAST_TERMS`` rows."""
+    df = written(df, name)
+    return F.broadcast(df) if df.count() <= BROADCAST_TERMS else df
+
+
+def disclosing(docs: DataFrame, spans: DataFrame) -> DataFrame:
+    """(row, h, kind): the terms of a row that disclose at least ``GENERALISE`` of one of its
+    entities, of the stronger kind."""
+    n_docs = F.lit(float(max(1, spans.where("kind IS NULL").count())))
+    base = spans.where(F.col("kind") < len(PATTERNS)).select("row", F.col("h").alias("entity")).distinct()
+    # entities with the same documents are one class, known by two sums of hashes of the rows
+    sums = [F.sum(F.xxhash64(F.lit(i), "row").cast("decimal(20,0)")).cast("string") for i in (1, 2)]
+    of_entity = base.groupBy("entity").agg(F.count("*").alias("ne"), F.xxhash64(*sums, F.count("*")).alias("class"))
+    classes = written(base.join(of_entity, "entity").select("row", "class", "ne").distinct(), "pii-classes")
+    bound = F.col("ne") * F.pow(n_docs / F.col("ne"), F.lit(1 - GENERALISE)) * 1.000001
+    of_row = classes.groupBy("row").agg(F.max(bound).alias("most"))
+    terms = spans.where(F.col("kind") == _TERM_KIND).select("row", "h").distinct()
+
+    wanted = _small(terms.select("h").distinct(), "pii-terms")
+    each = (id_text(docs).select(F.explode(F.array_distinct(F.transform(
+        F.regexp_extract_all("text", F.lit(_TERM), F.lit(0)), lambda t: F.lower(t)))).alias("t"))
+        .select(F.xxhash64("t").alias("h")))
+    most = of_row.agg(F.max("most")).first()[0] or 0.0
+    of_term = _small(each.join(wanted, "h", "left_semi").groupBy("h").agg(F.count("*").alias("nt"))
+                     .where(F.col("nt") <= most), "pii-term-counts")
+    rare = terms.join(of_term, "h").join(of_row, "row").where(F.col("nt") <= F.col("most")).select("row", "h", "nt")
+    pairs = written(rare.join(classes, "row").where(F.col("nt") <= bound)
+                    .select("row", "class", "h", "nt", "ne"), "pii-pairs")
+    pmi = F.log(n_docs * F.col("nte") / (F.col("nt") * F.col("ne")))
+    information = F.log(n_docs / F.col("ne"))
+    told = _small(pairs.groupBy("class", "h", "nt", "ne").agg(F.count("*").alias("nte"))
+                  .select("class", "h", F.when(information > 0, pmi / information).alias("share"))
+                  .where(F.col("share") >= GENERALISE), "pii-told")
+    return (pairs.select("row", "class", "h").join(told, ["class", "h"]).groupBy("row", "h")
+            .agg(F.when(F.max("share") >= REMOVE, KINDS.index("remove")).otherwise(_TERM_KIND).alias("kind")))
 
 
 def protect(docs: DataFrame) -> DataFrame:
     """(doc_id, n_email, n_ip, n_card, n_phone, n_terms, base, all): one row per row of
     ``docs``; base and all are arrays of (start, kind, end) in order."""
-    spans = written(base_spans(docs), "pii-spans")
-    near = written(contexts(spans), "pii-contexts")
-    told = disclosing(docs, spans, near)
-    terms = (near.join(told, ["entity", "h"])
-             .select("row", F.lit(None).cast("long").alias("doc_id"), "start", "end",
-                     F.when(F.col("share") >= REMOVE, KINDS.index("remove")).otherwise(KINDS.index("term")).alias("kind")))
-    every = spans.select("row", "doc_id", "start", "end", "kind").unionByName(terms)
+    spans = written(found_spans(docs), "pii-spans")
+    terms = (spans.where("free").select("row", "h", "start", "end").join(disclosing(docs, spans), ["row", "h"])
+             .select("row", F.lit(None).cast("long").alias("doc_id"), "start", "end", "kind"))
+    every = (spans.where(F.col("kind").isNull() | (F.col("kind") < len(PATTERNS)))
+             .select("row", "doc_id", "start", "end", "kind").unionByName(terms))
     is_base = F.col("kind") < len(PATTERNS)
     item = F.struct("start", "kind", "end")
     counts = [F.count(F.when(F.col("kind") == i, 1)).alias(f"n_{k}") for i, k in enumerate(PATTERNS)]
-    rows = every.groupBy("row").agg(
-        F.max("doc_id").alias("doc_id"), *counts,
+    return every.groupBy("row").agg(
+        F.max("doc_id").alias("doc_id"), *counts, F.count(F.when(~is_base, 1)).alias("n_terms"),
         F.sort_array(F.collect_list(F.when(is_base, item))).alias("base"),
-        F.array_distinct(F.sort_array(F.collect_list(F.when(~is_base, item)))).alias("terms"))
-    # a term beside two entities is listed once, by its stronger kind, and never over a base span
-    apart = F.filter("terms", lambda t: ~F.exists("base", lambda b: (b.start < t.end) & (t.start < b.end))
-                     & ~F.exists("terms", lambda u: (u.start == t.start) & (u.kind > t.kind)))
-    return (rows.withColumn("terms", apart)
-            .select("doc_id", *[f"n_{k}" for k in PATTERNS], F.size("terms").cast("long").alias("n_terms"), "base",
-                    F.sort_array(F.concat("base", "terms")).alias("all")))
+        F.sort_array(F.collect_list(F.when(F.col("kind").isNotNull(), item))).alias("all")).drop("row")
 
 
 def _listed(name: str):
@@ -203,10 +210,11 @@ def sanitise(docs: DataFrame) -> DataFrame:
     """(doc_id, text) with every base span replaced by its kind in brackets, disclosing terms
     by [TERM] or by nothing. Joins by doc_id, so ids must be unique; of overlapping spans the
     first counts."""
-    found = protect(docs).select("doc_id", "all")
+    found = protect(docs).select("doc_id", "base", "all")
     text, spans = F.col("text"), F.col("spans")
-    # spans that start before the end of an earlier one go
-    spans_free = F.filter("all", lambda s, i: ~F.exists(F.slice(F.col("all"), 1, i), lambda p: p.end > s.start))
+    # base spans that start before the end of an earlier one go; terms touch no base span
+    spans_free = F.filter("all", lambda s: (s.kind >= len(PATTERNS))
+                          | ~F.exists("base", lambda p: (p < s) & (p.end > s.start)))
     labels = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS[:-1]], F.lit(""))
     piece = lambda s, i: F.concat(
         F.substr(text, F.coalesce(F.get(spans, i - 1).end, F.lit(0)) .cast("int") + 1,

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
 
@@ -75,6 +76,62 @@ def test_entities_of_one_document_are_judged(spark):
     assert f"remove:{at}:{at + 9}" in got[300].spans.split(",") and got[300].n_terms == 1
 
 
+def test_terms_of_the_whole_document_are_judged(spark):
+    far = " report about sales of other matters" * 4
+    names = ["Kim", "Li", "김민준", "李明", "K9x", "Zweistein"]
+    rows = [*corpus(), *[(300 + i, f"{n}{far} z{i}@firm.example{far} {n}.") for i, n in enumerate(names)]]
+    for broadcast in (pii.BROADCAST_TERMS, -1):
+        pii.BROADCAST_TERMS, kept = broadcast, pii.BROADCAST_TERMS
+        try:
+            got = {r.doc_id: r for r in pii.scan(documents(spark, rows)).collect()}
+        finally:
+            pii.BROADCAST_TERMS = kept
+        for i, n in enumerate(names):
+            t = rows[-len(names) + i][1]
+            last = t.rindex(n)
+            spans = got[300 + i].spans.split(",")
+            assert [spans[0], spans[-1]] == [f"remove:0:{len(n)}", f"remove:{last}:{last + len(n)}"], n
+            assert got[300 + i].n_terms == 2
+
+
+def plain_shares(rows):
+    """The marked terms of each document by counting every pair of term and entity."""
+    def terms(t):
+        for m in re.finditer(r"[^\W_]+", t):
+            w = m.group()
+            if len(w) > 2 or w[0].isupper() or len(w) == 2 and w[0].isdigit() != w[1].isdigit():
+                yield w.lower(), m.start(), m.end()
+    ents = [{(k, t[a:b]) for a, k, b in plain_base(t)} for _, t in rows]
+    words = [{w for w, _, _ in terms(t)} for _, t in rows]
+    n, out = len(rows), {}
+    for (i, t), es in zip(rows, ents):
+        base, marked = plain_base(t), []
+        share = {}
+        for e in es:
+            ne = sum(e in x for x in ents)
+            for w in {w for w, _, _ in terms(t)} if ne < n else ():
+                nt, nte = sum(w in x for x in words), sum(w in x and e in y for x, y in zip(words, ents))
+                share[w] = max(share.get(w, -9), math.log(n * nte / (nt * ne)) / math.log(n / ne))
+        for w, a, b in terms(t):
+            if share.get(w, -9) >= pii.GENERALISE and not any(s < b and a < e for s, _, e in base):
+                marked.append(("remove" if share[w] >= pii.REMOVE else "term", a, b))
+        out[i] = marked
+    return out
+
+
+def test_terms_equal_counting_every_pair(spark):
+    r = random.Random(3)
+    some = [f"w{k}" for k in range(60)] + ["Al", "by", "x7", "Bob", "7", "mail"]
+    ents = [f"p{k}@mail.example" for k in range(8)] + ["10.0.0.7", "+1 555 010 9999"]
+    rows = [(i, " ".join(r.choice(ents) if r.random() < 0.04 else
+                        r.choice(some) if r.random() < 0.8 else f"rare{r.randrange(200)}" for _ in range(40))) for i in range(60)]
+    want = plain_shares(rows)
+    assert sum(map(len, want.values())) > 20
+    for x in pii.scan(documents(spark, rows)).collect():
+        spans = [s.split(":") for s in x.spans.split(",") if s]
+        assert [(k, int(a), int(b)) for k, a, b in spans if k in ("term", "remove")] == want[x.doc_id]
+
+
 def test_joined_terms_equal_broadcast_terms(spark, monkeypatch):
     docs = documents(spark, corpus())
     want = sorted(map(tuple, pii.scan(docs).collect()))
