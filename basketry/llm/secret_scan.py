@@ -41,12 +41,16 @@ _ORDER = {k: i for i, k in enumerate(KINDS)}
 ALLOWED = (
     re.compile(r"[0-9]+"),                                             # plain numbers
     re.compile(r"[A-Za-z]?[a-z]+|[A-Z]+"),                             # a word
-    re.compile(r"(?:[A-Za-z]?[a-z]*|[A-Z]*|[0-9]{1,4})(?:[/_-]+(?:[A-Za-z]?[a-z]*|[A-Z]*|[0-9]{1,4}))+"),  # joined words, paths, dates
     re.compile(r"[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}"),  # UUID
     re.compile(r"(.{1,12}?)\1+"),                                      # one piece repeated
     re.compile(r".*EXAMPLE.*"),                                        # documented example keys
 )
 
+#: A piece of joined words, paths and dates. Runs are split and each piece tested by itself:
+#: one pattern over the run would try every way to deal a row of separators to its repeats.
+_JOINT = re.compile(r"[/_-]+")
+_PIECE = re.compile(r"[A-Za-z]?[a-z]*|[A-Z]*|[0-9]{1,4}")
+
 _CLOGC = [0.0] + [c * math.log2(c) for c in range(1, 65)]
 
 
@@ -85,7 +89,8 @@ def high_entropy(run: str, window: int, bits: float) -> list[tuple[int, int]]:
 
 
 def allowed(run: str) -> bool:
-    return any(p.fullmatch(run) for p in ALLOWED)
+    pieces = _JOINT.split(run)
+    return len(pieces) > 1 and all(map(_PIECE.fullmatch, pieces)) or any(p.fullmatch(run) for p in ALLOWED)
 
 
 def entropy_spans(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
