@@ -4,8 +4,10 @@ Base spans are the leftmost non-overlapping matches of three patterns, per kind.
 entropy scan adds spans: candidate strings are maximal runs of one character class;
 a window of fixed width slides over each, its entropy kept by incremental counts (one
 character enters, one leaves); windows at or over the class's threshold are joined
-into spans. Candidates on the allow-list (words, plain numbers, UUIDs, repetitions,
-documented example keys) and spans that a base span covers are suppressed. Each text
+into spans. Each class (hexadecimal, upper case and digits, lower case and digits, base64,
+printable) has its own window and threshold. Candidates on the allow-list (words and joined
+words, plain numbers, UUIDs, repetitions, documented example keys) and spans that a base
+span or another one covers are suppressed. Each text
 is scanned by itself and whole; nothing is shuffled.
 
 Defined cases: null text is empty; a text without a span has an empty string of spans
@@ -30,9 +32,15 @@ _HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
 BASE_KINDS = ("assign", "access", "hex")
 
 #: class: (candidate runs, window, bits). A window of w characters has log2(w) bits at most.
+#: The bits are the hundredth part of the entropies of windows of random strings of the class,
+#: from below: 2.65, 3.07, 3.15, 3.32 and 3.45 (20 000 strings each), so at 16 characters 1% of
+#: them are missed, and of longer ones, which have more windows, fewer.
 CLASSES = {
-    "entropy_hex": (re.compile(r"[0-9A-Fa-f]{24,}"), 24, 3.0),
-    "entropy_base64": (re.compile(r"[A-Za-z0-9+/_-]{24,}"), 24, 3.9),
+    "entropy_hex": (re.compile(r"[0-9A-Fa-f]{16,}"), 16, 2.65),
+    "entropy_base32": (re.compile(r"[A-Z0-9]{16,}"), 16, 3.07),
+    "entropy_lower": (re.compile(r"[a-z0-9]{16,}"), 16, 3.15),
+    "entropy_base64": (re.compile(r"[A-Za-z0-9+/_-]{16,}"), 16, 3.32),
+    "entropy_print": (re.compile(r"[!-~]{16,}"), 16, 3.45),
 }
 KINDS = (*BASE_KINDS, *CLASSES)
 _ORDER = {k: i for i, k in enumerate(KINDS)}
@@ -49,7 +57,12 @@ ALLOWED = (
 #: A piece of joined words, paths and dates. Runs are split and each piece tested by itself:
 #: one pattern over the run would try every way to deal a row of separators to its repeats.
 _JOINT = re.compile(r"[/_-]+")
-_PIECE = re.compile(r"[A-Za-z]?[a-z]*|[A-Z]*|[0-9]{1,4}")
+_PIECE = re.compile(r"[A-Za-z]?[a-z]*(?:[A-Z][a-z]+)*|[A-Z]*|[0-9]{1,4}")
+#: The same for text, code, addresses and markup without white space: of a random string the
+#: pieces between punctuation are short, so there must be ``LONG`` characters a piece.
+_MARKS = re.compile(r"[^A-Za-z0-9]+")
+_WORD = re.compile(r"(?:[A-Za-z]?[a-z]*(?:[A-Z][a-z]+)*|[A-Z]*)[0-9]{0,4}")
+LONG = 3
 
 _CLOGC = [0.0] + [c * math.log2(c) for c in range(1, 65)]
 
@@ -90,19 +103,38 @@ def high_entropy(run: str, window: int, bits: float) -> list[tuple[int, int]]:
 
 def allowed(run: str) -> bool:
     pieces = _JOINT.split(run)
-    return len(pieces) > 1 and all(map(_PIECE.fullmatch, pieces)) or any(p.fullmatch(run) for p in ALLOWED)
+    if all(map(_PIECE.fullmatch, pieces)) and (len(pieces) > 1 or not run.isdigit()):
+        return True
+    if _MARKS.search(run):
+        pieces = [p for p in _MARKS.split(run) if p]
+        if pieces and sum(map(len, pieces)) >= LONG * len(pieces) and all(map(_WORD.fullmatch, pieces)):
+            return True
+    return any(p.fullmatch(run) for p in ALLOWED)
 
 
 def entropy_spans(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
-    out = []
+    """The entropy spans that no base span and no other of them covers but for punctuation at
+    their ends; of equal ones the first class counts."""
+    found = []
     for kind, (runs, window, bits) in CLASSES.items():
         for m in runs.finditer(text):
-            if allowed(m.group()):
-                continue
-            for a, b in high_entropy(m.group(), window, bits):
-                a, b = a + m.start(), b + m.start()
-                if not any(s <= a and b <= e for _, s, e in base) and not any(s <= a and b <= e for _, s, e in out):
-                    out.append((kind, a, b))
+            if not allowed(m.group()):
+                found += [(kind, a + m.start(), b + m.start()) for a, b in high_entropy(m.group(), window, bits)]
+
+    def core(a, b):
+        while a < b and not text[a].isalnum():
+            a += 1
+        while a < b and not text[b - 1].isalnum():
+            b -= 1
+        return a, b
+    # by start, the longest first: a span is covered when one before it ends no sooner
+    every = sorted([(a, -b, -1, None) for _, a, b in base]
+                   + [(c, -d, _ORDER[k], (k, a, b)) for k, a, b in found for c, d in [core(a, b)]], key=lambda s: s[:3])
+    out, far = [], -1
+    for _, b, _, span in every:
+        if span is not None and -b > far:
+            out.append(span)
+        far = max(far, -b)
     return out
 
 
