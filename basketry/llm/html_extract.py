@@ -70,7 +70,7 @@ _WORDS = re.compile(r"[a-zA-Z][a-z]*|[A-Z]+")
 _CLOSES_P = BLOCKS | BOILERPLATE_TAGS - frozenset("button select option label input svg canvas object audio video".split())
 
 
-_TELLING = re.compile(r"class|id|role|hidden|style")
+_TELLING = re.compile(r"class|id|role|hidden|style", re.I)
 
 
 @lru_cache(maxsize=4096)

@@ -27,6 +27,7 @@ def test_article_without_the_rest():
 @pytest.mark.parametrize("html,text", [
     ("", ""), ("plain < 3 words", "plain < 3 words"), ("<p>a<p>b", "a\nb"), ("<div><p>a</div><div>b", "a\nb"),
     ("<article>x<script>y", "x"), ("<article><p>cut <b", "cut"), ("<p title='a>b'>q</p>", "q"), ("<!-- open <p>z", ""),
+    ('<DIV CLASS="menu">m</DIV><TD Class="comments">c</TD><DIV ID="ad">a</DIV><div HIDDEN>h</div><P>v', "v"),
     ("<P>Ünï<SPAN>cödé</SPAN></P>", "Ünïcödé"), ("<div hidden>h</div><p>v</p>", "v"), ("</p></div><p>t", "t"),
     ("<table><tr><td>a<td>b</table>", "a\nb"), ("<p " + "a " * 1000, ""), ("<" * 2000, "<" * 2000), ("<div>" * 3000 + "deep", "deep"),
 ])
