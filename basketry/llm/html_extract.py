@@ -8,8 +8,10 @@
    map side first, so a host with a third of the pages is a few rows per task); the
    winning paths of a host are those with at least ``SHARE`` of its votes, so there are
    at most 1 / SHARE of them.
-3. The pages are read once more, and the text is taken from the first winning path that
-   has text on the page, or from the page's own best path where none has.
+3. The pages are read once more, and the text is taken from the winning path of the best
+   score on the page, or from the page's own best path where no winner has ``LEAST`` of its
+   score. A path is widened to the next container around it that adds text, when text
+   outside links stands in that container itself (headline and lead over the content).
 
 Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader
 comments are known by tag, role, class or id, and are no part of a block.
@@ -39,6 +41,7 @@ from basketry.llm.common import chunks, over_batches, written
 
 SHARE = 0.1
 FADE = 0.85
+LEAST = 0.2         # of the page's best score, that a winner must have on the page
 MAX_DEPTH = 64      # containers nested deeper count as part of the one at this depth
 BROADCAST_BYTES = 16 << 20
 
@@ -228,20 +231,40 @@ def scores(found: list[tuple[tuple[str, ...], str, int]]) -> dict[str, float]:
     return {p: s * _BONUS.get(p.rsplit(">", 1)[-1].split(".")[0], 1.0) for p, s in out.items()}
 
 
-def best_path(found) -> tuple[str, float] | None:
-    return min(scores(found).items(), key=lambda x: (-x[1], x[0]), default=None)
+def best_path(found, marks: dict[str, float] | None = None) -> tuple[str, float] | None:
+    return min((scores(found) if marks is None else marks).items(), key=lambda x: (-x[1], x[0]), default=None)
+
+
+def widened(path: str, found) -> str:
+    """``path``, or the container around it that holds unlinked text of its own: upwards,
+    containers that add nothing are passed, and the first that adds other text without
+    having such text, as html and body, ends the way."""
+    out, n = path, sum(path in paths for paths, _, _ in found)
+    while ">" in path:
+        path = path.rsplit(">", 1)[0]
+        if path.rsplit(">", 1)[-1].split(".")[0] in ("html", "body"):
+            break
+        inside = [(paths[-1] == path and 2 * links < len(t)) for paths, t, links in found if path in paths]
+        if len(inside) > n:
+            if not any(inside):
+                break
+            out, n = path, len(inside)
+    return out
 
 
 def extract(page: str, winners: list[str]) -> str:
-    """The text of the first of ``winners`` with text on the page, else of the page's best
-    path, else of blocks without a container."""
+    """The text of the one of ``winners`` with the best score on the page, or of the page's
+    best path where they have too little of its score, else of blocks without a container."""
     found = blocks(page)
-    for path in winners:
-        got = [t for paths, t, _ in found if path in paths]
-        if got:
-            return "\n".join(got)
-    best = best_path(found)
-    return "\n".join(t for paths, t, _ in found if best is None or best[0] in paths)
+    marks = scores(found)
+    if not marks:
+        return "\n".join(t for _, t, _ in found)
+    best = best_path(found, marks)
+    path = max((w for w in winners if w in marks), key=lambda w: marks[w], default=None)
+    if path is None or marks[path] < LEAST * best[1]:
+        path = best[0]
+    path = widened(path, found)
+    return "\n".join(t for paths, t, _ in found if path in paths)
 
 
 def _named(pages: DataFrame) -> DataFrame:

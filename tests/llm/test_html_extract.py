@@ -54,5 +54,24 @@ def test_host_consensus_wins_over_a_loud_block(spark):
         assert all(r.n_chars == len(r.text) for r in got)
 
 
+def test_two_templates_of_a_host_keep_their_articles(spark):
+    one = "<body><div><p>%s</p></div></body>"
+    two = "<body><main><article><p>%s</p></article></main><div>(c) Site</div></body>"
+    story = "A long story of many words, told to its end. " * 5
+    rows = [(i, f"http://two.example/{i}", (one if i < 12 else two) % f"{story}{i}") for i in range(20)]
+    rows += [(50 + i, f"http://few.example/{i}", (one if i < 29 else two) % f"{story}{i}") for i in range(30)]
+    got = {r.page_id: r.text for r in html_extract.main_text(pages(spark, rows)).collect()}
+    assert got == {i: f"{story}{i if i < 50 else i - 50}" for i, _, _ in rows}
+
+
+@pytest.mark.parametrize("wrap", ["%s", "<div class=wrap>%s</div>"])
+def test_headline_and_lead_over_the_content(wrap):
+    content = wrap % ("<div class=content><p>" + "Body text. " * 60 + "</p></div>")
+    page = f"<body><div class=post><h1>Headline</h1><p>Lead</p>{content}</div><div class=other><p>Other</p></div></body>"
+    want = "Headline\nLead\n" + ("Body text. " * 60).strip()
+    inner = "body>div.post>div.wrap>div.content" if "wrap" in wrap else "body>div.post>div.content"
+    assert html_extract.extract(page, []) == html_extract.extract(page, [inner]) == want
+
+
 def test_empty(spark):
     assert html_extract.main_text(pages(spark, [])).collect() == []
