@@ -3,16 +3,16 @@
 Everything is DataFrame functions. The features of a text are its words, its word pairs
 and the last three characters of each word, hashed to ``BUCKETS`` buckets. Two
 multinomials over the buckets are estimated with add-one smoothing: the raw corpus from
-all documents, and the trusted target from labelled documents of quality 1 (at most
-``TRUSTED_DOCS``, those of least hash of the id, so their ids may be broadcast). The
+all documents, and the trusted target from all labelled documents of quality 1. The
 weight of a bucket is log p(target) - log p(raw), in whole millionths, so sums do not
 depend on their order. A document's ratio is the mean weight of its features; it is kept
 when no base rule fails and the ratio is at least ``THRESHOLD``, the same for every
 document.
 
 Counts are combined on the map side (at most ``BUCKETS`` rows per task); the weights,
-``BUCKETS`` rows at most, are broadcast; texts are not shuffled, only one row of numbers
-per document. A hot source or group of copies is spread like any other rows.
+``BUCKETS`` rows at most, are broadcast. Trusted ids are broadcast when they are at most
+``BROADCAST_IDS``; then texts are not shuffled, only one row of numbers per document.
+Beyond, documents and ids meet in a shuffle join. A hot source or group of copies is spread like any other rows.
 
 Defined cases: null text has no words; fewer than ``MIN_WORDS`` words fail, so do empty
 texts; without trusted rows all weights are equal and the base rules decide; repeated rows
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from basketry.llm.common import SPACE, id_text, written
 
 BUCKETS = 1 << 16
-TRUSTED_DOCS = 20_000
+BROADCAST_IDS = 1_000_000
 THRESHOLD = -0.5
 MIN_WORDS = 50
 SYMBOLS = "#*$%&|<>"
@@ -84,20 +84,15 @@ def _features(rows: DataFrame, *keep: str) -> DataFrame:
         F.when(b.isNotNull(), bucket(F.lit(3), a, b)))).alias("bucket"))
 
 
-def _counts(docs: DataFrame, name: str) -> DataFrame:
-    rows = docs.select(_words(F.col("text")).alias("w"))
-    return _features(rows).where("bucket IS NOT NULL").groupBy("bucket").agg(F.count("*").alias(name))
-
-
-def weights(docs: DataFrame, labels: DataFrame, trusted_docs: int = TRUSTED_DOCS) -> DataFrame:
+def weights(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(bucket, weight) of the buckets that occur, weight in millionths."""
-    docs = id_text(docs)
-    trusted = (labels.where(F.col("quality") == 1).select(F.col("doc_id").cast("long").alias("doc_id"))
-               .where("doc_id IS NOT NULL").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(trusted_docs))
-    raw = _counts(docs, "raw")
-    target = _counts(docs.join(F.broadcast(trusted), "doc_id", "left_semi"), "target")
-    both = written(raw.join(target, "bucket", "left").select(
-        "bucket", "raw", F.coalesce("target", F.lit(0)).alias("target")), "quality-counts")
+    trusted = written(labels.where(F.col("quality") == 1).select(F.col("doc_id").cast("long").alias("doc_id"))
+                      .where("doc_id IS NOT NULL").distinct(), "quality-trusted").withColumn("trusted", F.lit(True))
+    side = F.broadcast(trusted) if trusted.count() <= BROADCAST_IDS else trusted
+    rows = id_text(docs).join(side, "doc_id", "left").select(_words(F.col("text")).alias("w"), "trusted")
+    counts = (_features(rows, "trusted").where("bucket IS NOT NULL").groupBy("bucket")
+              .agg(F.count("*").alias("raw"), F.count("trusted").alias("target")))
+    both = written(counts, "quality-counts")
     n_raw, n_target = (float(x or 0) for x in both.agg(F.sum("raw"), F.sum("target")).first())
     if not n_target:
         return both.select("bucket", F.lit(0).cast("long").alias("weight"))
@@ -106,11 +101,10 @@ def weights(docs: DataFrame, labels: DataFrame, trusted_docs: int = TRUSTED_DOCS
     return both.select("bucket", F.round(ratio * 1e6).cast("long").alias("weight"))
 
 
-def judge(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD,
-          trusted_docs: int = TRUSTED_DOCS) -> DataFrame:
+def judge(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
     ratio, kept), one row per row of ``docs``."""
-    side = weights(docs, labels, trusted_docs)
+    side = weights(docs, labels)
     numbers = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
     # at most BUCKETS rows of two numbers are broadcast
     marks = (_features(base(docs), "row", *numbers).join(F.broadcast(side), "bucket", "left")

@@ -53,6 +53,16 @@ def test_ratio_is_the_mean_weight_of_the_features(spark):
     assert math.isclose(got[55], sum(weight[b] for b in buckets) / len(buckets) / 1e6, rel_tol=1e-12)
 
 
+def test_all_trusted_documents_are_counted(spark, monkeypatch):
+    ids = range(30_000)
+    docs = documents(spark, [(i, f"common own{i % 3000}") for i in ids], clashes=False)
+    trusted = spark.createDataFrame([(i, 1) for i in ids], "doc_id long, quality int")
+    want = sorted(map(tuple, quality.weights(docs, trusted).collect()))
+    assert want and all(w == 0 for _, w in want)            # the target is the whole corpus
+    monkeypatch.setattr(quality, "BROADCAST_IDS", -1)
+    assert sorted(map(tuple, quality.weights(docs, trusted).collect())) == want
+
+
 def test_without_labels_the_base_rules_decide(spark):
     none = labels(spark).where("false")
     got = quality.judge(documents(spark, ROWS), none).collect()
