@@ -7,7 +7,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from basketry.llm import bpe, decontaminate, html_extract, line_dedup, pii, quality, secret_scan, simhash, toxicity, warc
+from basketry.llm import (bpe, centroids, decontaminate, dual_tree, html_extract, line_dedup, pii, quality, secret_scan,
+                          set_join, simhash, toxicity, warc)
 from basketry.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -114,3 +115,63 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_pii")
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.scan(table(spark, sf_dir, "documents"))
+
+
+def _clustering_sql(rounds: int = 5, k: int = 40) -> str:
+    ctes = [f"""kept AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id,
+         list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id), v) - 1 AS k, v AS c FROM kept
+  WHERE vec_id IS NOT NULL QUALIFY k < {k})"""]
+    for i in range(rounds + 1):
+        ctes.append(f"""a{i} AS MATERIALIZED (
+  SELECT r, vec_id, v, k, d FROM (
+    SELECT r, vec_id, v, k, CAST(list_sum(list_transform(range(1, 65), lambda i: (v[i] - c[i]) * (v[i] - c[i]))) AS BIGINT) AS d
+    FROM kept, c{i}) QUALIFY row_number() OVER (PARTITION BY r ORDER BY d, k) = 1)""")
+        if i < rounds:
+            ctes.append(f"""c{i + 1} AS MATERIALIZED (
+  SELECT k, coalesce(m, c) AS c FROM c{i} LEFT JOIN (
+    SELECT k, list((s - ((s % n) + n) % n) // n ORDER BY i) AS m FROM (
+      SELECT k, i, CAST(sum(v[i]) AS BIGINT) AS s, count(*) AS n
+      FROM a{i}, (SELECT unnest(range(1, 65)) AS i) GROUP BY k, i) GROUP BY k) USING (k))""")
+    return "WITH " + ",\n".join(ctes) + f"""
+SELECT vec_id, CAST(k AS INTEGER) AS cluster, d AS distance,
+       CAST(sum(d) OVER (PARTITION BY k) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia,
+       sha256(array_to_string(c, ',')) AS centroid_sha256
+FROM a{rounds} JOIN c{rounds} USING (k)"""
+
+
+@query("op11_centroid_clustering", sql=_clustering_sql())
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings"))
+
+
+_TERMS = """regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+  '[0-9a-z\\x{80}-\\x{10FFFF}]+')"""
+
+
+@query("op12_lexical_search", sql=f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_TERMS} AS t FROM documents),
+lengths AS (SELECT r, doc_id, len(t) AS n FROM d WHERE len(t) > 0),
+total AS (SELECT count(*) AS nn, CAST(sum(n) AS BIGINT) AS l FROM lengths),
+items AS (SELECT row_number() OVER () AS q, item_id, {_TERMS} AS t FROM benchmark),
+wanted AS (SELECT q, item_id, term, count(*) AS times FROM (SELECT q, item_id, unnest(t) AS term FROM items) GROUP BY ALL),
+found AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(t) AS term FROM d)
+  WHERE term IN (SELECT term FROM wanted) GROUP BY ALL),
+weights AS (SELECT term, CAST(floor(1000 * ln((2 * nn + 2) / (2 * count(*) + 1))) AS BIGINT) AS w
+  FROM found, total GROUP BY term, nn),
+scores AS (
+  SELECT q, item_id, doc_id, r, CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + ((25 * n * nn) // l))))) AS BIGINT) AS score
+  FROM wanted JOIN found USING (term) JOIN weights USING (term) JOIN lengths USING (r), total GROUP BY ALL)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id NULLS LAST, r) AS rank FROM scores WHERE score > 0)
+WHERE rank <= 20""")
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dual_tree.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op13_set_join")
+def op13_set_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return set_join.components(table(spark, sf_dir, "documents"))
