@@ -5,13 +5,15 @@ Equal sets collapse into one class; the join is over classes and returns compone
 
 1. *Prefixes.* Two sets that link share at least one of the first s - ceil(t s) + 1
    shingles of either in any common order. The order is: shingles with a hash in the low
-   range first, frequent ones after the rest there, then the others, by hash in each part.
-   Frequency is counted over the classes, for every shingle of the low range; what is
-   frequent goes into a bitmap of fixed size (a chance hit only moves a shingle back).
+   range first, there those of one class before shared and shared before frequent ones,
+   then the others, by hash in each part. How many classes hold a shingle is counted for
+   every shingle of the low range; what is shared and what is frequent goes into two
+   bitmaps of fixed size (a chance hit only moves a shingle back). Shingles that no two
+   classes share make no pairs and need no list.
 2. *Answers of similar sets.* Sets that agree on min-hash values get the most central of
    them (whose values most sets hold) as leader. Overlaps with the leader are computed
-   exactly. A set that links with its leader follows it, in a few rounds; a set that does
-   not, but shares half with a leader, is its relative. Leader, followers and relatives are
+   exactly. A set that links with its leader follows it; a set that does not, but is half
+   similar, is its relative. Leader, followers and relatives are
    a family. The rest is derived from the differences D to the leader: two members differ
    in |Dy ^ Dx| shingles, so links inside a family are found by prefixes of the differences
    alone (rare ones first), without a list that holds the family's common shingles; and a
@@ -22,7 +24,8 @@ Equal sets collapse into one class; the join is over classes and returns compone
    are cut into blocks: a block is skipped for a set whose size admits none of the block's,
    or if the shingles left from the positions on are fewer than the overlap needed. A pair
    goes on if it passes the same two tests itself.
-4. *Verification* counts the overlap of every pair left, from the whole texts.
+4. *Verification* first bounds the overlap of every pair left by its exact part in the low
+   range, then counts it from the whole texts.
 
 Hot groups: exact copies are one class before anything is paired; near copies are one
 entry under their leader; a list of a frequent shingle is dealt by size class and salt.
@@ -51,10 +54,10 @@ SHINGLE = 4
 PERCENT = 85
 LOW = 0.22                  # share of the hash range that is counted and ordered first
 FREQUENT = 64               # classes that hold a shingle, from which on it is frequent
-BITMAP = 1 << 27            # bits; 16 MB
+BITMAP = 1 << 27            # bits of each bitmap; 16 MB
+COUNTED = (1 << 40) - 1     # bits of a hash that are counted by
 MINHASHES = 8
-AGREE_FOLLOW, AGREE_RELATIVE = 5, 3    # values that must agree for a leader to be tried
-ROUNDS = 2                  # of followers; more or fewer change the cost, not the result
+AGREE = 3                   # values that must agree for a leader to be tried
 HALF = 0.5                  # least similarity of a relative
 BLOCK = 64                  # entries of a block
 SALTS = 8                   # parts of the list of a frequent shingle, of each size class
@@ -112,7 +115,7 @@ def _key(hashes: np.ndarray) -> tuple[int, int]:
 
 
 def document_sets(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, size, k1, k2, stored, mins): a row per document."""
+    """(doc_id, size, k1, k2, stored, mins): a row per document. Equal keys are equal sets."""
     def run(batches):
         for b in chunks(batches):
             size, k1, k2, stored, mins = [], [], [], [], []
@@ -133,33 +136,37 @@ def document_sets(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) ->
                         "doc_id long, size long, k1 long, k2 long, stored array<long>, mins array<long>")
 
 
-def frequent_bitmap(classes: DataFrame, least: int = FREQUENT, bits: int = BITMAP) -> np.ndarray:
-    """Bitmap, in words of 64 bits, of the shingles that ``least`` classes or more hold. The
-    driver sees the words that are not zero, ``bits`` / 64 at most."""
-    often = (classes.select(F.explode("stored").alias("h")).groupBy("h").agg(F.count("*").alias("n"))
-             .where(F.col("n") >= least).select(F.col("h").bitwiseAND(F.lit(bits - 1)).alias("at")))
-    words = (often.groupBy(F.expr("shiftright(at, 6)").alias("word"))
-             .agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("b")).toArrow())
-    out = np.zeros(bits // 64, _U)
-    out[words["word"].to_numpy()] = words["b"].to_numpy().view(_U)
+def bitmaps(stored: DataFrame, least: tuple[int, int] = (2, FREQUENT), bits: int = BITMAP) -> np.ndarray:
+    """Two bitmaps, in words of 64 bits: of the shingles that as many classes hold as ``least``
+    says, or more. The driver sees the words that are not zero, ``bits`` / 64 at most."""
+    counts = (stored.select(F.explode("stored").alias("h")).select(F.col("h").bitwiseAND(F.lit(COUNTED)).alias("h"))
+              .groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= min(least))
+              .select("n", F.col("h").bitwiseAND(F.lit(bits - 1)).alias("at")))
+    bit = "shiftleft(1L, cast(at & 63 as int))"
+    words = (counts.groupBy(F.expr("shiftright(at, 6)").alias("word"))
+             .agg(*(F.bit_or(F.expr(f"if(n >= {n}, {bit}, 0L)")).alias(f"b{i}") for i, n in enumerate(least))).toArrow())
+    out = np.zeros((2, bits // 64), _U)
+    for i in range(2):
+        out[i, words["word"].to_numpy()] = words[f"b{i}"].to_numpy().view(_U)
     return out
 
 
-def _is_frequent(h: np.ndarray, bitmap: np.ndarray) -> np.ndarray:
+def _marked(h: np.ndarray, bitmap: np.ndarray) -> np.ndarray:
     at = h & _U(len(bitmap) * 64 - 1)
     return (bitmap[(at >> _U(6)).astype(np.int64)] >> (at & _U(63))) & _U(1) == 1
 
 
-def prefix(stored: np.ndarray, size: int, bitmap: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
-    """The first shingles of a set in the common order, and which of them are frequent."""
-    frequent, high = _is_frequent(stored, bitmap), stored >= _LOW_END
-    by = np.lexsort((stored, frequent & ~high, high))[:prefix_length(size, percent)]
-    return stored[by], frequent[by]
+def prefix(stored: np.ndarray, size: int, maps: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The first shingles of a set in the common order, which of them may be shared, and
+    which are frequent. High ones are not counted; any may be shared."""
+    shared, often, high = _marked(stored, maps[0]), _marked(stored, maps[1]), stored >= _LOW_END
+    by = np.lexsort((stored, (shared.astype(np.int8) + often) * ~high, high))[:prefix_length(size, percent)]
+    return stored[by], (shared | often | high)[by], often[by]
 
 
-def _leader_proposals(classes: DataFrame, agree: int) -> DataFrame:
-    """(y, x): for each class the most central one that agrees with it on enough min-hashes
-    and is the most central under one of them."""
+def _leader_proposals(classes: DataFrame) -> DataFrame:
+    """(y, x): for each class (id, mins) the most central one that agrees with it on enough
+    min-hashes and is the most central under one of them."""
     keys = classes.select("id", F.posexplode("mins").alias("k", "v"))
     held = keys.groupBy("k", "v").agg(F.count("*").alias("n")).where("n > 1")
     keys = written(keys.join(held, ["k", "v"]), "min-hashes")
@@ -167,7 +174,7 @@ def _leader_proposals(classes: DataFrame, agree: int) -> DataFrame:
     best = (keys.join(score, "id").groupBy("k", "v")
             .agg(F.max(F.struct("score", (-F.col("id")).alias("id"))).alias("top")))
     return (keys.join(best, ["k", "v"]).where(F.col("id") != -F.col("top.id"))
-            .groupBy("id", "top").agg(F.count("*").alias("n")).where(F.col("n") >= agree)
+            .groupBy("id", "top").agg(F.count("*").alias("n")).where(F.col("n") >= AGREE)
             .groupBy("id").agg((-F.max("top")["id"]).alias("x")).select(F.col("id").alias("y"), "x"))
 
 
@@ -222,30 +229,31 @@ def _overlaps(pairs: DataFrame, sets: DataFrame, percent: int, least: float | No
                                    "plus array<long>, minus array<long>")
 
 
-def _postings(members: DataFrame, bitmap, percent: int) -> DataFrame:
-    """(h, frequent, leader, members, id, size, left): a row per shingle of each prefix; left
-    counts the set's shingles from this one on, members those of its family."""
+def _postings(members: DataFrame, maps, percent: int) -> DataFrame:
+    """(h, frequent, leader, members, id, size, left): a row per shingle of each prefix that
+    another class may hold; left counts the set's shingles from this one on, members those
+    of its family."""
     def run(batches):
         for b in chunks(batches):
-            rows = [prefix(np.array(s, np.int64).view(_U), n, bitmap.value, percent)
-                    for s, n in zip(b.column("stored").to_pylist(), b.column("size").to_pylist())]
-            times = np.array([len(p) for p, _ in rows], np.int64)
-            size = np.array(b.column("size").to_pylist(), np.int64)
+            rows = []
+            for s, n in zip(b.column("stored").to_pylist(), b.column("size").to_pylist()):
+                h, shared, often = prefix(np.array(s, np.int64).view(_U), n, maps.value, percent)
+                at = np.flatnonzero(shared)
+                rows.append((h[at], often[at], n - at))
+            times = np.array([len(r[0]) for r in rows], np.int64)
             repeat = lambda c: pa.array(np.repeat(np.array(b.column(c).to_pylist(), np.int64), times))
-            at = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+            h, f, left = (np.concatenate(c) for c in zip(*rows))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate([p for p, _ in rows]).view(np.int64)),
-                 pa.array(np.concatenate([f for _, f in rows])), repeat("leader"), repeat("members"), repeat("id"),
-                 pa.array(np.repeat(size, times), pa.int64()), pa.array(np.repeat(size, times) - at, pa.int64())],
-                ["h", "frequent", "leader", "members", "id", "size", "left"])
+                [pa.array(h.view(np.int64)), pa.array(f), repeat("leader"), repeat("members"), repeat("id"), repeat("size"),
+                 pa.array(left, pa.int64())], ["h", "frequent", "leader", "members", "id", "size", "left"])
     some = members.select("leader", "members", "id", "size", "stored")
     return over_batches(some, run,
                         "h long, frequent boolean, leader long, members long, id long, size long, left long")
 
 
 class Lists:
-    """Probes the entries of a list, in blocks, with its sets; sends out (y, x): a set y and
-    the leader x of a larger family (of equal ones, the larger leader)."""
+    """Probes lists with their sets; sends out (y, x): a set y and the leader x of a larger
+    family (of equal ones, the larger leader)."""
 
     def __init__(self, percent: int):
         self.percent = percent
@@ -254,7 +262,8 @@ class Lists:
         self.compared = self.skipped = 0                # sets and blocks
 
     def probe(self, entries, leader, members, ids, size, left) -> None:
-        """entries: leader, members, least and greatest size, most left, in order of size."""
+        """A list of any length. entries, one a family: leader, members, least and greatest
+        size, most left, in order of size; compared by blocks with the sets that probe it."""
         e_leader, e_members, e_lo, e_hi, e_left = entries
         p = self.percent
         smallest = -(-p * size // 100)                  # of a set that links
@@ -275,6 +284,21 @@ class Lists:
             self.y.append(ids[some][a])
             self.x.append(e_leader[block][b])
 
+    def short(self, of, leader, members, ids, size, left) -> None:
+        """Many short lists at once, each in order of size: every set meets the d-th after it in
+        its list, for growing d, until its list ends or the sizes have grown too far apart."""
+        at, d = np.arange(len(of) - 1), 1
+        while len(at):
+            at = at[at + d < len(of)]
+            at = at[(of[at] == of[at + d]) & (100 * size[at] >= self.percent * size[at + d])]
+            b = at + d
+            good = (leader[at] != leader[b]) & (np.minimum(left[at], left[b]) >= needed(size[at], size[b], self.percent))
+            one, two = at[good], b[good]
+            first = (members[one] < members[two]) | ((members[one] == members[two]) & (leader[one] < leader[two]))
+            self.y.append(ids[np.where(first, one, two)])
+            self.x.append(leader[np.where(first, two, one)])
+            d += 1
+
     def out(self):
         y, x = (np.concatenate(v) if v else np.empty(0, np.int64) for v in (self.y, self.x))
         self.y, self.x = [], []
@@ -282,14 +306,34 @@ class Lists:
         return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0], pa.int64()), pa.array(pairs[:, 1], pa.int64())], ["y", "x"])
 
 
-def _walk(batches, percent: int):
-    """Cuts the sorted rows into lists; a list may go over several batches. Entries come
-    before the sets that probe them."""
+_FIELDS = ("leader", "members", "id", "size", "left")
+
+
+def _walk_short(batches, percent: int):
+    """Rows of short lists, sorted by (h, size). A list that goes on in the next batch waits."""
+    lists, kept = Lists(percent), None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        col = [b.column(c).to_numpy(zero_copy_only=False) for c in ("h", *_FIELDS)]
+        col = col if kept is None else [np.concatenate(c) for c in zip(kept, col)]
+        last = int(np.searchsorted(col[0], col[0][-1]))
+        kept = [c[last:] for c in col]
+        lists.short(*(c[:last] for c in col))
+        yield lists.out()
+    if kept is not None:
+        lists.short(*kept)
+    yield lists.out()
+
+
+def _walk_long(batches, percent: int):
+    """Rows of long lists, sorted by (h, cell, salt), entries before the sets that probe them;
+    a list may go over several batches."""
     lists, entries, of = Lists(percent), None, None
     for b in batches:
-        col = {c: b.column(c).to_numpy(zero_copy_only=False) for c in b.schema.names}
         if not b.num_rows:
             continue
+        col = {c: b.column(c).to_numpy(zero_copy_only=False) for c in b.schema.names}
         turn = np.zeros(b.num_rows - 1, bool)
         for c in ("h", "cell", "salt"):
             turn |= np.diff(col[c]) != 0
@@ -297,44 +341,56 @@ def _walk(batches, percent: int):
         for lo, hi in zip([0, *cuts], [*cuts, b.num_rows]):
             key = (col["h"][lo], col["cell"][lo], col["salt"][lo])
             if key != of:
-                of, entries = key, [np.empty(0, np.int64)] * 5
+                of, entries = key, None
             first = lo + int(col["entry"][lo:hi].sum())
             if first > lo:
-                entries = [np.concatenate([e, col[c][lo:first]]) for e, c in
-                           zip(entries, ("leader", "members", "size", "hi", "left"))]
-            if first < hi and len(entries[0]):
-                lists.probe(entries, *(col[c][first:hi] for c in ("leader", "members", "id", "size", "left")))
+                new = [col[c][lo:first] for c in ("leader", "members", "size", "hi", "left")]
+                entries = new if entries is None else [np.concatenate(e) for e in zip(entries, new)]
+            if first < hi and entries is not None:
+                lists.probe(entries, *(col[c][first:hi] for c in _FIELDS))
             if sum(map(len, lists.y)) > 100_000:
                 yield lists.out()
     yield lists.out()
 
 
-def candidates(members: DataFrame, bitmap, percent: int = PERCENT) -> DataFrame:
-    """(y, x): pairs of a set and the leader of another group that pass the index."""
-    spark = members.sparkSession
-    known = spark.sparkContext.broadcast(bitmap)            # BITMAP / 8 bytes
+def candidates(members: DataFrame, maps: np.ndarray, percent: int = PERCENT) -> DataFrame:
+    """(y, x): pairs of a set and the leader of another family that pass the index."""
+    known = members.sparkSession.sparkContext.broadcast(maps)            # 2 x BITMAP / 8 bytes
     posts = written(_postings(members, known, percent), "postings")
-    # the class of a size: sets that link are at most one class apart
+    short = (posts.where("not frequent").drop("frequent").repartition("h").sortWithinPartitions("h", "size"))
+    # a long list is dealt by classes of size (sets that link are at most one class apart) and
+    # by parts of the sets; a family's entry goes wherever sets may probe it
+    often = posts.where("frequent")
     cell = lambda c: F.floor(F.log(F.col(c).cast("double")) / F.lit(float(np.log(100 / percent)))).cast("int")
-    groups = posts.groupBy("h", "frequent", "leader", "members").agg(
+    entries = (often.groupBy("h", "leader", "members").agg(
         F.min("size").alias("size"), F.max("size").alias("hi"), F.max("left").alias("left"))
-    shared = (groups.groupBy("h").agg(F.min("leader").alias("a"), F.max("leader").alias("b"))
-              .where("a < b").select("h"))
-    shared = written(shared, "shared")
-    n_salts = F.when(F.col("frequent"), SALTS).otherwise(1)
-    entries = groups.join(shared, "h", "left_semi").select(
-        "h", F.lit(True).alias("entry"), "leader", "members", F.lit(0).cast("long").alias("id"), "size", "hi", "left",
-        F.when(F.col("frequent"), F.sequence(cell("size") - 1, cell("hi") + 1)).otherwise(F.array(F.lit(0))).alias("cells"),
-        F.sequence(F.lit(0), n_salts - 1).alias("salts"))
-    entries = entries.select("*", F.explode("cells").alias("cell")).select("*", F.explode("salts").alias("salt"))
-    probes = posts.join(shared, "h", "left_semi").select(
-        "h", F.lit(False).alias("entry"), "leader", "members", "id", "size", F.col("size").alias("hi"), "left",
-        F.when(F.col("frequent"), cell("size")).otherwise(0).alias("cell"),
-        F.pmod(F.xxhash64("id"), n_salts).cast("int").alias("salt"))
-    names = ["h", "cell", "salt", "entry", "leader", "members", "id", "size", "hi", "left"]
-    rows = (entries.select(*names).unionByName(probes.select(*names)).repartition("h", "cell", "salt")
+        .select("h", F.lit(True).alias("entry"), "leader", "members", F.lit(0).cast("long").alias("id"), "size", "hi", "left",
+                F.explode(F.sequence(cell("size") - 1, cell("hi") + 1)).alias("cell"))
+        .select("*", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])).alias("salt")))
+    probes = often.select("h", F.lit(False).alias("entry"), "leader", "members", "id", "size", F.col("size").alias("hi"), "left",
+                          cell("size").alias("cell"), F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int").alias("salt"))
+    long = (entries.unionByName(probes).repartition("h", "cell", "salt")
             .sortWithinPartitions("h", "cell", "salt", F.desc("entry"), "size", "left"))
-    return over_batches(rows, lambda batches: _walk(batches, percent), "y long, x long").distinct()
+    return (over_batches(short, lambda batches: _walk_short(batches, percent), "y long, x long")
+            .unionByName(over_batches(long, lambda batches: _walk_long(batches, percent), "y long, x long")).distinct())
+
+
+def _possible(pairs: DataFrame, joined: DataFrame, radius: DataFrame, percent: int) -> DataFrame:
+    """The pairs (y, x) whose similarity can reach the threshold less the radius of x's family,
+    by the exact overlap in the low range and the sizes of the rest."""
+    of = lambda c: joined.select(F.col("id").alias(c), F.col("size").alias(f"s{c}"), F.col("stored").alias(f"h{c}"))
+    rows = (pairs.join(radius.groupBy("leader").agg(F.max("radius").alias("radius")).withColumnRenamed("leader", "x"), "x", "left")
+            .join(of("y"), "y").join(of("x"), "x"))
+
+    def run(batches):
+        for b in chunks(batches):
+            keep = []
+            for sy, hy, sx, hx, r in zip(*(b.column(c).to_pylist() for c in ("sy", "hy", "sx", "hx", "radius"))):
+                ly, lx = (h[h < _LOW_END] for h in (np.array(v, np.int64).view(_U) for v in (hy, hx)))
+                most = len(np.intersect1d(ly, lx, assume_unique=True)) + min(sy - len(ly), sx - len(lx))
+                keep.append(most / (sy + sx - most) >= percent / 100 - (r or 0) - 1e-9)
+            yield pa.RecordBatch.from_arrays([b.column("y"), b.column("x")], ["y", "x"]).filter(pa.array(keep))
+    return over_batches(rows, run, "y long, x long")
 
 
 def _inside_families(family: DataFrame, percent: int) -> DataFrame:
@@ -423,83 +479,67 @@ def _derived(pairs: DataFrame, family: DataFrame, sets: DataFrame, percent: int)
     return over_batches(rows, run, "a long, b long")
 
 
-def _pairs_with_sets(docs: DataFrame, classes: DataFrame, pairs: DataFrame, n: int) -> DataFrame:
+def _sets_of_pairs(docs: DataFrame, classes: DataFrame, pairs: DataFrame, n: int) -> DataFrame:
     wanted = pairs.select(F.col("y").alias("id")).union(pairs.select("x")).distinct()
-    return written(_sets_of(docs, classes.join(wanted, "id", "left_semi"), n), "sets")
+    return _sets_of(docs, classes.join(wanted, "id", "left_semi"), n)
 
 
 def families(docs: DataFrame, classes: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
     """(id, leader, size, follows, distance, plus, minus) of followers and relatives, and the
     links (a, b) met on the way. A leader belongs to no other family."""
-    sizes = classes.select("id", "size")
-    told, links, left, tried_before = None, None, classes.select("id", "mins"), None
-    for r in range(ROUNDS + 1):
-        follow = r < ROUNDS
-        # a further round of followers looks for other leaders; relatives may have any
-        some = left.join(tried_before, "id", "left_anti") if follow and tried_before is not None else left
-        pairs = written(_leader_proposals(some, AGREE_FOLLOW if follow else AGREE_RELATIVE), "proposals")
-        if told is not None:                               # leaders stay leaders
-            pairs = pairs.join(told.select(F.col("leader").alias("y")).distinct(), "y", "left_anti")
-        leaders = pairs.select(F.col("x").alias("id")).distinct()
-        tried_before = leaders if tried_before is None else tried_before.union(leaders)
-        if not pairs.take(1):
-            continue
-        tried = _overlaps(pairs, _pairs_with_sets(docs, classes, pairs, n), percent,
-                          percent / 100 - 1e-9 if follow else HALF)
-        tried = written(tried.where("links" if follow else F.col("distance") <= 1 - HALF + 1e-9), "tried")
-        one = tried.where("links").select(F.col("y").alias("a"), F.col("x").alias("b"))
-        links = one if links is None else links.union(one)
-        own = tried.select(F.col("y").alias("x"))
-        new = (tried.join(own, "x", "left_anti").join(sizes, F.col("y") == sizes["id"])
-               .select(F.col("y").alias("id"), F.col("x").alias("leader"), "size", F.col("links").alias("follows"),
-                       "distance", "plus", "minus"))
-        told = new if told is None else told.union(new)
-        left = written(left.join(new.select("id"), "id", "left_anti"), "left")
-    spark = classes.sparkSession
-    if told is None:
-        return (spark.createDataFrame([], "id long, leader long, size long, follows boolean, distance double, "
-                                          "plus array<long>, minus array<long>"),
-                spark.createDataFrame([], "a long, b long"))
-    return written(told, "families"), written(links, "family-links")
+    pairs = written(_leader_proposals(classes.select("id", "mins")), "proposals")
+    tried = written(_overlaps(pairs, _sets_of_pairs(docs, classes, pairs, n), percent, min(HALF, percent / 100) - 1e-9)
+                    .where(F.col("links") | (F.col("distance") <= 1 - HALF + 1e-9)), "tried")
+    told = (tried.join(tried.select(F.col("y").alias("x")), "x", "left_anti")
+            .join(classes.select(F.col("id").alias("y"), "size"), "y")
+            .select(F.col("y").alias("id"), F.col("x").alias("leader"), "size", F.col("links").alias("follows"),
+                    "distance", "plus", "minus"))
+    return written(told, "families"), tried.where("links").select(F.col("y").alias("a"), F.col("x").alias("b"))
 
 
 def class_links(docs: DataFrame, classes: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """(a, b): links that connect exactly what all links between the classes connect."""
     far = F.lit(1 - percent / 100 + 1e-9)
     # smaller sets link with equal ones only
-    joined = written(classes.where(F.col("size") * (100 - percent) >= percent), "join-classes")
+    joined = classes.where(F.col("size") * (100 - percent) >= percent)
     family, links = families(docs, joined, n, percent)
     links = written(links.union(_inside_families(family, percent)), "inside")
     counts = family.groupBy("leader").agg((F.count("*") + 1).alias("members"))
-    members = (joined.select("id", "size", "stored").join(family.select("id", "leader"), "id", "left")
-               .select(F.coalesce("leader", "id").alias("leader"), "id", "size", "stored")
-               .join(counts, "leader", "left").withColumn("members", F.coalesce("members", F.lit(1).cast("long"))))
-    pairs = written(candidates(members, frequent_bitmap(joined), percent), "candidates")
-    sets = _pairs_with_sets(docs, joined, pairs, n)
+    places = (joined.select("id").join(family.select("id", "leader"), "id", "left")
+              .select(F.coalesce("leader", "id").alias("leader"), "id")
+              .join(counts, "leader", "left").withColumn("members", F.coalesce("members", F.lit(1).cast("long"))))
+    members = joined.select("id", "size", "stored").join(places, "id")
+    radius = family.groupBy("leader", "follows").agg(F.max("distance").alias("radius"))
+    pairs = written(candidates(members, bitmaps(joined.select("stored")), percent), "candidates")
+    pairs = written(_possible(pairs, joined, radius, percent), "possible")
+    sets = _sets_of_pairs(docs, joined, pairs, n)
     answers = written(_overlaps(pairs, sets, percent).drop("plus", "minus").withColumnRenamed("x", "leader"), "answers")
     links = written(links.union(answers.where("links").select("leader", "y")), "links")
     # what the leader's answers leave open
     roots = written(connected(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))), "roots")
     root = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
-    radius = family.groupBy("leader", "follows").agg(F.max("distance").alias("radius"))
     open_ = (answers.join(radius, "leader").where(F.col("distance") <= F.col("radius") + far)
              .join(root("y"), "y", "left").join(root("leader"), "leader", "left")
              .where(~F.col("follows") | (F.coalesce("y_root", "y") != F.coalesce("leader_root", "leader")))
              .select("y", "leader", "follows", "common"))
+    open_ = written(open_, "open")
+    sets = _sets_of(docs, joined.join(open_.select(F.col("y").alias("id")).distinct(), "id", "left_semi"), n)
     both = links.union(_derived(open_, family, sets, percent))
     return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
 def components(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id): one row per row of ``docs``."""
-    rows = written(document_sets(docs, n, percent), "document-sets")
-    classes = written(rows.where("size > 0").groupBy("k1", "k2").agg(
-        F.min("doc_id").alias("doc_id"), F.any_value("size").alias("size"), F.any_value("stored").alias("stored"),
-        F.any_value("mins").alias("mins")).withColumn("id", F.monotonically_increasing_id()), "classes")
+    rows = written(document_sets(docs, n, percent).withColumn("row", F.monotonically_increasing_id()), "document-sets")
+    # a class goes by the number of one of its rows, which stands for it
+    keys = written(rows.where("size > 0").groupBy("k1", "k2").agg(
+        F.min("doc_id").alias("least"), F.min("row").alias("id")), "classes")
+    classes = (rows.select(F.col("row").alias("id"), "size", "k1", "k2", "stored", "mins")
+               .join(keys.select("id", F.col("least").alias("doc_id")), "id"))
     roots = connected(class_links(docs, classes, n, percent))
-    rooted = classes.select("id", "k1", "k2", "doc_id").join(roots, classes["id"] == roots["node"], "left").select(
-        "k1", "k2", "doc_id", F.coalesce("root", "id").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    rooted = keys.join(roots, keys["id"] == roots["node"], "left").select(
+        "k1", "k2", "least", F.coalesce("root", "id").alias("root"))
+    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     of = rooted.select("k1", "k2", "root").join(least, "root").select("k1", "k2", "component_id")
     empty = rows.where("size = 0").select("doc_id", F.col("size").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return (rows.where("size > 0").select("doc_id", "size", "k1", "k2").join(of, ["k1", "k2"])

@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from basketry.llm import set_join as j
@@ -71,10 +72,9 @@ def test_equals_all_pairs(spark, percent):
 
 def test_every_shingle_frequent(spark, monkeypatch):
     """Lists dealt by size class and salt, entries in several blocks."""
-    monkeypatch.setattr(j, "AGREE_FOLLOW", 9)
-    monkeypatch.setattr(j, "AGREE_RELATIVE", 9)                          # no families: the index does all
-    bitmap = j.frequent_bitmap
-    monkeypatch.setattr(j, "frequent_bitmap", lambda classes: bitmap(classes, 1))
+    monkeypatch.setattr(j, "AGREE", 9)                                   # no families: the index does all
+    maps = j.bitmaps
+    monkeypatch.setattr(j, "bitmaps", lambda stored: maps(stored, (1, 1)))
     rows = list(enumerate(family(5, 90, 6) + family(6, 20, 4, 40)))
     assert got(j.components(documents(spark, rows))) == plain(rows)
 
@@ -110,8 +110,8 @@ def test_families_alone_find_their_links(spark):
 
 def test_prefixes_of_linked_sets_meet():
     r = random.Random(2)
-    bitmap = np.zeros(1 << 10, np.uint64)
-    bitmap[::2] = ~np.uint64(0)                                          # half of all shingles count as frequent
+    maps = np.zeros((2, 1 << 10), np.uint64)
+    maps[0, ::2] = maps[1, ::3] = ~np.uint64(0)                          # a half count as shared, a third as frequent
     for _ in range(300):
         n = r.randrange(6, 120)
         a = np.unique(np.array([r.getrandbits(64) for _ in range(n)], np.uint64))
@@ -119,7 +119,7 @@ def test_prefixes_of_linked_sets_meet():
         common = len(np.intersect1d(a, b))
         if 100 * common >= 85 * (len(a) + len(b) - common):
             assert common >= j.needed(len(a), len(b))
-            pa, pb = (j.prefix(j._stored(x, 85), len(x), bitmap)[0] for x in (a, b))
+            pa, pb = (j.prefix(j._stored(x, 85), len(x), maps)[0] for x in (a, b))
             assert len(pa) == j.prefix_length(len(a)) and len(np.intersect1d(pa, pb))
         else:
             assert common < j.needed(len(a), len(b))
@@ -141,6 +141,29 @@ def test_blocks_skip_and_lose_nothing():
     assert lists.skipped > lists.compared
 
 
+def test_short_lists_equal_all_pairs_in_each():
+    r = np.random.RandomState(4)
+    n = 600
+    of = np.sort(r.randint(0, 90, n))
+    size = r.randint(10, 120, n)
+    by = np.lexsort((size, of))
+    size, left = size[by], np.maximum(1, size[by] - r.randint(0, 12, n))
+    leader, members, ids = r.randint(0, 200, n), r.randint(1, 3, n), np.arange(n)
+    batches = []
+    for at in range(0, n, 37):                                           # lists go over batches
+        cut = slice(at, at + 37)
+        batches.append(pa.RecordBatch.from_arrays([pa.array(c[cut].astype(np.int64)) for c in (of, leader, members, ids, size, left)],
+                                                  ["h", *j._FIELDS]))
+    got = {(y, x) for b in j._walk_short(iter(batches), 85) for y, x in zip(b.column("y").to_pylist(), b.column("x").to_pylist())}
+    want = set()
+    for a in range(n):
+        for b in range(n):
+            if (of[a] == of[b] and (members[a], leader[a]) < (members[b], leader[b]) and leader[a] != leader[b]
+                    and 100 * min(size[a], size[b]) >= 85 * max(size[a], size[b]) and min(left[a], left[b]) >= j.needed(size[a], size[b])):
+                want.add((a, leader[b]))
+    assert got == want and len(want) > 50
+
+
 def test_empty(spark):
     assert got(j.components(documents(spark, []))) == []
     assert got(j.components(documents(spark, [(1, None), (2, "  "), (None, "")]))) == [(1, 0, 1), (2, 0, 2), (None, 0, None)]
