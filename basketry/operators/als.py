@@ -6,22 +6,23 @@ The reference's library uses the stored value itself as confidence; MLlib uses
 with the number of ratings per user, so factors never match the reference's;
 results are checked by invariants and ranking metrics.
 
-Top-N with purchases removed stays exact and asks for no more than is needed: every
-user's top N + a margin is fetched, the purchased products are removed, and only the
-users who are still short are asked again with four times the length. A user with a
-long history costs longer lists for that user alone, and only if the purchased products
-do rank first.
+Top-N with purchases removed is exact and does not score every product: products are
+visited in blocks of falling norm, a user stops when no further block can reach the N-th
+score, and purchased products are skipped inside the blocks (``mips``).
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.ml.recommendation import ALS, ALSModel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from basketry.operators import encode as enc
+from basketry.operators import mips
 from basketry.session import checkpoint_dir, cut_lineage
 
 # The reference's ALS settings.
@@ -59,60 +60,100 @@ def fit(interactions: DataFrame, factors: int = FACTORS, reg: float = REGULARIZA
     return ALSRecommender(als.fit(ratings), users, products)
 
 
-MARGIN = 16
-_RECS = "user_id {}, rank int, product_id {}, als_score double"
+def normal_residuals(rec: ALSRecommender, interactions: DataFrame, reg: float = REGULARIZATION,
+                     score_col: str = "interaction_score") -> DataFrame:
+    """(user_code, n_items, residual): how far each user's factors x are from solving the
+    user's normal equations given the product factors y and confidences c,
+
+        (sum_all y y' + sum_bought (c - 1) y y' + reg n I) x = sum_bought c y,
+
+    as |left - right| / |right|. The sums over the purchases are aggregates per user and
+    factor; the sum over all products is one small matrix."""
+    rank = rec.model.rank
+    dot = F.aggregate(F.zip_with("x", "y", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda a, b: a + b)
+    users = rec.model.userFactors.select(F.col("id").alias("user_code"), F.col("features").alias("x"))
+    items = cut_lineage(rec.model.itemFactors.select(F.col("id").alias("product_code"), F.col("features").alias("y")))
+    rows = (interactions.join(rec.users, "user_id").join(rec.products, "product_id")
+            .join(users, "user_code").join(items, "product_code")
+            .select("user_code", "x", "y", F.col(score_col).cast("double").alias("c")).withColumn("d", dot))
+    each = rows.select("user_code", "c", "d", F.posexplode("y").alias("at", "v")).groupBy("user_code", "at").agg(
+        F.sum(((F.col("c") - 1) * F.col("d") - F.col("c")) * F.col("v")).alias("less"),
+        F.sum(F.col("c") * F.col("v")).alias("right"), F.count(F.lit(1)).alias("n"))
+    per = each.groupBy("user_code").agg(F.array_sort(F.collect_list(F.struct("at", "less", "right"))).alias("e"),
+                                        F.max("n").alias("n_items"))
+    gram = (items.select(F.posexplode("y").alias("i", "a"), "y").select("i", "a", F.posexplode("y").alias("j", "b"))
+            .groupBy("i", "j").agg(F.sum(F.col("a").cast("double") * F.col("b").cast("double")).alias("g")).collect())
+    yy = np.zeros((rank, rank))
+    for r in gram:
+        yy[r.i, r.j] = r.g
+
+    def run(batches):
+        for b in batches:
+            x = np.stack(b["x"].to_numpy()).astype(np.float64) if len(b) else np.zeros((0, rank))
+            less, right = (np.array([[e[k] for e in es] for es in b["e"]]).reshape(-1, rank) for k in ("less", "right"))
+            left = x @ yy + less + reg * b["n_items"].to_numpy()[:, None] * x
+            yield pd.DataFrame({"user_code": b["user_code"], "n_items": b["n_items"],
+                                "residual": np.linalg.norm(left, axis=1) / np.linalg.norm(right, axis=1)})
+    return per.join(users, "user_code").mapInPandas(run, "user_code int, n_items long, residual double")
+
+
+REFERENCE_SWEEPS = 3
+
+
+def reference_fit(interactions: DataFrame, sweeps: int = REFERENCE_SWEEPS, reg: float = REGULARIZATION,
+                  score_col: str = "interaction_score") -> tuple[DataFrame, DataFrame]:
+    """Users (user_id, f0, f1) and products (product_id, f0, f1) of implicit ALS with two
+    factors: MLlib's objective, starting factors by arithmetic on the product id, every
+    half sweep one aggregation of the exact normal equations (two unknowns, solved in
+    place). Slow to converge and only two factors wide: a yardstick, not a model."""
+    rows = cut_lineage(interactions.select("user_id", "product_id", F.col(score_col).cast("double").alias("c")))
+    start = lambda f: (F.pmod(F.col("product_id") * f, F.lit(1000)) + 1) / F.lit(1000.0)
+    items = rows.select("product_id").distinct().select("product_id", start(7919).alias("f0"), start(104729).alias("f1"))
+    f0, f1, more = F.col("f0"), F.col("f1"), F.col("c") - 1
+    users = None
+
+    def half(given: DataFrame, other: str, own: str) -> DataFrame:
+        given = cut_lineage(given)
+        g = given.agg(F.sum(f0 * f0).alias("s00"), F.sum(f0 * f1).alias("s01"), F.sum(f1 * f1).alias("s11")).first()
+        n = F.count(F.lit(1))
+        sums = rows.join(given, other).groupBy(own).agg(
+            (F.sum(more * f0 * f0) + n * reg + F.lit(g.s00)).alias("a00"), (F.sum(more * f0 * f1) + F.lit(g.s01)).alias("a01"),
+            (F.sum(more * f1 * f1) + n * reg + F.lit(g.s11)).alias("a11"),
+            F.sum(F.col("c") * f0).alias("b0"), F.sum(F.col("c") * f1).alias("b1"))
+        det = F.col("a00") * F.col("a11") - F.col("a01") * F.col("a01")
+        return sums.select(own, ((F.col("b0") * F.col("a11") - F.col("b1") * F.col("a01")) / det).alias("f0"),
+                           ((F.col("b1") * F.col("a00") - F.col("b0") * F.col("a01")) / det).alias("f1"))
+    for _ in range(sweeps):
+        users = cut_lineage(half(items, "product_id", "user_id"))
+        items = cut_lineage(half(users, "user_id", "product_id"))
+    return users, items
 
 
-def _fetched(rec: ALSRecommender, users: DataFrame, history: DataFrame, k: int,
-             longest: int) -> DataFrame:
-    """(user_id, rank, product_id, als_score): each user's first ``longest`` unpurchased
-    products among the best ``k``."""
-    flat = (rec.model.recommendForUserSubset(users.select("user_code"), k)
-            .select("user_code", F.explode("recommendations").alias("r"))
-            .select("user_code", F.col("r.product_code").alias("product_code"),
-                    F.col("r.rating").cast("double").alias("als_score"))
-            .join(rec.products, "product_code").join(users, "user_code")
-            .join(history.select("user_id", "product_id"), ["user_id", "product_id"],
-                  "left_anti"))                                           # J12
-    # a literal bound lets Spark cut every user's group before the shuffle
-    w = Window.partitionBy("user_id").orderBy(F.col("als_score").desc(), "product_id")
-    return (flat.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= F.lit(longest))
-            .select("user_id", "rank", "product_id", "als_score"))
+_RECS = "user_id {}, rank int, product_id {}, als_score double"
 
 
 def recommend(rec: ALSRecommender, requests: DataFrame, history: DataFrame,
-              over_fetch: int = 2) -> DataFrame:
+              over_fetch: int = 2, report: dict | None = None) -> DataFrame:
     """M4 + J12: ([request_id], user_id, n) requests of known users -> (keys, rank,
     product_id, als_score), rank <= over_fetch * n, purchased products removed. A user is
-    scored once, however many requests name them."""
+    scored once, however many requests name them. ``report`` gets the scored pairs."""
     keys = [c for c in ("request_id", "user_id") if c in requests.columns]
-    wanted = (requests.groupBy("user_id").agg((F.max("n") * over_fetch).alias("_want"))
-              .join(rec.users, "user_id", "inner").where(F.col("_want") > 0))
-    users = cut_lineage(wanted)
-    n_products = rec.products.count()
-    longest = users.agg(F.max("_want")).first()[0]
-    parts: list[DataFrame] = []
-    if longest is not None:
-        k = min(n_products, longest + MARGIN)
-        while True:
-            got = cut_lineage(_fetched(rec, users, history, k, longest))
-            if k >= n_products:
-                parts.append(got)
-                break
-            have = got.groupBy("user_id").agg(F.count(F.lit(1)).alias("_have"))
-            short = cut_lineage(users.join(have, "user_id", "left")
-                                .where(F.coalesce("_have", F.lit(0)) < F.col("_want")).drop("_have"))
-            parts.append(got.join(short.select("user_id"), "user_id", "left_anti"))
-            if short.isEmpty():
-                break
-            users, k = short, min(n_products, 4 * k)
-    if not parts:
+    wanted = cut_lineage(requests.groupBy("user_id").agg((F.max("n") * over_fetch).alias("want"))
+                         .join(rec.users, "user_id", "inner").where(F.col("want") > 0))
+    if wanted.isEmpty():
         kind = lambda df, c: df.schema[c].dataType.simpleString()
-        parts = [requests.sparkSession.createDataFrame([], _RECS.format(
-            kind(rec.users, "user_id"), kind(rec.products, "product_id")))]
-    recs = parts[0]
-    for p in parts[1:]:
-        recs = recs.unionByName(p)
+        recs = requests.sparkSession.createDataFrame([], _RECS.format(
+            kind(rec.users, "user_id"), kind(rec.products, "product_id")))
+    else:
+        factors = rec.model.userFactors.withColumnRenamed("id", "user_code")
+        bought = (history.select("user_id", "product_id").join(rec.users, "user_id").join(rec.products, "product_id")
+                  .select("user_code", "product_code"))
+        top = mips.top_products(wanted.join(factors, "user_code").select("user_code", "features", "want"),
+                                rec.model.itemFactors, bought, report=report)
+        w = Window.partitionBy("user_id").orderBy(F.col("als_score").desc(), "product_id")
+        recs = cut_lineage(top.join(wanted.select("user_code", "user_id"), "user_code").join(rec.products, "product_code")
+                           .withColumnRenamed("score", "als_score").withColumn("rank", F.row_number().over(w))
+                           .select("user_id", "rank", "product_id", "als_score"))
     return (recs.join(requests.select(*keys, "n"), "user_id")
             .where(F.col("rank") <= F.col("n") * over_fetch)
             .select(*keys, "rank", "product_id", "als_score"))

@@ -1,19 +1,22 @@
 """Data profiling (Q1-Q4) and display sorts.
 
-All in one pass per table where possible; exact quartiles come from a
-distributed sort (range partitioning + per-partition offsets), never from an
-aggregate that holds a whole column in one task.
+All in one pass per table where possible; exact quartiles come from counts in value
+ranges that narrow around the wanted positions, duplicates from row fingerprints: neither
+sorts or shuffles a table's rows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from basketry.operators import encode
 from basketry.session import cut_lineage
 
 QUANTILES = (0.25, 0.5, 0.75)
+BINS = 4096
 
 
 def shape(name: str, df: DataFrame) -> DataFrame:
@@ -32,11 +35,24 @@ def shapes(tables) -> DataFrame:
     return out
 
 
+def _fingerprint(cols) -> list[Column]:
+    """128 bits of the given columns; a null has its own place, so that it cannot trade
+    places with a value."""
+    parts = [x for c in cols for x in (F.col(f"`{c}`").isNull(), F.col(f"`{c}`"))]
+    return [F.xxhash64(F.lit(seed), *parts) for seed in ("one", "two")]
+
+
 def duplicates(name: str, df: DataFrame, cols=None) -> DataFrame:
-    """Q2: rows beyond the first of each key (full row when ``cols`` is None);
-    nulls compare equal, as in pandas."""
+    """Q2: rows beyond the first of each key (full row when ``cols`` is None); nulls compare
+    equal, as in pandas. Fingerprints of 16 bytes a row are counted, map-side first; only
+    rows whose fingerprint occurs twice or more are compared whole, so the answer does not
+    rest on the fingerprints. ``df`` is read twice: pass a written table."""
     key = list(cols) if cols else df.columns
-    g = df.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"))
+    one, two = _fingerprint(key)
+    rows = df.select(*[F.col(f"`{c}`") for c in key], one.alias("_f1"), two.alias("_f2"))
+    often = rows.groupBy("_f1", "_f2").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1).drop("_n")
+    g = (rows.join(often, ["_f1", "_f2"], "left_semi").groupBy(*[F.col(f"`{c}`") for c in key])
+         .agg(F.count(F.lit(1)).alias("_n")))
     return g.agg(F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).alias("duplicates")).select(
         F.lit(name).alias("check_name"), F.col("duplicates").cast("long"))
 
@@ -48,49 +64,78 @@ def null_counts(df: DataFrame) -> DataFrame:
     return agg.selectExpr(f"stack({len(df.columns)}, {pairs}) AS (column_name, nulls)")
 
 
-def _quantiles(data: DataFrame, col: str, n: int, qs=QUANTILES) -> DataFrame:
-    """Exact linear-interpolation quantiles of a column with ``n`` non-null values:
-    one distributed sort, then one pass that picks the needed positions."""
-    # the row id only breaks ties: a column with few distinct values still
-    # spreads evenly over the range partitions
-    vals = (data.select(F.col(col).cast("double").alias("v")).where(F.col("v").isNotNull())
-            .withColumn("_t", F.monotonically_increasing_id()))
-    idx = encode.global_index(vals, [F.col("v"), F.col("_t")], "_i")
-    spots, exprs = set(), []
-    for q in qs:
-        pos = q * (n - 1)
-        lo, hi = int(pos // 1), int(-(-pos // 1))
-        spots |= {lo + 1, hi + 1}
-        lo_v = F.max(F.when(F.col("_i") == lo + 1, F.col("v")))
-        hi_v = F.max(F.when(F.col("_i") == hi + 1, F.col("v")))
-        exprs.append((lo_v + (hi_v - lo_v) * F.lit(pos - lo)).alias(f"p{int(q * 100)}"))
-    return idx.where(F.col("_i").isin(sorted(spots))).agg(*exprs)
+def _bin(lo: float, hi: float, v: Column) -> Column:
+    """Number of v's range among ``BINS`` equal ones of [lo, hi], never falling as v grows.
+    Infinite values and NaN (the largest) have ranges of their own."""
+    inf = float("inf")
+    # both ends are halved first: the difference of two large doubles may be infinite
+    width = hi / 2 - lo / 2
+    inside = F.floor((v / 2 - F.lit(lo / 2)) / F.lit(width or 1.0) * BINS) + 1
+    return (F.when(F.isnan(v), BINS + 3).when(v == inf, BINS + 2).when(v == -inf, 0)
+            .otherwise(F.greatest(F.lit(1), F.least(inside, F.lit(BINS + 1)))).cast("long"))
+
+
+def order_statistics(df: DataFrame, wanted: dict[str, list[int]], report: list | None = None) -> dict[tuple[str, int], float]:
+    """Exact value at each wanted position (0 is the least non-null value) of each column.
+
+    Each pass counts the values of all open ranges in ``BINS`` bins and takes each bin's
+    least and greatest value, map-side; a position then lies in one bin, whose own least
+    and greatest value are the next range, until both are equal. The driver sees
+    at most ``BINS`` + 4 rows a range; a pass narrows a range by a factor of ``BINS``.
+    ``report`` gets the number of ranges of each pass."""
+    inf = float("inf")
+    finite = lambda x: x is not None and math.isfinite(x)
+    first = df.agg(*[f(F.when(F.abs(F.col(f"`{c}`").cast("double")) < inf, F.col(f"`{c}`").cast("double"))).alias(f"{k}{i}")
+                     for i, c in enumerate(wanted) for k, f in (("lo", F.min), ("hi", F.max))]).first()
+    found: dict[tuple[str, int], float] = {}
+    # (column, least value, greatest value, None for all) -> (values before it, positions)
+    open_ = {(c, first[f"lo{i}"] or 0.0, first[f"hi{i}"] or 0.0, True): (0, sorted(set(p)))
+             for i, (c, p) in enumerate(wanted.items()) if p}
+    while open_:
+        ranges = list(open_)
+        if report is not None:
+            report.append(len(ranges))
+        hits = []
+        for i, (c, lo, hi, whole) in enumerate(ranges):
+            v = F.col(f"`{c}`").cast("double")
+            there = v.isNotNull() if whole else (v >= lo) & (v <= hi)
+            hits.append(F.when(there, F.struct(F.lit(i).alias("i"), _bin(lo, hi, v).alias("b"), v.alias("v"))))
+        rows = (df.select(F.explode(F.filter(F.array(*hits), lambda x: x.isNotNull())).alias("x"))
+                .groupBy("x.i", "x.b").agg(F.count(F.lit(1)).alias("n"), F.min("x.v").alias("lo"), F.max("x.v").alias("hi"))
+                .orderBy("i", "b").collect())
+        narrower: dict = {}
+        before = {i: open_[r][0] for i, r in enumerate(ranges)}
+        for r in rows:
+            c = ranges[r.i][0]
+            at = before[r.i]
+            inside = [p for p in open_[ranges[r.i]][1] if at <= p < at + r.n]
+            before[r.i] = at + r.n
+            if inside and (r.lo == r.hi or not finite(r.lo)):
+                found |= {(c, p): r.lo for p in inside}
+            elif inside:
+                narrower[c, r.lo, r.hi, False] = (at, inside)
+        open_ = narrower
+    return found
 
 
 def describe(df: DataFrame, cols) -> DataFrame:
     """Q4: (column_name, count, mean, std, min, p25, p50, p75, max) per column;
-    std is the sample deviation."""
-    data = cut_lineage(df.select(*cols))   # read once by every column's sort
+    std is the sample deviation, quartiles are interpolated linearly between exact values."""
+    data = cut_lineage(df.select(*cols))   # read once by every pass
     stats = data.agg(*[e for c in cols for e in (
         F.count(c).alias(f"{c}__count"), F.avg(c).alias(f"{c}__mean"),
         F.stddev_samp(c).alias(f"{c}__std"), F.min(c).cast("double").alias(f"{c}__min"),
         F.max(c).cast("double").alias(f"{c}__max"))]).collect()[0]
-    rows = None
+    places = {c: [q * (stats[f"{c}__count"] - 1) for q in QUANTILES] if stats[f"{c}__count"] else [] for c in cols}
+    value = order_statistics(data, {c: [f(p) for p in ps for f in (math.floor, math.ceil)] for c, ps in places.items()})
+    rows = []
     for c in cols:
-        n = stats[f"{c}__count"]
-        if n:
-            q = _quantiles(data, c, n)
-        else:
-            q = data.sparkSession.createDataFrame([(None, None, None)],
-                                                  "p25 double, p50 double, p75 double")
-        one = q.select(F.lit(c).alias("column_name"), F.lit(n).cast("long").alias("count"),
-                       F.lit(stats[f"{c}__mean"]).cast("double").alias("mean"),
-                       F.lit(stats[f"{c}__std"]).cast("double").alias("std"),
-                       F.lit(stats[f"{c}__min"]).cast("double").alias("min"),
-                       "p25", "p50", "p75",
-                       F.lit(stats[f"{c}__max"]).cast("double").alias("max"))
-        rows = one if rows is None else rows.unionByName(one)
-    return rows
+        qs = [value[c, math.floor(p)] + (value[c, math.ceil(p)] - value[c, math.floor(p)]) * (p - math.floor(p))
+              if p != math.floor(p) else value[c, math.floor(p)] for p in places[c]] or [None] * len(QUANTILES)
+        rows.append((c, stats[f"{c}__count"], stats[f"{c}__mean"], stats[f"{c}__std"], stats[f"{c}__min"], *qs, stats[f"{c}__max"]))
+    rows = [(r[0], r[1], *(None if x is None else float(x) for x in r[2:])) for r in rows]
+    return df.sparkSession.createDataFrame(
+        rows, "column_name string, count long, mean double, std double, min double, p25 double, p50 double, p75 double, max double")
 
 
 def category_counts_sorted(master: DataFrame) -> DataFrame:

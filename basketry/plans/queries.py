@@ -332,13 +332,54 @@ def als_of(master, **kw):
     return als.fit(feat.interactions(master), **kw)
 
 
+def _reference_als_sql(sweeps: int = als.REFERENCE_SWEEPS, reg: float = als.REGULARIZATION) -> str:
+    """The DuckDB twin of ``als.reference_fit``."""
+    ctes = [""",
+ref_i0 AS (SELECT DISTINCT product_id AS id, (product_id * 7919 % 1000 + 1) / CAST(1000 AS DOUBLE) AS f0,
+                  (product_id * 104729 % 1000 + 1) / CAST(1000 AS DOUBLE) AS f1 FROM interactions)"""]
+
+    def half(out: str, given: str, own: str, other: str) -> str:
+        return f"""{out} AS (
+  SELECT id, (b0 * a11 - b1 * a01) / (a00 * a11 - a01 * a01) AS f0, (b1 * a00 - b0 * a01) / (a00 * a11 - a01 * a01) AS f1 FROM (
+    SELECT r.{own} AS id,
+           g.s00 + SUM((r.interaction_score - 1) * y.f0 * y.f0) + {reg} * COUNT(*) AS a00,
+           g.s01 + SUM((r.interaction_score - 1) * y.f0 * y.f1) AS a01,
+           g.s11 + SUM((r.interaction_score - 1) * y.f1 * y.f1) + {reg} * COUNT(*) AS a11,
+           SUM(r.interaction_score * y.f0) AS b0, SUM(r.interaction_score * y.f1) AS b1
+    FROM interactions r JOIN {given} y ON y.id = r.{other}
+    CROSS JOIN (SELECT SUM(f0 * f0) AS s00, SUM(f0 * f1) AS s01, SUM(f1 * f1) AS s11 FROM {given}) g
+    GROUP BY r.{own}, g.s00, g.s01, g.s11))"""
+    for n in range(sweeps):
+        ctes.append(half(f"ref_u{n + 1}", f"ref_i{n}", "user_id", "product_id"))
+        ctes.append(half(f"ref_i{n + 1}", f"ref_u{n + 1}", "product_id", "user_id"))
+    ctes.append(f"ref_users AS (SELECT 'user' AS side, id, f0, f1 FROM ref_u{sweeps})")
+    ctes.append(f"ref_items AS (SELECT 'item' AS side, id, f0, f1 FROM ref_i{sweeps})")
+    return ",\n".join(ctes) + "\n"
+
+
+REFERENCE_ALS = _reference_als_sql()
+
+
 @query("m3_als_fit", ids="M3 M1",
        sql=with_(MASTER) + """SELECT CAST(DENSE_RANK() OVER (ORDER BY CAST(user_id AS VARCHAR)) - 1 AS INTEGER) AS user_code,
-  100 AS factors FROM (SELECT DISTINCT user_id FROM master)""")
+  n_items, 100 AS factors, TRUE AS solves
+  FROM (SELECT user_id, COUNT(DISTINCT product_id) AS n_items FROM master GROUP BY user_id)""")
 def m3_als_fit(spark, sf_dir):
-    rec = als_of(stored_master(spark, sf_dir))
-    return rec.model.userFactors.select(F.col("id").alias("user_code"),
-                                        F.size("features").alias("factors"))
+    """Each user's factors solve the user's normal equations given the product factors."""
+    inter = cut_lineage(feat.interactions(stored_master(spark, sf_dir)))
+    rec = als.fit(inter)
+    return als.normal_residuals(rec, inter).select(
+        "user_code", "n_items", F.lit(rec.model.rank).alias("factors"), (F.col("residual") < 1e-3).alias("solves"))
+
+
+@query("m3_reference_als", ids="M3", round_cols=["f0", "f1"],
+       sql=with_(MASTER, SCORED) + REFERENCE_ALS + "SELECT * FROM ref_users UNION ALL SELECT * FROM ref_items")
+def m3_reference_als(spark, sf_dir):
+    """Implicit ALS of two factors by exact normal equations as aggregates, three sweeps from
+    fixed starting factors: the same objective as MLlib's, comparable in SQL."""
+    users, items = als.reference_fit(feat.interactions(stored_master(spark, sf_dir)))
+    return (users.select(F.lit("user").alias("side"), F.col("user_id").alias("id"), "f0", "f1")
+            .unionByName(items.select(F.lit("item").alias("side"), F.col("product_id").alias("id"), "f0", "f1")))
 
 
 @query("m4_als_top20", ids="M4 J12")
@@ -490,13 +531,15 @@ def h3_h6_hybrid_item_content(spark, sf_dir):
 
 
 def given_als(spark, sf_dir, inter):
-    """Scores in the place of ALS that SQL can repeat: of the products whose number has the
-    user's remainder modulo 7, those unpurchased, by a hash of user and product."""
+    """Scores in the place of ALS that SQL can repeat: of up to 60 products of each user, picked
+    by arithmetic on the user's number, those unpurchased, by a hash of user and product."""
     t = driver_tables(spark, sf_dir)
-    users = t.customers.select(F.col("customer_unique_id").alias("user_id"), F.pmod("customer_unique_id", F.lit(7)).alias("_m"))
-    parts = t.products.select("product_id", F.pmod("product_id", F.lit(7)).alias("_m"))
+    numbered = cut_lineage(encode.global_index(t.products.select("product_id"), [F.col("product_id")], "place"))
+    users = t.customers.select(F.col("customer_unique_id").alias("user_id")).distinct()
+    picks = users.select("user_id", F.explode(F.sequence(F.lit(0), F.lit(59))).alias("_j")).select(
+        "user_id", (F.pmod(F.col("user_id") * 31 + F.col("_j") * 97, F.lit(numbered.count())) + 1).alias("place")).distinct()
     score = (F.pmod(F.col("user_id") * 31 + F.col("product_id") * 17, F.lit(1009)) + 1) / 1010.0
-    recs = (users.join(parts, "_m").drop("_m")
+    recs = (picks.join(numbered, "place").drop("place")
             .join(inter.select("user_id", "product_id"), ["user_id", "product_id"], "left_anti")
             .withColumn("als_score", score))
     w = Window.partitionBy("user_id").orderBy(F.col("als_score").desc(), "product_id")
@@ -593,7 +636,7 @@ FROM (SELECT COUNT(*) AS n FROM (
            review_score, payment_value)""".replace("ALL_COLS", ", ".join(PROTO_JOIN_COLS)))
 def q2_duplicates(spark, sf_dir):
     t = driver_tables(spark, sf_dir)
-    joined = clean.prototype_joined(t, DELIVERED_STATUS)
+    joined = cut_lineage(clean.prototype_joined(t, DELIVERED_STATUS))
     filled = joined.withColumns({
         "review_score": F.coalesce(F.col("review_score"), F.lit(clean.REVIEW_FILL)),
         "category": F.coalesce(F.col("category"), F.lit(clean.PROTOTYPE_MISSING_CATEGORY))})
@@ -917,37 +960,57 @@ def s2_aux_tables(spark, sf_dir):
     return out[0].unionByName(out[1])
 
 
-TABLE_ROWS = """
-psig AS (SELECT product_id, string_agg(token || ':' || tf, ' ' ORDER BY token) AS sig FROM tf GROUP BY product_id),
-ssim AS (SELECT DISTINCT x.sig, y.sig AS other FROM tf a JOIN tf b ON a.token = b.token
-         JOIN psig x ON x.product_id = a.product_id JOIN psig y ON y.product_id = b.product_id),
-slist AS (SELECT s.sig, LEAST(51, COUNT(*)) AS c FROM ssim s JOIN psig p ON p.sig = s.other GROUP BY s.sig),
-saved AS (
-  SELECT 'popularity_global' AS table_name, COUNT(*) AS rows FROM g_scores
-  UNION ALL SELECT 'popularity_state', COUNT(*) FROM s_scores
-  UNION ALL SELECT 'popularity_lists', COUNT(*) FROM lists WHERE pos <= 50
-  UNION ALL SELECT 'content_product_sig', COUNT(*) FROM psig
-  UNION ALL SELECT 'content_sig_sims', COUNT(*) FROM ssim
-  UNION ALL SELECT 'content_sig_lists', CAST(SUM(c) AS BIGINT) FROM slist
-  UNION ALL SELECT 'user_profiles', COUNT(*) FROM user_prof
-  UNION ALL SELECT 'product_profiles', COUNT(*) FROM prod_prof
-  UNION ALL SELECT 'user_history', COUNT(*) FROM interactions)
+TABLES = """
+psig AS (SELECT product_id, string_agg(token || ':' || tf, ' ' ORDER BY token || ':' || tf) AS sig FROM tf GROUP BY product_id),
+reps AS (SELECT sig, MIN(product_id) AS product_id, COUNT(*) AS members FROM psig GROUP BY sig),
+svec AS (SELECT r.sig, r.members, t.token, t.weight FROM reps r JOIN tfidf t USING (product_id)),
+ssim AS (SELECT x.sig, y.sig AS other_sig, y.members, round(SUM(x.weight * y.weight), 9) AS similarity
+         FROM svec x JOIN svec y ON x.token = y.token GROUP BY x.sig, y.sig, y.members),
+sreach AS (SELECT sig, other_sig, members, similarity FROM (
+  SELECT *, SUM(members) OVER (PARTITION BY sig ORDER BY similarity DESC RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+    - SUM(members) OVER (PARTITION BY sig, similarity) AS above FROM ssim) WHERE above <= 50),
+slist AS (SELECT * FROM (SELECT s.sig, ROW_NUMBER() OVER (PARTITION BY s.sig ORDER BY similarity DESC, product_id) AS rank,
+  product_id, similarity FROM ssim s JOIN psig p ON p.sig = s.other_sig) WHERE rank <= 51)
 """
 
 
+def _digest_sql(name: str, table: str, cols: str, doubles: str = "", where: str = "") -> str:
+    """The DuckDB twin of ``store.digests`` for one table."""
+    text = ", ".join(f"COALESCE(CAST({f'CAST(floor({c} * CAST({10 ** store.PLACES} AS DOUBLE) + 0.5) AS BIGINT)' if c in doubles.split() else c} AS VARCHAR), '~')"
+                     for c in sorted((cols + " " + doubles).split()))
+    number = f"CAST('0x' || substr(md5(concat_ws('|', {text})), 1, 15) AS BIGINT)"
+    return (f"SELECT '{name}' AS table_name, COUNT(*) AS rows, CAST(COALESCE(SUM({number}), 0) AS VARCHAR) AS digest "
+            f"FROM {table} {where}")
+
+
+SAVED = " UNION ALL ".join([
+    _digest_sql("popularity_global", "g_scores", "product_id score"),
+    _digest_sql("popularity_state", "s_scores", "state product_id score"),
+    _digest_sql("popularity_lists", f"(SELECT CASE list_key WHEN '{GLOBAL_KEY}' THEN chr(0) || 'global' ELSE list_key END AS list_key, "
+                "product_id, pos FROM lists)", "list_key product_id pos", where="WHERE pos <= 50"),
+    _digest_sql("content_product_sig", "psig", "product_id sig"),
+    _digest_sql("content_sig_vectors", "svec", "sig members token", "weight"),
+    _digest_sql("content_sig_sims", "sreach", "sig other_sig members", "similarity"),
+    _digest_sql("content_sig_lists", "slist", "sig rank product_id", "similarity"),
+    _digest_sql("user_profiles", "user_prof", "user_id total_purchases favorite_category active_days", "avg_order_value"),
+    _digest_sql("product_profiles", "prod_prof", "product_id total_purchases category", "avg_price avg_review_score"),
+    _digest_sql("user_history", "(SELECT DISTINCT user_id, product_id FROM interactions)", "user_id product_id")])
+ENCODED = " UNION ALL ".join(
+    _digest_sql(f"{n}_encoder", f"(SELECT {n}_id, DENSE_RANK() OVER (ORDER BY CAST({n}_id AS VARCHAR)) - 1 AS {n}_code "
+                                f"FROM (SELECT DISTINCT {n}_id FROM interactions))", f"{n}_id {n}_code")
+    for n in ("user", "product"))
+
+
 @query("s4_loaded_tables", ids="S3 S4",
-       sql=with_(MASTER, SCORED, POPULARITY, PROFILES, REQUESTS, POP_LISTS, SRC_CONTENT, TABLE_ROWS)
-       + "SELECT * FROM saved")
+       sql=with_(MASTER, SCORED, POPULARITY, PROFILES, REQUESTS, POP_LISTS, SRC_CONTENT, TABLES) + SAVED)
 def s4_loaded_tables(spark, sf_dir):
-    """Every table of a store that was saved twice and loaded: names and rows."""
+    """Every table of a store that was saved twice and loaded: name, rows, digest of the content."""
     folder = _scratch(spark, "store")
     models = train_plan.fit_models(driver_tables(spark, sf_dir), delivered=DELIVERED_STATUS,
                                    price_thresholds=PRICE_BUCKET_THRESHOLDS, with_als=False)
     store.save(models, folder)
     store.save(models, folder)
-    out = [df.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(n).alias("table_name"), "rows")
-           for n, df in store.load(spark, folder).tables().items()]
-    return functools.reduce(DataFrame.unionByName, out)
+    return store.digests(store.load(spark, folder).tables())
 
 
 @query("s3_s4_store_roundtrip", ids="S3 S4", round_cols=["avg_price", "avg_review_score"],
@@ -962,12 +1025,9 @@ def s3_s4_store_roundtrip(spark, sf_dir):
 
 
 @query("s6_train", ids="S6 S3 M3 M5 M9",
-       sql=with_(MASTER, SCORED, POPULARITY, PROFILES, REQUESTS, POP_LISTS, SRC_CONTENT, TABLE_ROWS) + """
-SELECT * FROM saved
-UNION ALL SELECT 'user_encoder', COUNT(DISTINCT user_id) FROM interactions
-UNION ALL SELECT 'product_encoder', COUNT(DISTINCT product_id) FROM interactions""")
+       sql=with_(MASTER, SCORED, POPULARITY, PROFILES, REQUESTS, POP_LISTS, SRC_CONTENT, TABLES) + SAVED + " UNION ALL " + ENCODED)
 def s6_train(spark, sf_dir):
-    """The whole training job with ALS; returns the saved tables and their rows."""
+    """The whole training job with ALS; returns the saved tables, their rows and digests."""
     return train_plan.train_tables(spark, driver_tables(spark, sf_dir), _scratch(spark, "models"),
                                    delivered=DELIVERED_STATUS,
                                    price_thresholds=PRICE_BUCKET_THRESHOLDS)

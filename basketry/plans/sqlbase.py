@@ -331,10 +331,12 @@ proto_prof AS (
 # H3-H6 with given scores in the place of ALS (queries.given_als)
 HYBRID_ALS = HYBRID.replace("""hmerged AS (
   SELECT user_id, product_id, CAST(0 AS DOUBLE) AS als_score,""", """gals0 AS (
-  SELECT c.customer_unique_id AS user_id, p.product_id,
-         ((c.customer_unique_id * 31 + p.product_id * 17) % 1009 + 1) / CAST(1010 AS DOUBLE) AS als_score
-  FROM customers_m c JOIN products_m p ON c.customer_unique_id % 7 = p.product_id % 7
-  WHERE NOT EXISTS (SELECT 1 FROM interactions i WHERE i.user_id = c.customer_unique_id
+  SELECT c.user_id, p.product_id,
+         ((c.user_id * 31 + p.product_id * 17) % 1009 + 1) / CAST(1010 AS DOUBLE) AS als_score
+  FROM (SELECT DISTINCT customer_unique_id AS user_id, (customer_unique_id * 31 + j * 97) % (SELECT COUNT(*) FROM products_m) + 1 AS place
+        FROM customers_m, (SELECT unnest(range(0, 60)) AS j)) c
+  JOIN (SELECT product_id, ROW_NUMBER() OVER (ORDER BY product_id) AS place FROM products_m) p USING (place)
+  WHERE NOT EXISTS (SELECT 1 FROM interactions i WHERE i.user_id = c.user_id
                     AND i.product_id = p.product_id)),
 gals1 AS (SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY user_id
             ORDER BY als_score DESC, product_id) AS rn FROM gals0) WHERE rn <= 50),

@@ -175,3 +175,133 @@ def test_store_without_als_loads_without_als(spark, tmp_dir):
     assert back.history.count() == models.history.count()
     assert back.popularity.lists.count() == models.popularity.lists.count()
     assert (back.popularity.max_n, back.content.max_n) == (models.popularity.max_n, models.content.max_n)
+
+
+def _small_models(spark, with_als=False):
+    return train_plan.fit_models(driver_tables(spark, SF_SMALL), delivered=DELIVERED_STATUS,
+                                 price_thresholds=PRICE_BUCKET_THRESHOLDS, with_als=with_als, als_params=SMALL_ALS)
+
+
+def test_failed_saves_leave_the_model_before(spark, tmp_dir, monkeypatch):
+    models = _small_models(spark)
+    store.save(models, tmp_dir)
+    before = {r.table_name: r.digest for r in store.digests(store.load(spark, tmp_dir).tables()).collect()}
+    create = store._create
+    # no mark at the end, and no manifest
+    monkeypatch.setattr(store, "_create", lambda s, p: (_ for _ in ()).throw(OSError("lost")) if p.endswith("COMPLETE") else create(s, p))
+    with pytest.raises(OSError):
+        store.save(models, tmp_dir)
+    monkeypatch.setattr(store, "_create", create)
+    monkeypatch.setattr(store, "digests", lambda tables: (_ for _ in ()).throw(OSError("lost")))
+    with pytest.raises(OSError):
+        store.save(models, tmp_dir)
+    monkeypatch.undo()
+    assert store.versions(spark, tmp_dir) == {1: True, 2: False, 3: False}
+    assert {r.table_name: r.digest for r in store.digests(store.load(spark, tmp_dir).tables()).collect()} == before
+    store.save(models, tmp_dir, keep=1)
+    assert store.versions(spark, tmp_dir) == {2: False, 3: False, 4: True}
+    assert store._create(spark, f"{tmp_dir}/x") and not store._create(spark, f"{tmp_dir}/x")
+
+
+def test_a_changed_table_is_noticed(spark, tmp_dir):
+    models = _small_models(spark)
+    paths = store.save(models, tmp_dir)
+    spark.read.parquet(paths["user_history"]).limit(3).write.mode("append").parquet(paths["user_history"])
+    with pytest.raises(store.DamagedModelError, match="user_history"):
+        store.load(spark, tmp_dir)
+    assert store.load(spark, tmp_dir, verify=False).history.count() == models.history.count() + 3
+    with pytest.raises(FileNotFoundError):
+        store.load(spark, f"{tmp_dir}/nothing")
+
+
+def test_digests_ignore_order_and_see_changes(spark):
+    rows = [(i, f"t{i % 3}", i / 7) for i in range(50)]
+    digest = lambda r: store.digests({"t": spark.createDataFrame(r, "a long, b string, c double")}).first().digest
+    assert digest(rows) == digest(rows[::-1]) != digest(rows[1:])
+    assert digest(rows) != digest(rows[1:] + [(0, "t1", 0.0)]) and digest(rows + rows[:1]) != digest(rows)
+    assert digest([(1, None, None)]) != digest([(None, "1", None)])
+
+
+def test_als_sweeps_equal_the_normal_equations(spark):
+    """MLlib's next half sweep against a plain solve: users from products, then products
+    from users, of one more iteration."""
+    import numpy as np
+    rows = sorted({(int(a), int(b)) for a, b in np.random.default_rng(2).integers(0, 30, (300, 2))})
+    inter = spark.createDataFrame([(a, b, 5 + (a * b) % 7) for a, b in rows], "user_id long, product_id long, interaction_score int")
+    one, two = (als.fit(inter, factors=5, iterations=n) for n in (3, 4))
+    code = lambda t: {r[0]: r[1] for r in t.collect()}
+    side = lambda df: {r.id: np.array(r.features, float) for r in df.collect()}
+    uc, pc = code(one.users), code(one.products)
+    pairs = [(uc[a], pc[b], 5 + (a * b) % 7) for a, b in rows]
+
+    def half(given, by_user):
+        yy = sum(np.outer(y, y) for y in given.values())
+        out = {}
+        for me in {p[0 if by_user else 1] for p in pairs}:
+            mine = [(given[p[1 if by_user else 0]], p[2]) for p in pairs if p[0 if by_user else 1] == me]
+            a = yy + sum((c - 1) * np.outer(y, y) for y, c in mine) + als.REGULARIZATION * len(mine) * np.eye(5)
+            out[me] = np.linalg.solve(a, sum(c * y for y, c in mine))
+        return out
+    users = half(side(one.model.itemFactors), True)
+    for u, x in side(one.model.userFactors).items():
+        assert np.allclose(users[u], x, atol=1e-3)
+    items = half(side(one.model.userFactors), False)
+    for p, y in side(two.model.itemFactors).items():
+        assert np.allclose(items[p], y, atol=1e-3)
+    worst = als.normal_residuals(one, inter).agg(F.max("residual"), F.count("*")).first()
+    assert worst[0] < 1e-4 and worst[1] == len(uc)
+
+
+def test_als_reaches_the_loss_of_the_reference_fit(spark):
+    import numpy as np
+    rows = sorted({(int(a), int(b)) for a, b in np.random.default_rng(6).integers(0, 25, (260, 2))})
+    inter = spark.createDataFrame([(a, b, 5 + (a + b) % 7) for a, b in rows], "user_id long, product_id long, interaction_score int")
+    users, items = als.reference_fit(inter, sweeps=15)
+    x, y = ({r[0]: np.array([r.f0, r.f1]) for r in t.collect()} for t in (users, items))
+    rec = als.fit(inter, factors=2, iterations=15)
+    code = lambda t: {r[1]: r[0] for r in t.collect()}
+    side = lambda df, c: {c[r.id]: np.array(r.features, float) for r in df.collect()}
+    mx, my = side(rec.model.userFactors, code(rec.users)), side(rec.model.itemFactors, code(rec.products))
+
+    def loss(x, y):
+        n_u, n_i = ({k: sum(p[i] == k for p in rows) for k in t} for i, t in ((0, x), (1, y)))
+        total = sum((x[u] @ y[i]) ** 2 for u in x for i in y)
+        total += sum((5 + (u + i) % 7) * (1 - x[u] @ y[i]) ** 2 - (x[u] @ y[i]) ** 2 for u, i in rows)
+        return total + als.REGULARIZATION * (sum(n_u[u] * x[u] @ x[u] for u in x) + sum(n_i[i] * y[i] @ y[i] for i in y))
+    assert loss(mx, my) == pytest.approx(loss(x, y), rel=0.05)
+
+
+def test_quartiles_by_narrowing_ranges(spark):
+    import numpy as np
+    from basketry.operators import profiling
+    rng = np.random.default_rng(1)
+    inf, nan = float("inf"), float("nan")
+    cols = {"a": rng.lognormal(0, 3, 20_000), "b": np.where(rng.random(20_000) < 0.6, 7.0, rng.integers(0, 5, 20_000)),
+            "c": np.concatenate([rng.random(19_990) * 1e-300, [1e308, -1e308, inf, -inf, -0.0, 0.0, 5, 6, 7, 8]])}
+    rows = [tuple(float(cols[k][i]) if (i + j) % 13 else None for j, k in enumerate(cols)) + (None, nan if i % 2 else 1.0)
+            for i in range(20_000)]
+    df = spark.createDataFrame(rows, "a double, b double, c double, d double, e double").repartition(5)
+    want = {c: sorted(r[j] for r in rows if r[j] is not None) if c != "e" else [1.0] * 10_000 + [nan] * 10_000
+            for j, c in enumerate("abcde")}
+    places = {c: [0, len(v) // 4, len(v) // 2, len(v) // 2 + 1, len(v) - 1] if v else [] for c, v in want.items()}
+    report = []
+    got = profiling.order_statistics(df, places, report)
+    for c, ps in places.items():
+        for p in ps:
+            assert got[c, p] == want[c][p] or (got[c, p] != got[c, p] and want[c][p] != want[c][p]), (c, p)
+    assert len(report) <= 8 and report[0] == 4
+    d = {r.column_name: r for r in profiling.describe(df.select("a", "b", "d"), ["a", "b", "d"]).collect()}
+    assert (d["a"].p25, d["a"].p50, d["b"].p75) == tuple(
+        pytest.approx(float(np.quantile(want[c], q))) for c, q in (("a", 0.25), ("a", 0.5), ("b", 0.75)))
+    assert d["d"]["count"] == 0 and d["d"].p50 is None
+
+
+def test_duplicates_compare_whole_rows(spark, monkeypatch):
+    from basketry.operators import profiling
+    rows = [(1, None), (None, 1), (1, None), (None, None), (None, None), (None, None), (2, 3)]
+    df = spark.createDataFrame(rows, "a int, b int")
+    assert profiling.duplicates("x", df).first().duplicates == 3
+    assert profiling.duplicates("x", df, ["a"]).first().duplicates == 4
+    monkeypatch.setattr(profiling, "_fingerprint", lambda cols: [F.lit(1), F.lit(2)])      # all collide
+    assert profiling.duplicates("x", df).first().duplicates == 3
+    assert profiling.duplicates("x", df.limit(0)).first().duplicates == 0
