@@ -13,8 +13,14 @@
    score. A path is widened to the next container around it that adds text, when text
    outside links stands in that container itself (headline and lead over the content).
 
-Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader
-comments are known by tag, role, class or id, and are no part of a block.
+Menus, footers, sidebars, notices, adverts, scripts, styles, hidden parts and the header of
+the page (not of an article) are known by tag, role or attribute, and are no part of a block.
+A class or id that names such a thing, and a form, only raise a doubt: layouts carry such
+words too (``content no-sidebar``, ``has-comments``, ``ad-free``). Doubtful elements are
+judged from the one with most text outside links downwards: one is kept if most of its text
+is outside links and what has been found to be the page's text so far is little beside it
+(``DOUBT``), or next to nothing if its class or id says nothing else (``NAMED``), so that
+what wraps the article stays and what stands beside it goes, however long the comments are.
 
 The winning paths are broadcast when their written size is under ``BROADCAST_BYTES``;
 beyond, pages and hosts meet in a shuffle join whose hot host is split at run time.
@@ -42,6 +48,8 @@ from basketry.llm.common import chunks, over_batches, written
 SHARE = 0.1
 FADE = 0.85
 LEAST = 0.2         # of the page's best score, that a winner must have on the page
+DOUBT = 0.25        # of a doubtful element's text, that may have been found outside it
+NAMED, NAMED_TEXT = 250, 40     # an element whose class says nothing else needs that much text, with less outside
 MAX_DEPTH = 64      # containers nested deeper count as part of the one at this depth
 BROADCAST_BYTES = 16 << 20
 
@@ -76,27 +84,65 @@ _CLOSES_P = BLOCKS | BOILERPLATE_TAGS - frozenset("button select option label in
 _TELLING = re.compile(r"class|id|role|hidden|style", re.I)
 
 
+_HARD = BOILERPLATE_TAGS - {"form"}
+
+
+def _doubt(tokens: list[str], words: frozenset[str]) -> int:
+    """2 if a class or id names nothing but boilerplate, 1 if it has such a word, else 0."""
+    out = 0
+    for t in tokens:
+        of = {w.lower() for w in _WORDS.findall(t)}
+        if of & words:
+            out = max(out, 2 if of <= words else 1)
+    return out
+
+
 @lru_cache(maxsize=4096)
-def _boilerplate(tag: str, attrs: str) -> tuple[bool, str]:
-    """Whether an element is beside the article, and its generalised classes."""
+def _boilerplate(tag: str, attrs: str, in_article: bool) -> tuple[bool, int, str]:
+    """Whether an element is beside the article, how doubtful it is, its generalised classes."""
     got = {}
     for m in _ATTR.finditer(attrs):
         got.setdefault(m.group(1).lower(), m.group(2) or m.group(3) or m.group(4) or "")
-    names = got.get("class", "")
-    words = {w.lower() for w in _WORDS.findall(f"{names} {got.get('id', '')}")}
-    out = (tag in BOILERPLATE_TAGS or bool(words & BOILERPLATE_WORDS) and tag not in ("html", "body")
-           or got.get("role", "").lower() in BOILERPLATE_ROLES or "hidden" in got
-           or got.get("aria-hidden", "").lower() == "true"
-           or "display:none" in got.get("style", "").replace(" ", "").lower())
-    return out, ".".join(sorted(_DIGITS.sub("#", c) for c in names.split()))
+    names, role = got.get("class", ""), got.get("role", "").lower()
+    own_header = tag == "header" and in_article
+    hard = (tag in _HARD and not own_header or role in BOILERPLATE_ROLES - {"form"} or "hidden" in got
+            or got.get("aria-hidden", "").lower() == "true"
+            or "display:none" in got.get("style", "").replace(" ", "").lower())
+    words = BOILERPLATE_WORDS - {"header", "masthead"} if in_article else BOILERPLATE_WORDS
+    doubt = 0 if tag in ("html", "body") else max(_doubt([*names.split(), got.get("id", "")], words),
+                                                  int(tag == "form" or role == "form"))
+    return hard, doubt, ".".join(sorted(_DIGITS.sub("#", c) for c in names.split()))
+
+
+def _judged(found: list, kinds: list[int]) -> list[tuple[tuple[str, ...], str, int]]:
+    """The blocks that stand in no doubtful element but such as are kept."""
+    inside: dict[int, list[int]] = {}
+    plain, linked = [0] * len(kinds), [0] * len(kinds)
+    for i, (_, t, links, doubts) in enumerate(found):
+        for k in doubts:
+            inside.setdefault(k, []).append(i)
+            plain[k] += len(t) - links
+            linked[k] += links
+    left = [len(doubts) for *_, doubts in found]        # doubtful elements not yet kept around each block
+    text = sum(len(t) - links for _, t, links, doubts in found if not doubts)
+    for k in sorted(inside, key=lambda k: (-plain[k], k)):
+        if plain[k] > linked[k] and (text < DOUBT * plain[k] if kinds[k] == 1 else
+                                     text < NAMED_TEXT and plain[k] >= NAMED):
+            for i in inside[k]:
+                left[i] -= 1
+                if not left[i]:
+                    text += len(found[i][1]) - found[i][2]
+    return [(paths, t, links) for (paths, t, links, _), n in zip(found, left) if not n]
 
 
 def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
     """(paths of the open containers from the root, text, characters in links) of each
     block of text that is not beside the article, in page order."""
-    out: list[tuple[tuple[str, ...], str, int]] = []
-    stack: list[tuple[str, bool, bool]] = []           # tag, boilerplate, container
+    out: list[tuple[tuple[str, ...], str, int, tuple[int, ...]]] = []
+    stack: list[tuple[str, bool, bool, int]] = []      # tag, boilerplate, container, doubtful
     paths: list[str] = []
+    kinds: list[int] = []                              # of the doubtful elements, by number
+    doubts: list[int] = []                             # the open ones
     parts: list[str] = []
     links, beside, in_link = 0, 0, 0
     opened: dict[str, int] = {}                        # open elements by tag
@@ -114,17 +160,19 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
         if parts:
             t = " ".join("".join(parts).split())
             if t:
-                out.append((tuple(paths), t, min(links, len(t))))
+                out.append((tuple(paths), t, min(links, len(t)), tuple(doubts)))
             parts.clear()
             links = 0
 
     def close():
         nonlocal beside, in_link
-        tag, bad, container = stack.pop()
+        tag, bad, container, doubt = stack.pop()
         opened[tag] -= 1
-        if tag in BLOCKS or bad:
+        if tag in BLOCKS or bad or doubt:
             flush()
         beside -= bad
+        if doubt:
+            doubts.pop()
         in_link -= tag == "a"
         if container:
             paths.pop()
@@ -195,8 +243,10 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
             close_to(("tr",), ("table",))
         elif tag == "option":
             close_to(("option",), ("select",))
-        bad, classes = _boilerplate(tag, attrs) if _TELLING.search(attrs) else (tag in BOILERPLATE_TAGS, "")
-        if tag in BLOCKS or bad:
+        in_article = bool(opened.get("article"))
+        bad, doubt, classes = _boilerplate(tag, attrs if _TELLING.search(attrs) else "", in_article)
+        doubt = doubt if not bad and not beside and len(doubts) < MAX_DEPTH else 0
+        if tag in BLOCKS or bad or doubt:
             flush()
         if tag in VOID:
             if tag == "br":
@@ -207,14 +257,17 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
         container = tag in CONTAINERS and len(paths) < MAX_DEPTH
         if container:
             paths.append((paths[-1] + ">" if paths else "") + (f"{tag}.{classes}" if classes else tag))
-        stack.append((tag, bad, container))
+        stack.append((tag, bad, container, doubt))
+        if doubt:
+            doubts.append(len(kinds))
+            kinds.append(doubt)
         opened[tag] = opened.get(tag, 0) + 1
         beside += bad
         in_link += tag == "a"
     while stack:
         close()
     flush()
-    return out
+    return _judged(out, kinds)
 
 
 _BONUS = {"article": 1.6, "main": 1.3, "html": 0.2, "body": 0.4}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import pytest
 
 from basketry.llm import html_extract
@@ -75,3 +77,54 @@ def test_headline_and_lead_over_the_content(wrap):
 
 def test_empty(spark):
     assert html_extract.main_text(pages(spark, [])).collect() == []
+
+
+ARTICLE = "<p>First paragraph of the article, long enough to be text.</p><p>Second paragraph with more words.</p><p>The third ends it.</p>"
+PLAIN = "First paragraph of the article, long enough to be text.\nSecond paragraph with more words.\nThe third ends it."
+
+
+@pytest.mark.parametrize("names", [
+    "site right-sidebar", "content no-sidebar", "has-comments post", "search-result article", "ad-free story",
+    "social-policy", "reply-all", "widget-area-none main"])
+def test_no_word_in_an_outer_class_removes_the_article(names):
+    for attr in ("class", "id"):
+        page = (f'<html><body><nav><a href=x>Menu</a></nav><div id=page {attr}="{names}">{ARTICLE}<div class="sidebar"><p>Side words</p></div>'
+                '<div class="ad-box">Buy this now</div><div class="comments"><p>Nice one</p></div></div><footer>c</footer></body></html>')
+        assert html_extract.extract(page, []) == PLAIN
+
+
+def test_form_around_the_page_and_header_in_the_article():
+    form = f"<html><body><form id=aspnetForm><input name=q><select><option>one</option></select><div>{ARTICLE}</div></form></body></html>"
+    assert html_extract.extract(form, []) == PLAIN
+    header = f"<html><body><header><h1>Site</h1></header><article><header class=entry-header><h1>Headline</h1></header>{ARTICLE}</article></body></html>"
+    assert html_extract.extract(header, []) == "Headline\n" + PLAIN
+    beside = f"<html><body><div>{ARTICLE}</div><form class=login><p>Sign in to read on, it is free of charge</p></form></body></html>"
+    assert html_extract.extract(beside, []) == PLAIN
+
+
+def test_long_comments_go_and_nested_layouts_stay():
+    many = "<p>A reader has a lot to say about all of this.</p>" * 300
+    page = f"<html><body><div class=post>{ARTICLE}</div><div class=comments>{many}</div></body></html>"
+    assert html_extract.extract(page, []) == PLAIN
+    nested = (f'<html><body><div class="layout sidebar-left"><div class="col-menu-3"><a href=a>One</a> <a href=b>Two</a></div>'
+              f'<div class="content comments-open"><div class="text">{ARTICLE}</div><div id=comments>{many}</div></div></div></body></html>')
+    assert html_extract.extract(nested, []) == PLAIN
+
+
+def test_given_pages_equal_the_documents_they_were_made_from(spark):
+    """Pages whose path ends in the number of a document hold its text under a headline."""
+    folder = "/root/testdata/sf0.01"
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").collect()}
+    checked = 0
+    for r in html_extract.main_text(spark.read.parquet(f"{folder}/pages.parquet")).collect():
+        number = re.search(r"/(\d+)(?:/|\.html)?(?:[?#].*)?$", r.url or "")
+        doc = " ".join(texts.get(int(number[1]), "").split()) if number else ""
+        if doc and doc[:20] == " ".join(r.text.split())[:20]:
+            checked += 1
+            assert " ".join(r.text.split("\n", 1)[1].split()) == doc, r.url
+    assert checked >= 100, checked
+
+
+def test_a_page_of_megabytes_with_many_doubtful_elements():
+    page = "<html><body><div class='site no-sidebar'>" + "<div class='comment-item'><p>word word word word</p></div>" * 40_000 + f"<div>{ARTICLE}</div></div></body></html>"
+    assert "First paragraph" in html_extract.extract(page, [])
