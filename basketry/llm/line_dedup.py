@@ -16,9 +16,9 @@ documents lose all their lines but those in the largest doc_id that holds them.
    table beyond one group is probed group by group, with the documents written to
    the shared folder between groups. A hot line is one entry of one array.
 
-Defined cases: null or empty text is one empty line; a repeated row is a document of
-its own when counting, and all rows of the largest doc_id keep the line; rows with
-a null doc_id count, and never hold the kept copy. Empty tables give empty results.
+Defined cases: null or empty text is one empty line; rows of one doc_id are one document
+when counting, and all rows of the largest doc_id keep the line; rows with a null doc_id
+are no document that counts, and never hold the kept copy. Empty tables give empty results.
 Extra columns are kept by ``dedup`` and ignored by ``line_dedup``."""
 
 from __future__ import annotations
@@ -130,8 +130,14 @@ def frequent_lines(docs: DataFrame, min_chars: int = MIN_CHARS,
             as_long = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
             yield pa.RecordBatch.from_arrays([as_long(his), as_long(los), pa.array(ids, pa.int64())],
                                              ["hi", "lo", "doc_id"])
-    return (over_batches(id_text(docs), run, "hi long, lo long, doc_id long").groupBy("hi", "lo")
-            .agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("largest"))
+    found = over_batches(id_text(docs).where("doc_id is not null"), run, "hi long, lo long, doc_id long")
+    # rows of one id are one document; where ids repeat, their lines are made distinct first
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null")
+    repeated = written(ids.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "repeated-ids")
+    if repeated.take(1):
+        found = found.join(repeated, "doc_id", "left_anti").select("hi", "lo", "doc_id").unionByName(
+            found.join(repeated, "doc_id", "left_semi").select("hi", "lo", "doc_id").distinct())
+    return (found.groupBy("hi", "lo").agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("largest"))
             .where(F.col("n_docs") >= min_docs))
 
 

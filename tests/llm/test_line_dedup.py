@@ -18,9 +18,9 @@ def plain(rows, least=40, docs=5):
     holders = collections.defaultdict(list)
     for i, t in rows:
         for k in {key(x) for x in (t or "").split("\n")}:
-            if len(k) >= least:
+            if len(k) >= least and i is not None:
                 holders[k].append(i)
-    often = {k: max((i for i in h if i is not None), default=None) for k, h in holders.items() if len(h) >= docs}
+    often = {k: max(h) for k, h in holders.items() if len(set(h)) >= docs}
     out = []
     for i, t in rows:
         lines = (t or "").split("\n")
@@ -53,7 +53,23 @@ def test_filter_keeps_columns_and_counts_chars(spark):
     assert all(r.n_chars == len(r.text) for r in out.collect())
 
 
+def test_rows_of_one_id_are_one_document(spark):
+    line = LONG + "once more"
+    rows = [(1, line)] * 4 + [(2, line)]
+    assert got(line_dedup.line_dedup(documents(spark, rows))) == sorted(plain(rows), key=str)
+    assert sum(r[2] for r in got(line_dedup.line_dedup(documents(spark, rows)))) == 0
+    rows += [(i, line) for i in (3, 4, 5)] + [(3, "x\n" + line), (None, line), (None, line)]
+    assert got(line_dedup.line_dedup(documents(spark, rows))) == sorted(plain(rows), key=str)
+
+
+def test_null_ids_do_not_count(spark):
+    line = LONG + "without a name"
+    rows = [(None, line)] * 9 + [(i, line) for i in range(4)]
+    assert [r[2] for r in got(line_dedup.line_dedup(documents(spark, rows)))] == [0] * 13
+
+
 def test_empty(spark):
+    assert line_dedup.drop_repeated_lines(documents(spark, [])).count() == 0
     assert got(line_dedup.line_dedup(documents(spark, []))) == []
 
 
