@@ -30,6 +30,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from basketry.llm.common import chunks, id_text, lowered_words, over_batches, written
 
@@ -165,27 +166,50 @@ def connected(edges: DataFrame) -> DataFrame:
     return edges.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("root"))
 
 
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE,
-                    max_bits: int = MAX_BITS) -> DataFrame:
-    """(doc_id, fingerprint, component_id): one row per row of ``docs``."""
-    fps = written(fingerprints(docs, shingle), "fingerprints")
+def _classes(fps: DataFrame, max_bits: int) -> DataFrame:
+    """(fp, root, component_id): the component of each fingerprint, named by one of its
+    fingerprints and by its least doc_id."""
     distinct = written(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
     roots = connected(links(distinct.select("fp"), max_bits))
     rooted = (distinct.join(roots, distinct.fp == roots.node, "left")
               .select("fp", "least", F.coalesce("root", "fp").alias("root")))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = rooted.select("fp", "root").join(least, "root").select("fp", "component_id")
-    return fps.join(classes, "fp").select(
+    return rooted.select("fp", "root").join(least, "root").select("fp", "root", "component_id")
+
+
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE,
+                    max_bits: int = MAX_BITS) -> DataFrame:
+    """(doc_id, fingerprint, component_id): one row per row of ``docs``."""
+    fps = written(fingerprints(docs, shingle), "fingerprints")
+    return fps.join(_classes(fps, max_bits), "fp").select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, shingle: int = SHINGLE,
                          max_bits: int = MAX_BITS) -> DataFrame:
-    """``docs`` with the document of the smallest id of each component; one row where a
-    document is repeated. Rows without an id stay, as nothing names them."""
-    gone = (near_duplicates(docs.where(F.col("doc_id").isNotNull()), shingle, max_bits)
-            .where("doc_id <> component_id").select("doc_id").distinct())
+    """``docs`` with one document of each component: of the smallest id and, where that id
+    stands for several texts of the component, of the smallest fingerprint. Rows that agree
+    in both are one. An id whose rows belong to several components keeps one row in each.
+    Rows without an id stay, as nothing names them."""
     with_id = docs.where(F.col("doc_id").isNotNull())
-    return (with_id.join(gone, "doc_id", "left_anti").select(*docs.columns)
-            .dropDuplicates(["doc_id"])
-            .unionByName(docs.where(F.col("doc_id").isNull())))
+    fps = written(fingerprints(with_id, shingle), "fingerprints")
+    rows = written(fps.groupBy("doc_id", "fp").agg(F.count("*").alias("n")).join(_classes(fps, max_bits), "fp"), "rows")
+    kept = rows.groupBy("root").agg(F.min(F.struct("doc_id", "fp")).alias("k")).select("k.*")
+    ids = rows.groupBy("doc_id").agg(F.sum("n").alias("n"))
+    repeated = written(ids.where("n > 1").select("doc_id"), "repeated-ids")
+    # a row of an id that stands once is decided by its id alone
+    gone = written(rows.join(kept, ["doc_id", "fp"], "left_anti").select("doc_id").union(repeated).distinct(), "gone")
+    key = F.col("doc_id").cast("long")
+    out = (with_id.withColumn("_simhash_id", key).join(gone.withColumnRenamed("doc_id", "_simhash_id"), "_simhash_id", "left_anti").select(*docs.columns)
+           .unionByName(docs.where(F.col("doc_id").isNull())))
+    if not repeated.take(1):
+        return out
+    some = with_id.withColumn("_simhash_id", key).join(repeated.withColumnRenamed("doc_id", "_simhash_id"), "_simhash_id", "left_semi").select(*docs.columns)
+
+    def run(batches):
+        for b in chunks(batches):
+            fp = [_signed(fingerprint(t or "", shingle)) for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(fp, pa.int64())], [*b.schema.names, "_simhash_fp"])
+    marked = over_batches(some, run, StructType([*docs.schema.fields, StructField("_simhash_fp", LongType())]))
+    mine = marked.withColumn("_simhash_id", key).join(kept.select(F.col("doc_id").alias("_simhash_id"), F.col("fp").alias("_simhash_fp")), ["_simhash_id", "_simhash_fp"], "left_semi")
+    return out.unionByName(mine.dropDuplicates(["_simhash_id", "_simhash_fp"]).select(*docs.columns))

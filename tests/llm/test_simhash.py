@@ -82,6 +82,19 @@ def test_drop_keeps_smallest_of_each_group_and_all_columns(spark):
     ids = [r.doc_id for r in kept.collect()]
     classes = {d: c for d, _, c in plain([r for r in rows if r[0] is not None])}
     assert sorted(i for i in ids if i is not None) == sorted({d for d, c in classes.items() if d == c})
+
+
+def test_distinct_texts_of_one_id_stay(spark):
+    near = near_copies(7, 1)[0]
+    rows = [(1, prose(1)), (1, prose(2)), (1, prose(2)), (2, prose(1)), (2, prose(3)), (3, prose(7)), (3, near), (4, near), (None, prose(1))]
+    kept = sorted((r.doc_id or 0, r.text) for r in simhash.drop_near_duplicates(documents(spark, rows)).collect())
+    assert [k for k in kept if k[0] != 3] == sorted([(0, prose(1)), (1, prose(1)), (1, prose(2)), (2, prose(3))])
+    assert len([k for k in kept if k[0] == 3]) == 1 and kept[-1][1] in (prose(7), near)
+
+
+def test_rows_without_an_id_stay(spark):
+    docs = documents(spark, list(AWKWARD))
+    ids = [r.doc_id for r in simhash.drop_near_duplicates(docs).collect()]
     assert ids.count(None) == 1
 
 
