@@ -208,9 +208,10 @@ def scan(docs: DataFrame) -> DataFrame:
 
 def sanitise(docs: DataFrame) -> DataFrame:
     """(doc_id, text) with every base span replaced by its kind in brackets, disclosing terms
-    by [TERM] or by nothing. Joins by doc_id, so ids must be unique; of overlapping spans the
-    first counts."""
-    found = protect(docs).select("doc_id", "base", "all")
+    by [TERM] or by nothing. Every row is a document of its own, whatever its id; of
+    overlapping spans the first counts."""
+    rows = written(id_text(docs).withColumn("row", F.monotonically_increasing_id()), "rows")
+    found = protect(rows.select(F.col("row").alias("doc_id"), "text")).select(F.col("doc_id").alias("row"), "base", "all")
     text, spans = F.col("text"), F.col("spans")
     # base spans that start before the end of an earlier one go; terms touch no base span
     spans_free = F.filter("all", lambda s: (s.kind >= len(PATTERNS))
@@ -220,5 +221,5 @@ def sanitise(docs: DataFrame) -> DataFrame:
         F.substr(text, F.coalesce(F.get(spans, i - 1).end, F.lit(0)) .cast("int") + 1,
                  (s.start - F.coalesce(F.get(spans, i - 1).end, F.lit(0))).cast("int")), F.get(labels, s.kind))
     tail = F.substr(text, (F.coalesce(F.get(spans, F.size(spans) - 1).end, F.lit(0)) + 1).cast("int"), F.length(text))
-    return (id_text(docs).join(found, "doc_id").withColumn("spans", spans_free)
+    return (rows.join(found, "row").withColumn("spans", spans_free)
             .select("doc_id", F.concat(F.array_join(F.transform("spans", piece), ""), tail).alias("text")))

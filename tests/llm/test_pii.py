@@ -152,3 +152,10 @@ def test_no_python_in_the_plan(spark):
 
 def test_empty(spark):
     assert pii.scan(documents(spark, [])).collect() == []
+
+
+def test_sanitise_of_repeated_and_missing_ids_and_empty_tables(spark):
+    rows = [(1, "write to kim kim@firm.example here"), (1, "other text"), (None, "mail a.b@c.example now"), (2, None), (2, "x@y.example")]
+    got = sorted((r.doc_id or 0, r.text) for r in pii.sanitise(documents(spark, rows)).collect())
+    assert len(got) == 5 and not any("@" in t for _, t in got) and (1, "other text") in got and (2, "") in got
+    assert pii.sanitise(documents(spark, [])).count() == 0
