@@ -1,7 +1,9 @@
 """Benchmark decontamination by size-partitioned MinHash containment search.
 
 Items and documents are sets of shingles of ``SHINGLE`` words (A-Z lowered). An item
-is found in a document when at least ``THRESHOLD`` of its shingles stand there.
+is found in a document when at least ``THRESHOLD`` of its shingles stand there. An item of
+fewer words is one shingle of that many, and is looked for among the documents' shingles
+of the same number of words: with one shingle, its hash is its only min-hash value.
 
 A short item has a tiny Jaccard similarity with a long document, so the search runs
 by size: items are partitioned by the power of two above their number of shingles,
@@ -13,11 +15,12 @@ values meet those of an item are candidates; a candidate is verified exactly, wi
 the shingle sets of the item and of the whole document.
 
 Items are the query set. They go to the tasks in blocks of at most ``BLOCK_BYTES`` of
-text (summed first); every block passes over all documents. Documents are not
-shuffled, so a hot source or many copies land nowhere in particular.
+text (summed first); every block passes over all documents. A task holds a block's texts and
+``HASHES`` values an item; shingle sets are made for the items that are candidates, a few at
+a time. Documents are not shuffled, so a hot source or many copies land nowhere in particular.
 
-Defined cases: null text is empty; a text or item of one to four words is one shingle;
-an item without words matches nothing; repeated items are one, repeated documents
+Defined cases: null text is empty; a text of one to four words has one shingle for longer
+items; an item without words matches nothing; repeated items are one, repeated documents
 each give their rows; null ids are carried. Empty tables give empty results. Extra
 columns are ignored by ``contaminated`` and kept by ``drop_contaminated``."""
 
@@ -25,6 +28,7 @@ from __future__ import annotations
 
 import random
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -56,9 +60,9 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def shingle_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes, counts): the shingle hashes of lowered texts, one after another, and
-    their number per text. Words are hashed by position and byte, all at once."""
+def shingle_hashes(texts: list[bytes], k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, counts): the hashes of the shingles of k words of lowered texts, one after
+    another, and their number per text. Words are hashed by position and byte, all at once."""
     buf = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
     inside = ~_IS_SPACE[buf]
     edge = np.flatnonzero(np.diff(np.concatenate([[False], inside]).astype(np.int8)))
@@ -77,11 +81,11 @@ def shingle_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         powers = np.cumprod(np.full(int(lens.max()), _BASE, np.uint64))
         w = _mixed(np.add.reduceat(_BYTE[buf[where]] * powers[in_word], offsets))
         padded = np.concatenate([w, np.zeros(SHINGLE, np.uint64)])
-        h = sum(padded[j:j + len(w)] * _WORD[j] for j in range(SHINGLE))
-        counts = np.where(n_words > 0, np.maximum(1, n_words - SHINGLE + 1), 0)
-        for i in np.flatnonzero((n_words > 0) & (n_words < SHINGLE)):
-            f, k = first[i], n_words[i]
-            h[f] = (w[f:f + k] * _WORD[:k]).sum(dtype=np.uint64)
+        h = sum(padded[j:j + len(w)] * _WORD[j] for j in range(k))
+        counts = np.where(n_words > 0, np.maximum(1, n_words - k + 1), 0)
+        for i in np.flatnonzero((n_words > 0) & (n_words < k)):
+            f, n = first[i], n_words[i]
+            h[f] = (w[f:f + n] * _WORD[:n]).sum(dtype=np.uint64)
         keep = np.repeat(first[:-1], counts) + np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
         return _mixed(h[keep]), counts
 
@@ -115,25 +119,37 @@ class Partition:
 
 
 class Index:
-    """The item side: sizes, min-hash values and exact shingle sets."""
+    """The item side: sizes, min-hash values, and exact shingle sets on demand."""
 
     def __init__(self, items: list[tuple[int | None, str]]):
         self.ids = [i for i, _ in items]
-        self.sets = [shingle_set(t) for _, t in items]
+        self.texts = [t for _, t in items]
+        self.width = [min(SHINGLE, len(lowered_words(t))) for t in self.texts]
+        self.shingles = lru_cache(maxsize=256)(lambda k: shingle_set(self.texts[k]))
+        self.sizes = [len(shingle_set(t)) for t in self.texts]
         self.partitions: dict[int, Partition] = {}
+        self.short: dict[int, Partition] = {}            # by number of words
         by_size: dict[int, list[int]] = {}
-        for k, s in enumerate(self.sets):
-            if s:
-                by_size.setdefault(1 << (len(s) - 1).bit_length(), []).append(k)
+        by_width: dict[int, list[int]] = {}
+        for k, (n, w) in enumerate(zip(self.sizes, self.width)):
+            if n and w == SHINGLE:
+                by_size.setdefault(1 << (n - 1).bit_length(), []).append(k)
+            elif n:
+                by_width.setdefault(w, []).append(k)
+        flat = lambda ks: [self.texts[k].encode("utf-8", "surrogatepass").lower() for k in ks]
         for size, ks in sorted(by_size.items()):
-            h, counts = shingle_hashes([t.encode("utf-8", "surrogatepass").lower()
-                                        for t in (items[k][1] for k in ks)])
+            h, counts = shingle_hashes(flat(ks))
             starts = np.cumsum(counts) - counts
             with np.errstate(over="ignore"):
                 mins = [np.minimum.reduceat(h * _MUL[j] + _ADD[j], starts) for j in range(HASHES)]
-            values, who = np.concatenate(mins), np.tile(np.array(ks), HASHES)
-            order = np.argsort(values, kind="stable")
-            self.partitions[size] = Partition(values[order], who[order])
+            self.partitions[size] = self._sorted(np.concatenate(mins), np.tile(np.array(ks, np.int32), HASHES))
+        for width, ks in sorted(by_width.items()):
+            self.short[width] = self._sorted(shingle_hashes(flat(ks), width)[0], np.array(ks, np.int32))
+
+    @staticmethod
+    def _sorted(values: np.ndarray, who: np.ndarray) -> Partition:
+        order = np.argsort(values, kind="stable")
+        return Partition(values[order], who[order])
 
     @property
     def overlap(self) -> int:
@@ -141,8 +157,12 @@ class Index:
 
     def candidates(self, texts: list[bytes]) -> set[tuple[int, int]]:
         """(text, item) pairs of which a window shares a min-hash value."""
-        h, counts = shingle_hashes(texts)
         found: set[tuple[int, int]] = set()
+        for width, part in self.short.items():
+            h, counts = shingle_hashes(texts, width)
+            at, value = part.find(h)
+            found.update(zip(np.repeat(np.arange(len(texts)), counts)[at].tolist(), part.items[value].tolist()))
+        h, counts = shingle_hashes(texts) if self.partitions else (np.zeros(0, np.uint64), None)
         if not len(h):
             return found
         offsets = np.cumsum(counts) - counts
@@ -196,10 +216,10 @@ def matches(texts: list[str], index: Index) -> list[tuple[int, int, int]]:
         by_text.setdefault(of[p], set()).add(k)
     out = []
     for i, ks in sorted(by_text.items()):
-        have = shingle_set(texts[i])
+        have = {w: shingle_set(texts[i], w) for w in {index.width[k] for k in ks}}
         for k in sorted(ks):
-            shared = len(index.sets[k] & have)
-            if shared >= THRESHOLD * len(index.sets[k]):
+            shared = len(index.shingles(k) & have[index.width[k]])
+            if shared >= THRESHOLD * index.sizes[k]:
                 out.append((i, k, shared))
     return out
 
@@ -227,7 +247,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             index = Index(sent.value)
             for b in chunks(batches):
                 ids = b.column("doc_id").to_pylist()
-                got = [(ids[i], index.ids[k], len(index.sets[k]), n, n / len(index.sets[k]))
+                got = [(ids[i], index.ids[k], index.sizes[k], n, n / index.sizes[k])
                        for i, k, n in matches(b.column("text").to_pylist(), index)]
                 yield pa.RecordBatch.from_pylist(
                     [dict(zip(names, g)) for g in got],

@@ -52,12 +52,17 @@ _SHINGLES = """unnest(list_distinct(list_transform(range(1, greatest(1, len(w) -
 @query("op5_decontamination", sql=f"""
 WITH items AS (
   SELECT DISTINCT item_id, text, {_WORDS} AS w FROM benchmark),
-item_shingles AS (SELECT item_id, text, {_SHINGLES} AS s FROM items WHERE len(w) > 0),
+item_shingles AS (SELECT item_id, text, least(5, len(w)) AS width, {_SHINGLES} AS s FROM items WHERE len(w) > 0),
 sizes AS (SELECT item_id, text, count(*) AS n_shingles FROM item_shingles GROUP BY ALL),
 docs AS (SELECT doc_id, {_WORDS} AS w FROM documents),
-doc_shingles AS (SELECT doc_id, {_SHINGLES} AS s FROM docs WHERE len(w) > 0),
+doc_shingles AS (
+  SELECT doc_id, 5 AS width, {_SHINGLES} AS s FROM docs WHERE len(w) > 0
+  UNION ALL
+  SELECT doc_id, k AS width, unnest(list_distinct(list_transform(range(1, len(w) - k + 2),
+    lambda i: array_to_string(list_slice(w, i, i + k - 1), ' ')))) AS s
+  FROM docs, (SELECT DISTINCT len(w) AS k FROM items WHERE len(w) BETWEEN 1 AND 4) WHERE len(w) >= k),
 shared AS (SELECT doc_id, item_id, text, count(*) AS n_shared
-  FROM doc_shingles JOIN item_shingles USING (s) GROUP BY ALL)
+  FROM doc_shingles JOIN item_shingles USING (s, width) GROUP BY ALL)
 SELECT doc_id, item_id, n_shingles, n_shared, n_shared / n_shingles AS containment
 FROM shared JOIN sizes USING (item_id, text) WHERE n_shared >= 0.8 * n_shingles""")
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,9 +17,9 @@ def items(spark, rows):
 def plain(rows, bench):
     out = []
     for i, t in rows:
-        have = decontaminate.shingle_set(t or "")
         for k, x in set(bench):
             s = decontaminate.shingle_set(x or "")
+            have = decontaminate.shingle_set(t or "", min(5, max(1, len((x or "").split()))))
             if s and len(s & have) >= 0.8 * len(s):
                 out.append((i, k, len(s), len(s & have)))
     return sorted(out, key=str)
@@ -28,7 +28,7 @@ def plain(rows, bench):
 def cases():
     r = random.Random(5)
     bench = [(i, prose(900 + i, r.choice([5, 6, 9, 17, 30, 60, 150]))) for i in range(40)]
-    bench += [(100, "Two words"), (101, "one two three"), (102, ""), (103, None), (103, "repeated item of six words"),
+    bench += [(100, "Two words"), (101, "one two three"), (104, "singleton"), (105, "four words in here"), (102, ""), (103, None), (103, "repeated item of six words"),
               (103, "repeated item of six words"), (None, prose(990, 30))]
     rows = list(AWKWARD)
     for d in range(60):
@@ -51,6 +51,28 @@ def test_equals_exact_containment(spark):
     assert len(got) > 30
 
 
+def test_short_items_inside_long_documents(spark):
+    bench = [(1, "two words"), (2, "Singleton"), (3, "a b c d"), (4, "words two")]
+    rows = [(1, prose(1, 3000) + " Two\tWORDS " + prose(2, 50)), (2, prose(3) + " a b c\nd"), (3, "a b c"), (4, "singleton"),
+            (5, prose(4) + " two other words"), (6, "words")]
+    got = sorted(tuple(r) for r in decontaminate.contaminated(documents(spark, rows), items(spark, bench)).collect())
+    assert got == [(1, 1, 1, 1, 1.0), (2, 3, 1, 1, 1.0), (4, 2, 1, 1, 1.0)]
+    kept = decontaminate.drop_contaminated(documents(spark, rows), items(spark, bench))
+    assert sorted(r.doc_id for r in kept.collect()) == [3, 5, 6]
+    assert decontaminate.drop_contaminated(documents(spark, []), items(spark, bench)).count() == 0
+
+
+def test_index_is_small_beside_its_items():
+    import tracemalloc
+    bench = [(i, prose(i, 60)) for i in range(3000)]
+    size = sum(len(t) for _, t in bench)
+    tracemalloc.start()
+    index = decontaminate.Index(bench)
+    held = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert len(index.ids) == 3000 and held < 9 * size, held / size
+
+
 def test_blocks_of_items_and_pieces_of_texts_change_nothing(spark, monkeypatch):
     rows, bench = cases()
     monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 4000)
