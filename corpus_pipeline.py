@@ -1,6 +1,13 @@
 """The corpus pipeline: documents without toxic ones, repeated lines, near copies and
 benchmark leaks, encoded to token ids. Each stage reads what the one before it kept,
-written as Parquet in between."""
+written as Parquet in between.
+
+Defined cases: every row is a document. A null text is an empty one and stays empty or
+null on the way. Rows of one doc_id with different texts are judged each by its own text
+and all stay, unless near copies of each other; rows that agree in id and text are one
+after the third stage. Rows with a null doc_id are never near copies of others there, and
+hold no kept line in the second stage. Further columns go through the first four stages as
+they are (n_chars follows the text), whatever their names. Empty tables give empty ones."""
 
 from __future__ import annotations
 
