@@ -102,11 +102,14 @@ class PopularityModel:
     lists: DataFrame
     max_n: int = MAX_N
 
-    def lists_for(self, n: int) -> DataFrame:
-        """Lists of at least ``n`` products (as far as there are products)."""
+    def lists_for(self, n: int, keys: DataFrame) -> DataFrame:
+        """Lists of at least ``n`` products (as far as there are products) for the given
+        keys (list_key), of ``max_n`` for all others."""
         if n <= self.max_n:
             return self.lists
-        return cut_lineage(popularity_lists(self.global_scores, self.state_scores, n))
+        states = self.state_scores.join(keys.select(F.col("list_key").alias("state")), "state", "left_semi")
+        long = popularity_lists(self.global_scores, states, n).join(keys, "list_key", "left_semi")
+        return cut_lineage(self.lists.join(keys, "list_key", "left_anti").unionByName(long))
 
 
 def fit(master: DataFrame, max_n: int = MAX_N) -> PopularityModel:
@@ -139,12 +142,15 @@ def recommend(requests: DataFrame, model: PopularityModel, with_columns=None) ->
     rank <= n, for any n. ``with_columns`` may add columns to the lists before they are
     expanded to requests, while they are small."""
     longest = requests.agg(F.max("n")).first()[0] or 0
-    lists = model.lists_for(longest)
+    keyed = with_list_key(requests, model.lists)
+    lists = model.lists
+    if longest > model.max_n:
+        keyed = cut_lineage(keyed)
+        lists = model.lists_for(longest, cut_lineage(keyed.where(F.col("n") > model.max_n).select("list_key").distinct()))
     extra = []
     if with_columns is not None:
         lists = cut_lineage(with_columns(lists))
         extra = [c for c in lists.columns if c not in ("list_key", "product_id", "pos")]
-    keyed = with_list_key(requests, lists)
     small = bounded_broadcast(lists, LIST_MAX_ROWS)
     return (keyed.join(small, "list_key")
             .where(F.col("pos") <= F.col("n"))

@@ -6,6 +6,7 @@ from __future__ import annotations
 import os
 import re
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -74,6 +75,23 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+_SCRATCH = re.compile(r".+-[0-9a-f]{32}")
+
+
+def expire_scratch(spark: SparkSession, older_than_hours: float) -> int:
+    """Deletes the intermediate tables and files of this library in the shared folder that
+    were last written longer ago than given; returns how many. Results that have not been
+    written yet may still read their tables, so take more hours than any job runs."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(checkpoint_dir(spark))
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    limit = (time.time() - 3600 * older_than_hours) * 1000
+    old = [s.getPath() for s in fs.listStatus(path)
+           if s.getModificationTime() < limit and _SCRATCH.fullmatch(s.getPath().getName())]
+    for p in old:
+        fs.delete(p, True)
+    return len(old)
+
+
 def spread(df: DataFrame, *cols: str) -> DataFrame:
     """Deals rows by ``cols`` over as many partitions as the session has shuffle partitions.
     For rows that each expand to many in the next step: adaptive coalescing would fold them

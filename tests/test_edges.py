@@ -271,3 +271,20 @@ def test_payment_sums_are_exact(spark):
     got = {r.order_id: r.payment_value for r in clean.payment_per_order(
         spark.createDataFrame(rows, "order_id string, payment_value double")).collect()}
     assert got == {"o": 1.0, "p": 0.000000001}
+
+
+def test_scratch_tables_expire(spark):
+    import os
+
+    from basketry import session
+    folder = session.checkpoint_dir(spark).removeprefix("file:")
+    before = set(os.listdir(folder))
+    session.cut_lineage(spark.range(3))
+    old = set(os.listdir(folder)) - before
+    new = session.cut_lineage(spark.range(4))
+    os.makedirs(f"{folder}/my-own-folder")
+    for n in (*old, "my-own-folder"):
+        os.utime(f"{folder}/{n}", (0, 0))
+    assert session.expire_scratch(spark, 10_000) == 1
+    assert not old & set(os.listdir(folder)) and "my-own-folder" in os.listdir(folder)
+    assert new.count() == 4
