@@ -11,10 +11,10 @@
    encodes each distinct word once and answers every packet with the ids of its words. A
    frequent word is one entry per block, not one per occurrence.
 3. The answers are joined by block to the place of the position list, which is read there,
-   and the texts are reassembled by position.
+   and the texts are reassembled by position, a few at a time.
 
 Decoding joins the token-byte table: it has one entry per id of the vocabulary, a
-fixed size, so every task holds it.
+fixed size, so every task holds it. ``round_trip`` decodes where step 3 runs.
 
 The vocabulary file is read where the driver runs, by the path given, and its ranks are
 sent to the tasks.
@@ -29,6 +29,7 @@ import base64
 import itertools
 import uuid
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +37,7 @@ import regex
 import tiktoken
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, GroupedData
 from pyspark.sql import functions as F
 
 from basketry.llm.common import chunks, filesystem, id_text, over_batches, scratch, ship, written
@@ -45,6 +46,7 @@ import public_tokenizers
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 BLOCK_CHARS = 12 << 20
+PIECE = 1 << 17       # positions put together at a time
 
 
 def ranks(path: str | None = None) -> dict[bytes, int]:
@@ -98,6 +100,7 @@ def _blocks(docs: DataFrame, pattern: str, block_chars: int, n_buckets: int, fol
         def block():
             nonlocal out, size
             flat = np.concatenate(at) if at else np.zeros(0, np.int32)
+            at.clear()
             # words are numbered anew by falling frequency, so most positions are small
             falling = np.argsort(-np.bincount(flat, minlength=len(number)), kind="stable")
             new = np.empty(len(number), np.int32)
@@ -169,9 +172,13 @@ def _encoded(packets: DataFrame, table: dict[bytes, int], pattern: str) -> DataF
     return over_batches(packets, run, "of long, bucket int, ids binary")
 
 
-def _reassemble(folder: str, found: pa.Table, block: pa.Table) -> pa.Table:
-    """The ids of each text of a block, by position."""
-    out_type = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
+_IDS = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
+_BOTH = pa.schema([*_IDS, ("bytes", pa.binary())])
+
+
+def _reassembled(folder: str, found: pa.Table, block: pa.Table) -> Iterator[pa.RecordBatch]:
+    """The ids of each text of a block, by position: a few texts at a time (at most
+    ``PIECE`` positions, or one longer text), as each position takes many bytes on the way."""
     row = block.select(["doc_ids", "counts", "file", "places"]).to_pylist()[0]
     store, base = filesystem(folder)
     with store.open_input_file(f"{base}/{row['file']}") as f:
@@ -186,20 +193,30 @@ def _reassemble(folder: str, found: pa.Table, block: pa.Table) -> pa.Table:
     starts[numbers] = np.cumsum(lens) - lens
     size_of = np.empty(len(lens), np.int64)
     size_of[numbers] = lens
-    size = size_of[at]
-    total = np.concatenate([[0], np.cumsum(size)])
-    ids = flat[np.repeat(starts[at] - total[:-1], size) + np.arange(total[-1])]
     ends = np.concatenate([[0], np.cumsum(row["counts"], dtype=np.int64)])
-    return pa.Table.from_arrays(
-        [pa.array(row["doc_ids"], pa.int64()),
-         pa.ListArray.from_arrays(pa.array(total[ends], pa.int32()), pa.array(ids.astype(np.int32)))],
-        schema=out_type)
-
-
-def encode(docs: DataFrame, vocabulary: str | None = None, pattern: str = public_tokenizers.PATTERN,
-           block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """(doc_id, ids), one row per row of ``docs``. There are twice as many buckets as shuffle
-    partitions, so they grow with what the session is set up for."""
+    i = 0
+    while i < len(row["doc_ids"]):
+        j = max(i + 1, int(np.searchsorted(ends, ends[i] + PIECE, "right")) - 1)
+        here = at[ends[i]:ends[j]]
+        size = size_of[here]
+        total = np.concatenate([[0], np.cumsum(size)])
+        ids = flat[np.repeat(starts[here] - total[:-1], size) + np.arange(total[-1])]
+        lists = pa.ListArray.from_arrays(pa.array(total[ends[i:j + 1] - ends[i]], pa.int32()), pa.array(ids.astype(np.int32)))
+        yield pa.RecordBatch.from_arrays([pa.array(row["doc_ids"][i:j], pa.int64()), lists], schema=_IDS)
+        i = j
+
+
+def _decoded(b: pa.RecordBatch, by_id: dict[int, bytes]) -> pa.RecordBatch:
+    """The batch with the bytes that its ids stand for."""
+    of = by_id.__getitem__
+    out = [b"".join(map(of, x)) for x in b.column("ids").to_pylist()]
+    return pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("ids"), pa.array(out, pa.binary())], schema=_BOTH)
+
+
+def _answered(docs: DataFrame, vocabulary: str | None, pattern: str, block_chars: int) -> tuple[GroupedData, GroupedData, str]:
+    """Answered packets and texts, both by block, and the folder of the position lists. There
+    are twice as many buckets as shuffle partitions, so they grow with what the session is
+    set up for."""
     spark = docs.sparkSession
     n_buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     folder = scratch(spark, "positions")
@@ -211,31 +228,48 @@ def encode(docs: DataFrame, vocabulary: str | None = None, pattern: str = public
     texts = blocks.where("bucket IS NULL").select("block", "doc_ids", "counts", "file", "places")
     found = _encoded(packets, ranks(vocabulary), pattern)
     ship(spark)
+    return found.groupBy("of"), texts.groupBy("block"), folder
+
+
+def encode(docs: DataFrame, vocabulary: str | None = None, pattern: str = public_tokenizers.PATTERN,
+           block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """(doc_id, ids), one row per row of ``docs``."""
+    found, texts, folder = _answered(docs, vocabulary, pattern, block_chars)
 
     def reassemble(left: pa.Table, right: pa.Table) -> pa.Table:
-        return _reassemble(folder, left, right)
-    return (found.groupBy("of").cogroup(texts.groupBy("block"))
-            .applyInArrow(reassemble, "doc_id long, ids array<int>"))
+        return pa.Table.from_batches(_reassembled(folder, left, right), _IDS)
+    return found.cogroup(texts).applyInArrow(reassemble, "doc_id long, ids array<int>")
+
+
+def _by_id(vocabulary: str | None) -> dict[int, bytes]:
+    return {v: k for k, v in ranks(vocabulary).items()}
 
 
 def decode(encoded: DataFrame, vocabulary: str | None = None) -> DataFrame:
     """(doc_id, ids, bytes): the ids and the bytes that they stand for."""
-    by_id = {v: k for k, v in ranks(vocabulary).items()}
-    sent = encoded.sparkSession.sparkContext.broadcast(by_id)
+    sent = encoded.sparkSession.sparkContext.broadcast(_by_id(vocabulary))
 
     def run(batches):
-        of = sent.value.__getitem__
         for b in chunks(batches):
-            lists = b.column("ids")
-            out = [b"".join(map(of, x)) for x in lists.to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), lists, pa.array(out, pa.binary())],
-                                             ["doc_id", "ids", "bytes"])
+            yield _decoded(b, sent.value)
     return over_batches(encoded.select("doc_id", "ids"), run, "doc_id long, ids array<int>, bytes binary")
 
 
+def round_trip(docs: DataFrame, vocabulary: str | None = None, pattern: str = public_tokenizers.PATTERN,
+               block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """(doc_id, ids, bytes): ``decode`` of ``encode``, where the ids are put together, so a task
+    needs one Python worker, not two."""
+    found, texts, folder = _answered(docs, vocabulary, pattern, block_chars)
+    sent = docs.sparkSession.sparkContext.broadcast(_by_id(vocabulary))
+
+    def both(left: pa.Table, right: pa.Table) -> pa.Table:
+        return pa.Table.from_batches((_decoded(b, sent.value) for b in _reassembled(folder, left, right)), _BOTH)
+    return found.cogroup(texts).applyInArrow(both, "doc_id long, ids array<int>, bytes binary")
+
+
 def digests(docs: DataFrame, **options) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of the round trip."""
-    return decode(encode(docs, **options), options.get("vocabulary")).select(
+    return round_trip(docs, **options).select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
         F.sha2("bytes", 256).alias("decoded_sha256"))
