@@ -305,3 +305,43 @@ def test_duplicates_compare_whole_rows(spark, monkeypatch):
     monkeypatch.setattr(profiling, "_fingerprint", lambda cols: [F.lit(1), F.lit(2)])      # all collide
     assert profiling.duplicates("x", df).first().duplicates == 3
     assert profiling.duplicates("x", df.limit(0)).first().duplicates == 0
+
+
+def test_nested_duplicates_of_rows_dealt_by_a_kept_column_are_not_shuffled_again(spark):
+    from basketry.operators import profiling
+    rows = [(1, "x", None), (1, "x", None), (1, "x", 2.0), (1, "y", 3.0), (2, None, 0.0), (2, None, -0.0), (2, None, None),
+            (None, "x", 1.0), (None, "x", 1.0), (None, "z", 1.0)]
+    df = spark.createDataFrame(rows, "a int, b string, c double").repartition("a")
+    coarse = {"a": F.col("a"), "c": F.coalesce("c", F.lit(3.0))}
+    got = profiling.nested_duplicates("fine", df, "coarse", coarse)
+    filled = [(a, 3.0 if c is None else c) for a, _, c in rows]
+    assert {r.check_name: r.duplicates for r in got.collect()} == {
+        "fine": len(rows) - len(set(rows)), "coarse": len(rows) - len(set(filled))}
+    plan = got._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+    assert [r.duplicates for r in profiling.nested_duplicates("f", df.limit(0), "c", coarse).collect()] == [0, 0]
+
+
+def test_duplicates_of_a_narrow_key_read_the_table_once(spark):
+    from basketry.operators import profiling
+    df = spark.createDataFrame([(1, 2), (1, 3), (None, 3), (None, 4), (None, 4)], "a long, b int")
+    got = profiling.duplicates("x", df, ["a"])
+    assert got.first().duplicates == 3
+    assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_duplicates_of_the_prototype_join_need_no_written_table(spark, monkeypatch):
+    from basketry.plans import queries
+    written = []
+    monkeypatch.setattr(queries, "cut_lineage", lambda df: written.append(df) or df)
+    out = queries.q2_duplicates(spark, SF_SMALL)
+    assert out.count() == 3 and not written
+
+
+def test_prototype_join_columns(spark):
+    from basketry.operators import clean
+    t = driver_tables(spark, SF_SMALL)
+    assert clean.prototype_joined(t, DELIVERED_STATUS).columns == [
+        "order_id", "customer_id", "product_id", "order_status", "order_time", "order_item_id", "seller_id", "price",
+        "shipping_limit_date", "product_category_name", "product_weight_g", "category", "user_id", "customer_state",
+        "customer_zip_code_prefix", "review_score", "payment_value"]
