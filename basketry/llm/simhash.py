@@ -131,7 +131,9 @@ def links(distinct_fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     for _ in range(len(masks) - max_bits):
         low = rest.bitwiseAND(-rest)
         first, rest = first.bitwiseOR(low), rest.bitwiseAND(rest - 1)
-    return a.join(b, (F.col("a.choice") == F.col("b.choice")) & (F.col("a.key") == F.col("b.key"))
+    # sorted and merged whatever the planner thinks: it sizes the keys as one row a fingerprint,
+    # so up to some size of input it would send the whole table through the driver
+    return a.hint("merge").join(b, (F.col("a.choice") == F.col("b.choice")) & (F.col("a.key") == F.col("b.key"))
                   & (F.col("a.fp") < F.col("b.fp"))
                   & (_max_coordinate_difference("a", "b") <= max_bits)
                   & (F.bit_count(xor) <= max_bits)

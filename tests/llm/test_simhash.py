@@ -101,3 +101,12 @@ def test_rows_without_an_id_stay(spark):
 def test_empty(spark):
     assert got(simhash.near_duplicates(documents(spark, []))) == []
     assert simhash.drop_near_duplicates(documents(spark, [])).count() == 0
+
+
+def test_keys_are_never_broadcast(spark, tmp_dir):
+    """The planner sizes 35 keys a fingerprint as one row: under its own limit the table of keys
+    would be sent to the driver, however many rows it has."""
+    r = random.Random(11)
+    spark.createDataFrame([(simhash._signed(r.getrandbits(64)),) for _ in range(300)], "fp long").write.parquet(f"{tmp_dir}/fps")
+    plan = simhash.links(spark.read.parquet(f"{tmp_dir}/fps"))._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
